@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, sharding, token_store
+from loam.llm import bpe, sharding, substring, token_store
 from loam.llm.common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def substring_digests(docs: DataFrame) -> DataFrame:
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return substring.remove_repeats(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_token_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -35,6 +44,7 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_store": op2_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op7_feistel_shards": op7_feistel_shards,
