@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, sharding, substring, token_store
+from loam.llm import bpe, sharding, simhash, substring, token_store
 from loam.llm.common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,11 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_store": op2_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_simhash": op4_simhash,
     "op7_feistel_shards": op7_feistel_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
