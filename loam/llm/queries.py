@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, sharding, simhash, substring, token_store
+from loam.llm import bpe, decontaminate, merkle, sharding, simhash, substring, token_store
 from loam.llm.common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,16 +43,78 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def merkle_digests(docs: DataFrame) -> DataFrame:
+    rows = merkle.with_next(docs).withColumn("edited", merkle.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_leaves", merkle.leaves(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        merkle.root(F.col("text")).alias("fingerprint"),
+        merkle.root(F.col("edited")).alias("edited_fingerprint"),
+        merkle.likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
+        merkle.likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+    )
+
+
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
+    found = decontaminate.contamination(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_store": op2_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash": op4_simhash,
+    "op6_merkle_fingerprints": op6_merkle_fingerprints,
     "op7_feistel_shards": op7_feistel_shards,
+    "op9_winnowing": op9_winnowing,
+}
+_TREE = """sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s:
+    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
+_LEAVES = "list_distinct(regexp_extract_all({t}, '[^\\n]{{1,64}}'))"
+_LIKE = "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_merkle_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other
+              FROM d WINDOW w AS (ORDER BY doc_id DESC, text DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(other, 1, length(text) // 2) AS edited FROM n),
+        l AS (SELECT *, {_LEAVES.format(t="text")} AS la, {_LEAVES.format(t="edited")} AS lb, {_LEAVES.format(t="other")} AS lc FROM e)
+        SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+               {_TREE.format(t="text")} AS fingerprint, {_TREE.format(t="edited")} AS edited_fingerprint,
+               CAST({_LIKE.format(a="la", b="lb")} AS DOUBLE) AS near_edited, CAST({_LIKE.format(a="la", b="lc")} AS DOUBLE) AS near_next
+        FROM l""",
+    "op9_winnowing": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                   FROM documents WHERE doc_id IS NOT NULL),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+              FROM benchmark WHERE item_id IS NOT NULL),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS g
+               FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+        dw AS (SELECT r, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS g
+               FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+        h AS (SELECT r, p, m, item_id FROM dw JOIN iw USING (m, g)),
+        c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM h) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""".replace("\\\\", "\\"),
 }
-ORACLE_SQL: dict[str, str] = {}
