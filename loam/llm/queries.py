@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, decontaminate, merkle, ranker, sharding, simhash, substring, token_store
+from loam.llm import bpe, chat, decontaminate, maxent, merkle, ranker, sharding, simhash, substring, token_store
 from loam.llm.common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,6 +80,10 @@ def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_merkle_fingerprints": op6_merkle_fingerprints,
     "op7_feistel_shards": op7_feistel_shards,
+    "op8_maxent_scores": op8_maxent_scores,
     "op9_winnowing": op9_winnowing,
     "op10_pairwise_quality": op10_pairwise_quality,
 }
