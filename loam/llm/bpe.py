@@ -14,6 +14,7 @@ repeated rows give repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -343,3 +344,13 @@ def _arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
+def _finish_checked(c: TreeCoder, ids: bytes) -> tuple:
+    decoded = c.decode(ids)
+    return list(array("I", ids)), len(ids) // 4, hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def encode_with_digest(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the SHA-256 of the decoded text."""
+    return encode_documents(docs, path, _finish_checked, "ids array<int>, n_tokens long, decoded_sha256 string")

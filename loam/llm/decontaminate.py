@@ -154,3 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hit = hit.withColumn("n_hit", covered.cast("long"))
     out = read.select("doc_id", "text_hash", "n_words").join(hit, ["doc_id", "text_hash"], "left")
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    bad = contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
+    bad, _ = _small(materialize(bad, "contaminated"))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    same = (hashed["doc_id"] == bad["doc_id"]) & (hashed["_hash"] == bad["text_hash"])
+    return hashed.join(bad, same, "left_anti").drop("_hash")

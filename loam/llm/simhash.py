@@ -348,3 +348,15 @@ def verified(src: DataFrame, links: DataFrame, words: int, similarity: float) ->
     left = links.join(hashes.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hx")), "a")
     both = left.join(hashes.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hy")), "b")
     return both.select("a", "b", "hx", "hy").mapInArrow(jaccard, "a long, b long").distinct()
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the least doc_id of each group.
+
+    Of rows that share an id the least in all columns stays; rows without an id stay.
+    """
+    groups = similar_groups(docs, words, similarity)
+    kept = docs.join(groups.where("doc_id = group_id").select("doc_id"), "doc_id", "left_semi")
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in others))
+    return one.select(docs.columns).union(docs.where("doc_id is null"))

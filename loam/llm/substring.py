@@ -250,16 +250,19 @@ def cut(text: str, spans: list[dict]) -> tuple[str, int, int]:
     return b"".join(kept).decode(), n, int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, text_hash (of the text before), text, n_words, n_removed.
+def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_hash (of the text before), text, n_words, n_removed, and ``row``,
+    a struct of the columns in ``keep``.
 
     ``text`` is null where it was; a document of which nothing stays keeps an
     empty text, so that every document has its row.
     """
-    texts = _texts(docs)
     spans = repeated_spans(docs, window)
-    joined = texts.join(spans, ["doc_id", "text_hash"], "left")
-    schema = "doc_id long, text_hash long, text string, n_words long, n_removed long"
+    text = F.col("text").cast("string")
+    row = F.struct(F.lit(0).alias("_"), *keep)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), row.alias("row"))
+    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "spans", "row")
+    schema = f"doc_id long, text_hash long, text string, n_words long, n_removed long, row {joined.schema['row'].dataType.simpleString()}"
     arrow = _arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                         rows.append((d, h, t, len(t.encode("utf-8", "replace").split()), 0))
                     else:
                         rows.append((d, h, *cut(t, s)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)), part.column(4).cast(arrow.field("row").type)], schema=arrow)
 
-    return joined.select("doc_id", "text_hash", "text", "spans").mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    return out if keep else out.drop("row")
