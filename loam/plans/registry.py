@@ -1,6 +1,497 @@
-"""All queries over the service's own operators, with their SQL."""
+"""All queries over the service's own operators, with their SQL.
+
+Tables stand in for the service's: documents for items, embeddings for vectors,
+pages for web files, conversations for chat turns, events for feedback and usage,
+customer and orders for users and jobs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loam.functions import sanitize, text
+from loam.operators import analytics, chunking, dedup, evaluation, retrieval
+from loam.operators.retrieval import RetrievalConfig
+from loam.sources import loaders, manifest, sinks
+
+CFG = RetrievalConfig()
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# retrieval: vectors of ids divisible by 20 are the questions, all vectors the corpus
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), "embedding", F.concat_ws(" ", F.lit("what is vector number"), F.when(F.col("vec_id") % 40 == 0, "this one here").otherwise("")).alias("question"))
+
+
+def _scored(spark: SparkSession, sf_dir: str, k: int = CFG.fanout) -> DataFrame:
+    q = _questions(spark, sf_dir)
+    found = retrieval.top_k(read(spark, sf_dir, "embeddings"), q, k)
+    short = q.select("query_id", retrieval.is_short(F.col("question")).alias("short"))
+    return found.withColumn("sim", retrieval.similarity(F.col("raw_score"))).join(F.broadcast(short), "query_id")
+
+
+_TOPK = """
+    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, vec_id % 40 <> 0 AS not_forty FROM embeddings WHERE vec_id % 20 = 0),
+    d AS (SELECT query_id, vec_id, label, not_forty, -list_dot_product(qe, CAST(embedding AS DOUBLE[])) AS raw_score FROM q, embeddings),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score, vec_id) AS rank FROM d QUALIFY rank <= 100),
+    s AS (SELECT *, least(greatest((1 - raw_score) / 2, 0), 1) AS sim, FALSE AS short FROM t),
+    p AS (SELECT query_id, count(*) AS candidates, max(sim) AS sim_max, min(sim) AS sim_min, min(raw_score) AS raw_min, max(raw_score) AS raw_max,
+                 quantile_cont(sim, 0.9) AS p90, bool_or(short) AS short FROM s GROUP BY query_id),
+    g AS (SELECT *, CASE WHEN short THEN least(1.0, greatest(0.5, p90 - 0.03) + 0.03) ELSE greatest(0.5, p90 - 0.03) END AS t_adapt,
+                 CASE WHEN short THEN 0.2 ELSE 0.25 END AS threshold_low, CASE WHEN short THEN 0.45 ELSE 0.55 END AS threshold_high FROM p)"""
+
+
+@query(f"WITH {_TOPK} SELECT query_id, vec_id, round(raw_score, 6) AS raw_score, rank FROM t WHERE rank <= 25")
+def retrieval_topk(spark, sf_dir):
+    found = retrieval.top_k(read(spark, sf_dir, "embeddings"), _questions(spark, sf_dir), CFG.top_k)
+    return found.select("query_id", "vec_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
+@query(
+    f"""WITH {_TOPK} SELECT query_id, candidates, round(sim_max, 6) AS sim_max, round(p90, 6) AS p90, short, round(t_adapt, 6) AS t_adapt,
+        threshold_low, threshold_high, CASE WHEN sim_max >= threshold_high THEN 'rag' WHEN sim_max >= threshold_low THEN 'hybrid' ELSE 'fallback' END AS decision_mode FROM g"""
+)
+def retrieval_decision(spark, sf_dir):
+    d = retrieval.decide(_scored(spark, sf_dir))
+    return d.select("query_id", "candidates", *(F.round(c, 6).alias(c) for c in ("sim_max", "p90")), "short", F.round("t_adapt", 6).alias("t_adapt"), F.col("threshold_low").cast("double").alias("threshold_low"), F.col("threshold_high").cast("double").alias("threshold_high"), "decision_mode")
+
+
+@query(
+    f"""WITH {_TOPK}, a AS (SELECT s.query_id, vec_id, sim, t_adapt, row_number() OVER w AS pos, count(*) FILTER (sim >= t_adapt) OVER (PARTITION BY s.query_id) AS n
+        FROM s JOIN g USING (query_id) WINDOW w AS (PARTITION BY s.query_id ORDER BY sim DESC, rank))
+        SELECT query_id, vec_id, pos FROM a WHERE (n >= 6 AND sim >= t_adapt) OR (n < 6 AND pos <= 6)"""
+)
+def adaptive_filter(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return retrieval.adaptive_filter(scored, retrieval.decide(scored)).select("query_id", "vec_id", "pos")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, 2 * CAST(embedding[1] AS DOUBLE) AS raw FROM embeddings)
+    SELECT vec_id, round(least(greatest((1 - raw) / 2, 0), 1), 6) AS dot, round(least(greatest((raw + 1) / 2, 0), 1), 6) AS cosine,
+           round(1 - least(greatest(raw / 2, 0), 1), 6) AS cosine_distance, round(1 / (1 + abs(raw)), 6) AS other FROM v"""
+)
+def similarity_modes(spark, sf_dir):
+    raw = F.col("raw")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", (2 * F.element_at("embedding", 1).cast("double")).alias("raw"))
+    kinds = {"dot": CFG, "cosine": RetrievalConfig(distance="cosine"), "cosine_distance": RetrievalConfig(distance="cosine", score_kind="distance"), "other": RetrievalConfig(distance="l2")}
+    return rows.select("vec_id", *(F.round(retrieval.similarity(raw, c), 6).cast("double").alias(n) for n, c in kinds.items()))
+
+
+def _candidates(spark, sf_dir):
+    """Filtered candidates with their chunk's text: document ids stand for vector ids."""
+    scored = _scored(spark, sf_dir)
+    decided = retrieval.decide(scored)
+    kept = retrieval.adaptive_filter(scored, decided)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", F.lit("text").alias("chunk_type"), F.lit("paragraph").alias("block_type"))
+    rows = kept.join(docs, "vec_id").where(~retrieval.excluded(F.col("chunk_type"), F.col("block_type")))
+    return rows.select("query_id", F.col("vec_id").alias("chunk_id"), F.col("source").alias("doc_id"), "source", "text", "sim", "raw_score", "pos"), decided
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    candidates, _ = _candidates(spark, sf_dir)
+    return retrieval.select_and_pack(candidates)
+
+
+@query()
+def retrieval_pipeline(spark, sf_dir):
+    """From question vectors to answer records, with a stand-in for the model."""
+    candidates, decided = _candidates(spark, sf_dir)
+    chosen = retrieval.select_and_pack(candidates)
+    gated = retrieval.gates(decided, chosen)
+    used = chosen.join(candidates.select("query_id", "chunk_id", "source", "text", "sim"), ["query_id", "chunk_id"])
+    questions = _questions(spark, sf_dir).select("query_id", "question")
+    prompts = retrieval.prompts(used, questions, "Answer from the context.")
+    replies = prompts.select("query_id", F.concat(F.lit("Answer of "), F.char_length("prompt"), F.lit(" characters")).alias("primary"), F.lit("No context was found.").alias("fallback"))
+    return retrieval.answers(gated, questions, replies, used)
+
+
+@query(
+    """WITH c AS (SELECT label AS query_id, vec_id AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+    r AS (SELECT query_id, key, sum(strlen(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running_bytes FROM c WHERE length(text) >= 50)
+    SELECT query_id, key, CAST(running_bytes AS BIGINT) AS running_bytes FROM r WHERE running_bytes <= 20000"""
+)
+def legacy_pack(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    c = read(spark, sf_dir, "embeddings").join(read(spark, sf_dir, "documents"), F.col("doc_id") == F.col("vec_id"))
+    c = c.select(F.col("label").alias("query_id"), F.col("vec_id").alias("key"), F.row_number().over(w).alias("rank"), "text")
+    return retrieval.legacy_pack(c, 20_000, 50).select("query_id", "key", "running_bytes")
+
+
+@query(
+    f"""WITH {_TOPK}, v AS (SELECT query_id, label, count(*) AS n FROM t WHERE rank BETWEEN 2 AND 11 GROUP BY ALL)
+    SELECT query_id, label AS voted, n AS votes FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1"""
+)
+def knn_label_vote(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    near = retrieval.top_k(e, _questions(spark, sf_dir), 11).where("rank > 1").join(e.select("vec_id", "label"), "vec_id")
+    votes = near.groupBy("query_id", "label").agg(F.count("*").alias("n"))
+    best = votes.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
+    return best.select("query_id", F.col("b.label").alias("voted"), (-F.col("b.m")).alias("votes"))
+
+
+@query(
+    f"""WITH {_TOPK}, f AS (SELECT q.query_id, min(t.rank) AS first_rank FROM q LEFT JOIN (SELECT t.query_id, t.rank FROM t JOIN embeddings e ON e.vec_id = t.query_id
+        WHERE t.rank <= 10 AND t.label = e.label AND t.vec_id <> t.query_id) t USING (query_id) GROUP BY ALL)
+    SELECT count(*) AS eligible, count(first_rank) AS hits, count(first_rank) / count(*) AS hit_rate, round(coalesce(sum(1 / first_rank), 0) / count(*), 6) AS mrr FROM f"""
+)
+def eval_hit_mrr(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    wanted = q.join(e.select(F.col("vec_id").alias("other"), "label"), "label").where("other <> query_id").groupBy("query_id").agg(F.collect_list(F.col("other").cast("string")).alias("expect_doc_ids"))
+    golden = q.join(wanted, "query_id", "left").select("query_id", "expect_doc_ids", F.lit(None).cast("array<string>").alias("expect_phrases"), F.lit(10).alias("top_k"))
+    found = retrieval.top_k(e, _questions(spark, sf_dir), 10).select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.lit("").alias("text"))
+    return evaluation.hit_rate_mrr(golden, found).select("eligible", "hits", "hit_rate", F.round("mrr", 6).alias("mrr"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id % 40 AS query_id, text FROM documents WHERE text IS NOT NULL)
+    SELECT item_id AS query_id, bool_or(contains(lower(r.text), lower(left(b.text, 40)))) AS phrase_hit
+    FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id % 40 GROUP BY item_id"""
+)
+def eval_phrase_hit(spark, sf_dir):
+    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 40).alias("query_id"), F.array(F.substring("text", 1, 40)).alias("expect_phrases"))
+    results = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "text")
+    pairs = golden.join(results, "query_id", "left").select(F.col("id").alias("query_id"), "expect_phrases", "text")
+    return evaluation.phrase_hits(pairs.select("query_id", "expect_phrases").distinct(), pairs.select("query_id", "text"))
+
+
+# text, dedup, chunks
+
+_HASH = "sha256(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')))"
+
+
+@query(f"SELECT min(doc_id) AS doc_id, {_HASH} AS hash_norm FROM documents WHERE text IS NOT NULL GROUP BY 2")
+def hash_dedup(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.hash_norm(F.col("text")).alias("hash_norm"))
+    return dedup.first_of_each(d, "hash_norm", ["doc_id"])
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, {_HASH} AS hash_norm FROM documents), b AS (SELECT * FROM h WHERE doc_id % 2 = 1)
+    SELECT min(doc_id) AS doc_id, hash_norm FROM b WHERE hash_norm NOT IN (SELECT hash_norm FROM h WHERE doc_id % 2 = 0) GROUP BY hash_norm"""
+)
+def upsert_antijoin(spark, sf_dir):
+    h = read(spark, sf_dir, "documents").select("doc_id", text.hash_norm(F.col("text")).alias("hash_norm"))
+    return dedup.upsert(h.where("doc_id % 2 = 1"), h.where("doc_id % 2 = 0"), "hash_norm", ["doc_id"])
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, {_HASH} AS hash_norm FROM documents), b AS (SELECT * FROM h WHERE doc_id % 2 = 1),
+    n AS (SELECT count(DISTINCT hash_norm) AS inserted FROM b WHERE hash_norm NOT IN (SELECT hash_norm FROM h WHERE doc_id % 2 = 0))
+    SELECT inserted, (SELECT count(*) FROM b) - inserted AS skipped FROM n"""
+)
+def upsert_counts(spark, sf_dir):
+    h = read(spark, sf_dir, "documents").select("doc_id", text.hash_norm(F.col("text")).alias("hash_norm"))
+    return dedup.upsert_counts(h.where("doc_id % 2 = 1"), h.where("doc_id % 2 = 0"), "hash_norm", ["doc_id"])
+
+
+@query(
+    r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS cleaned
+    FROM documents"""
+)
+def clean_lines(spark, sf_dir):
+    t = text.normalize_lines(text.ligatures(text.strip_invisible(F.col("text"))))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("cleaned"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, count(*) AS total FROM l GROUP BY 1),
+    r AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' AND length(line) <= 60 GROUP BY ALL),
+    x AS (SELECT doc_id, line FROM r JOIN n USING (doc_id) WHERE c >= 3 AND c > 0.05 * total)
+    SELECT doc_id, total - coalesce(gone, 0) AS kept_lines FROM n LEFT JOIN (SELECT doc_id, count(*) AS gone FROM l SEMI JOIN x USING (doc_id, line) GROUP BY 1) USING (doc_id)"""
+)
+def repeated_lines(spark, sf_dir):
+    kept = text.drop_repeated_lines(F.col("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", kept.alias("kept"), F.col("text"))
+    none = F.col("kept") == ""
+    return d.where("text is not null").select("doc_id", F.when(none & (F.col("text") != ""), F.lit(0)).otherwise(F.size(F.split("kept", "\n", -1))).cast("long").alias("kept_lines"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return text.with_clean_text(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, i, regexp_replace(substring(text, 1 + i * 1900, 2000), '^\\s+|\\s+$', '', 'g') AS chunk
+          FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((n - 2000) / 1900.0)) AS BIGINT))) AS i))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_seq, sha256(chunk) AS chunk_hash FROM w WHERE chunk <> ''""".replace("\\\\", "\\")
+)
+def chunk_char(spark, sf_dir):
+    rows = chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.chunk_chars(F.col("text"), 2000, 100))
+    return rows.select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.sha2("text", 256).alias("chunk_hash"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, i, list_slice(w, i * 90 + 1, i * 90 + 100) AS p FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - 100) / 90.0)) AS BIGINT))) AS i))
+    SELECT doc_id, i + 1 AS chunk_seq, len(p) AS n_tokens, sha256(array_to_string(p, ' ')) AS chunk_hash FROM c WHERE len(p) > 0"""
+)
+def chunk_tokens(spark, sf_dir):
+    rows = chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.chunk_tokens(F.col("text"), 100, 0.1))
+    return rows.select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.size(F.split("text", " ")).cast("long").alias("n_tokens"), F.sha2("text", 256).alias("chunk_hash"))
+
+
+@query("SELECT doc_id, CAST(round_even(length(text) / 4, 0) AS INT) AS estimated, CAST(ceil(length(text) / 4) AS INT) AS counted FROM documents")
+def token_estimate(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", chunking.estimated_tokens(t).alias("estimated"), chunking.counted_tokens(t).alias("counted"))
+
+
+@query(
+    """SELECT count(*) AS items, count(*) FILTER (ceil(length(text) / 4) > 256) AS over_limit,
+    CAST(sum(CASE WHEN ceil(length(text) / 4) > 256 THEN ceil(length(text) / 4) - 256 ELSE 0 END) AS BIGINT) AS excess_tokens FROM documents"""
+)
+def token_policy_counts(spark, sf_dir):
+    return chunking.limit_counts(read(spark, sf_dir, "documents"), "text", 256)
+
+
+@query()
+def split_to_limit(spark, sf_dir):
+    return chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.apply_limit(F.col("text"), 256, "split"))
+
+
+@query()
+def title_stripped_chunks(spark, sf_dir):
+    return chunking.strip_title(chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.chunk_chars(F.col("text"), 2000, 100)))
+
+
+@query(
+    r"""SELECT doc_id, len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS emails,
+    len(regexp_extract_all(text, '\b\d{1,3}(?:\.\d{1,3}){3}\b')) AS ipv4_shaped FROM documents"""
+)
+def pii_counts(spark, sf_dir):
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    return read(spark, sf_dir, "documents").select("doc_id", count(sanitize.DEFAULT_RULES[0].patterns[0][0]).alias("emails"), count(r"\b\d{1,3}(?:\.\d{1,3}){3}\b").alias("ipv4_shaped"))
+
+
+@query()
+def pii_redact(spark, sf_dir):
+    done = sanitize.sanitize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "sanitized", "redactions")
+
+
+@query()
+def sanitizer_audit(spark, sf_dir):
+    done = sanitize.sanitize(read(spark, sf_dir, "documents").select("doc_id", "text"), mode="shadow")
+    return sanitize.audit_rows(done, "default", "shadow")
+
+
+@query("SELECT c_custkey, list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN (len(s) - i) % 2 = 0 THEN CAST(s[i] AS INT) ELSE CAST(s[i] AS INT) * 2 - 9 * (CAST(s[i] AS INT) > 4)::INT END)) % 10 = 0 AS valid FROM (SELECT c_custkey, CAST(100000 + c_custkey * 7919 AS VARCHAR) AS s FROM customer)")
+def luhn_flags(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", sanitize.luhn_valid((100000 + F.col("c_custkey") * 7919).cast("string")).alias("valid"))
+
+
+# sources
+
+
+@query()
+def html_sections(spark, sf_dir):
+    raw = loaders.html_page_sections(read(spark, sf_dir, "pages"), "page_id", "html")
+    return text.with_clean_text(raw).where("text <> ''")
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(lower(url), '\.([^./]+)$', 1) AS extension, CASE WHEN contains(lower(left(html, 4096)), '<html') OR contains(lower(left(html, 4096)), '<!doctype html') THEN 'html' ELSE 'txt' END AS bucket FROM pages"""
+)
+def page_type_route(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    kind = manifest.content_bucket(manifest.sniffed_type(F.col("html").cast("binary"), F.col("url")))
+    return p.select("page_id", F.regexp_extract(F.lower("url"), r"\.([^./]+)$", 1).alias("extension"), kind.alias("bucket"))
+
+
+@query("SELECT event_id, list_sort(list_distinct(['all', event_type, 'k' || json_extract_string(props, '$.k')])) AS tags, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def tag_union(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return read(spark, sf_dir, "events").select("event_id", F.array_sort(F.array_distinct(F.array(F.lit("all"), F.col("event_type"), F.concat(F.lit("k"), k)))).alias("tags"), k.cast("long").alias("k"))
+
+
+# operational analytics
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00') AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 10")
+def user_search(spark, sf_dir):
+    users = read(spark, sf_dir, "customer").withColumnRenamed("c_name", "email").withColumnRenamed("c_mktsegment", "status")
+    found = analytics.filter_users(users, "00", "BUILDING")
+    return analytics.page(found, [F.desc("c_acctbal"), F.col("c_custkey")], 50, 10).select("c_custkey", F.col("email").alias("c_name"))
+
+
+@query("SELECT count(*) AS total FROM customer WHERE contains(lower(c_name), '00') AND c_mktsegment = 'BUILDING'")
+def user_total(spark, sf_dir):
+    users = read(spark, sf_dir, "customer").withColumnRenamed("c_name", "email").withColumnRenamed("c_mktsegment", "status")
+    return analytics.filter_users(users, "00", "BUILDING").agg(F.count("*").alias("total"))
+
+
+def _feedback(spark, sf_dir):
+    """Events as feedback: type as mode, whether the value is over 50 as rating."""
+    meta = F.to_json(F.struct(F.concat(F.lit("Q "), F.col("event_id")).alias("question"), F.col("props").alias("answer_preview"), F.col("event_type").alias("mode"), F.lit("web").alias("client"), F.lit("2").alias("ui_version")))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.concat(F.lit("session-"), F.col("user_id") % 7).alias("session_id"), F.when(F.col("value") > 50, 1).otherwise(-1).alias("rating"), F.col("event_type").alias("category"), F.lit(" said ").alias("comment"), meta.alias("metadata_json"), F.col("ts").alias("created_at"))
+
+
+@query(
+    """SELECT count(*) FILTER (value > 50) AS likes, count(*) FILTER (value <= 50 OR value IS NULL) AS dislikes, 0 AS mode_rag, 0 AS mode_hybrid, 0 AS mode_fallback, 0 AS mode_none,
+    count(*) FILTER (value > 50) * 100.0 / count(*) AS like_pct, count(*) FILTER (value <= 50 OR value IS NULL) * 100.0 / count(*) AS dislike_pct FROM events"""
+)
+def feedback_kpis(spark, sf_dir):
+    return analytics.feedback_kpis(analytics.derive_feedback(_feedback(spark, sf_dir)))
+
+
+@query("SELECT event_type AS mode, count(*) AS n, count(*) FILTER (value > 50) AS likes FROM events GROUP BY 1")
+def feedback_by_mode(spark, sf_dir):
+    d = analytics.derive_feedback(_feedback(spark, sf_dir))
+    return d.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("rating_label") == "like").alias("likes"))
+
+
+@query(
+    """SELECT event_id AS id, user_id, 'Q ' || event_id AS question, event_type AS mode, 'web@2' AS client_tag, CASE WHEN value > 50 THEN 'like' ELSE 'dislike' END AS rating_label,
+    user_id || ' | session-' AS user_display, 'said' AS comment, lower('Q ' || event_id || ' said') AS search_blob FROM events"""
+)
+def feedback_derived(spark, sf_dir):
+    return analytics.derive_feedback(_feedback(spark, sf_dir)).select("id", "user_id", "question", "mode", "client_tag", "rating_label", "user_display", "comment", "search_blob")
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 5")
+def feedback_page(spark, sf_dir):
+    f = analytics.filter_feedback(_feedback(spark, sf_dir), user_id=7, since="2024-01-05", until="2024-01-25")
+    return analytics.page(f, [F.desc("created_at"), F.desc("id")], 20, 5).select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id < 5000) ORDER BY ts DESC, event_id DESC LIMIT 20")
+def feedback_keyset(spark, sf_dir):
+    after = (F.lit("2024-01-20").cast("timestamp_ntz"), F.lit(5000))
+    return analytics.keyset_page(_feedback(spark, sf_dir), "created_at", "id", after, 20).select("id")
+
+
+@query(
+    """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS interactions, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'purchase') AS fallbacks,
+    count(*) FILTER (event_type = 'purchase') / count(*) AS fallback_rate FROM events GROUP BY 1"""
+)
+def usage_daily(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("mode", F.when(F.col("event_type") == "purchase", "fallback").otherwise("rag"))
+    return analytics.usage_daily(e).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total, CAST(grouping_id(event_type, user_id) AS BIGINT) AS level FROM events GROUP BY ROLLUP (event_type, user_id)")
+def rollup_usage(spark, sf_dir):
+    return analytics.usage_rollup(read(spark, sf_dir, "events"), "event_type", "user_id", "value").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT user_id AS session_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def session_upsert(spark, sf_dir):
+    return analytics.sessions(read(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id"))
+
+
+@query(
+    """SELECT event_id, round(value - lag(value) OVER w, 6) AS change, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS running_mean
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+)
+def latency_trend(spark, sf_dir):
+    t = analytics.latency_trend(read(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id")
+    return t.select("event_id", F.round("change", 6).alias("change"), F.round("running_mean", 6).alias("running_mean"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy(F.window(F.col("ts"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query()
+def approx_distinct_users(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+@query("SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' AND l_partkey <= 20")
+def conflict_jobs(spark, sf_dir):
+    held = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("upload_ids"))
+    jobs = read(spark, sf_dir, "orders").join(held, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "queued").otherwise("succeeded").alias("status"), "upload_ids")
+    wanted = read(spark, sf_dir, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("upload_id"))
+    return dedup.conflicting(jobs, wanted).select("o_orderkey").distinct()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_uploads(spark, sf_dir):
+    return dedup.missing_ids(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT n_name, count(*) AS users, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def users_by_group(spark, sf_dir):
+    n = F.broadcast(read(spark, sf_dir, "nation"))  # a dimension of fixed size
+    return read(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("users"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS status, max(o_orderdate) AS at FROM orders GROUP BY 1")
+def registry_state(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("ts"), F.col("o_orderstatus").alias("status"))
+    return dedup.latest_state(o, "o_custkey", "ts").select("o_custkey", "status", F.col("ts.o_orderdate").alias("at"))
+
+
+_PLAIN = r"regexp_replace(lower(text), '[^\pL\pM\pN_\s]', ' ', 'g')"
+
+
+@query(rf"SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim({_PLAIN}), '\s+'), lambda t: regexp_full_match(t, '\pL+'))) <= 3 AS short FROM conversations WHERE role = 'user'")
+def short_query_share(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", retrieval.is_short(F.col("text")).alias("short"))
+
+
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN length(trim(text)) <= 64 AND upper(trim(text)) = 'NO_CONTEXT' THEN 'exact_token' WHEN regexp_matches(text, '(?i)\bcontext (does not|doesn''t) contain\b') THEN 'regex_phrases:0'
+    WHEN regexp_matches(text, '(?i)\bno specific information\b') THEN 'regex_phrases:1' WHEN regexp_matches(text, '(?i)\bnot contain any information\b') THEN 'regex_phrases:2'
+    WHEN regexp_matches(text, '(?i)\bdoes not mention\b') THEN 'regex_phrases:3' END AS rule FROM conversations WHERE role = 'assistant'"""
+)
+def no_context_rules(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return c.select("conv_id", "turn", retrieval.no_context_rule(F.col("text")).alias("rule"))
+
+
+@query(
+    """WITH b AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 4 AS level FROM orders),
+    l AS (SELECT doc_id, pos, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level = 2 THEN pos END) OVER w AS p2, max(CASE WHEN level = 3 THEN pos END) OVER w AS p3
+          FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, CAST(pos AS INT) AS pos, CAST(p1 IS NOT NULL AS INT) + CAST(coalesce(p2, 0) > coalesce(p1, 0) AS INT) + CAST(coalesce(p3, 0) > greatest(coalesce(p1, 0), coalesce(p2, 0)) AS INT) AS depth FROM l"""
+)
+def heading_path(spark, sf_dir):
+    """A customer's orders as blocks of headings of three levels and body."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    b = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(w).alias("pos"), F.nullif((F.col("o_orderkey") % 4).cast("int"), F.lit(0)).alias("level"), F.col("o_orderpriority").alias("title"))
+    return chunking.heading_paths(b).select("doc_id", "pos", F.size("heading_path").alias("depth"))
+
+
+@query("SELECT event_id, CASE WHEN value < 1024 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' B' END AS size FROM events WHERE value < 1024")
+def human_sizes(spark, sf_dir):
+    return read(spark, sf_dir, "events").where("value < 1024").select("event_id", text.human_size(F.floor("value")).alias("size"))
+
+
+@query("SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, round(avg(embedding[i]), 5) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1")
+def mean_pool(spark, sf_dir):
+    e = dedup.mean_pool(read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding")), ["label"])
+    return e.select("label", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+
+
+@query("SELECT event_type, list_sort(list(DISTINCT trim(t))) AS tags FROM (SELECT event_type, unnest(string_split('b, a,' || event_type, ',')) AS t FROM events) GROUP BY 1")
+def parsed_tags(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", sinks.parse_tags(F.concat(F.lit("b, a,"), F.col("event_type"))).alias("tags")).distinct()
+    return e.select("event_type", F.array_sort("tags").alias("tags"))
