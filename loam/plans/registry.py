@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loam.functions import sanitize, text
 from loam.operators import analytics, chunking, dedup, evaluation, retrieval
 from loam.operators.retrieval import RetrievalConfig
+from loam.plans import ingest
 from loam.sources import loaders, manifest, sinks
 
 CFG = RetrievalConfig()
@@ -495,3 +496,32 @@ def mean_pool(spark, sf_dir):
 def parsed_tags(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type", sinks.parse_tags(F.concat(F.lit("b, a,"), F.col("event_type"))).alias("tags")).distinct()
     return e.select("event_type", F.array_sort("tags").alias("tags"))
+
+
+# the ingest job
+
+
+def _items(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("item_idx"), "text", F.lit("text/plain").alias("content_type"), "source")
+
+
+@query()
+def ingest_chunks(spark, sf_dir):
+    return ingest.chunk_items(_items(spark, sf_dir))
+
+
+@query()
+def ingest_vectors(spark, sf_dir):
+    return ingest.ingest(_items(spark, sf_dir))
+
+
+@query()
+def ingest_summary(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    chunks = ingest.chunk_items(items)
+    return ingest.summary(items, chunks, dedup.first_of_each(chunks, "hash_norm", ["doc_id", "chunk_seq"]))
+
+
+@query()
+def chunks_by_type(spark, sf_dir):
+    return ingest.chunks_by_type(ingest.chunk_items(_items(spark, sf_dir)))
