@@ -191,7 +191,7 @@ def parsed_items(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
                     rows += [{"path": path, "item_idx": k, "error": None} | item for k, item in enumerate(parsers[loader](bytes(content)))]
                 except Exception as e:  # noqa: BLE001  any broken file is that file's error
                     rows.append({"path": path, "item_idx": 0, "error": f"{path}: {e}"})
-            out = pd.DataFrame(rows, columns=[*FIELDS, "error"])
+            out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*FIELDS, "error"]})
             for c, kind in (("slide_number", "Int32"), ("n_rows", "Int32"), ("n_cols", "Int32"), ("page", "Int32"), ("heading_level", "Int32"), ("item_idx", "Int32"), ("has_notes", "boolean"), ("has_ocr", "boolean")):
                 out[c] = out[c].astype(kind)
             yield out

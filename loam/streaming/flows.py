@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def incremental_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Files that arrive in a folder: path, sha256, length, content."""
-    raw = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
+    raw = spark.readStream.schema(FILE).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
     return raw.select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime", "content")
 
 
