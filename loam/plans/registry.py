@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, text
-from loam.operators import analytics, chunking, dedup, evaluation, retrieval
+from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, structured
 from loam.operators.retrieval import RetrievalConfig
 from loam.plans import ingest
 from loam.sources import loaders, manifest, sinks
@@ -525,3 +525,185 @@ def ingest_summary(spark, sf_dir):
 @query()
 def chunks_by_type(spark, sf_dir):
     return ingest.chunks_by_type(ingest.chunk_items(_items(spark, sf_dir)))
+
+
+# scalar functions and small operators, each over a whole table
+
+
+@query("SELECT event_id, CASE WHEN value > 60 THEN 1 WHEN value < 20 THEN -1 END AS sign FROM events")
+def rating_signs(spark, sf_dir):
+    r = F.when(F.col("value") > 80, "like").when(F.col("value") > 60, "+1").when(F.col("value") < 10, "negative").when(F.col("value") < 20, "-1").otherwise("all")
+    return read(spark, sf_dir, "events").select("event_id", analytics.rating_sign(r).alias("sign"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_name) = 'customer#000000007' AND c_mktsegment NOT IN ('suspended', 'deleted')")
+def login_lookup(spark, sf_dir):
+    users = read(spark, sf_dir, "customer").withColumnRenamed("c_name", "email").withColumnRenamed("c_mktsegment", "status")
+    return analytics.login(users, "CUSTOMER#000000007").select("c_custkey")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'Low' WHEN value >= 60 THEN 'High' WHEN value >= 25 THEN 'Medium' ELSE 'Low' END AS label,
+    round(CASE WHEN event_type = 'purchase' THEN 0.0 ELSE least(1.0, greatest(0.0, (value - 25) / 35)) END, 6) AS ratio FROM events"""
+)
+def confidence_labels(spark, sf_dir):
+    c = retrieval.confidence(F.col("value"), F.lit(25.0), F.lit(60.0), F.when(F.col("event_type") == "purchase", "fallback").otherwise("hybrid"))
+    return read(spark, sf_dir, "events").select("event_id", c["label"].alias("label"), F.round(c["ratio"], 6).alias("ratio"))
+
+
+@query("SELECT event_id FROM events WHERE event_type NOT IN ('purchase', 'view') AND (value IS NULL OR value >= 25)")
+def evidence_filter(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    explain = e.select(F.col("event_type").alias("query_id")).distinct().select("query_id", F.when(F.col("query_id") == "purchase", "fallback").otherwise("hybrid").alias("mode"), F.when(F.col("query_id") == "view", "min_chunks_gate").alias("gate_failed"), F.lit(99.0).alias("sim_max"), F.lit(25.0).alias("threshold_low"))
+    return retrieval.evidence(e.select("event_id", F.col("event_type").alias("query_id"), F.col("value").alias("score")), explain).select("event_id")
+
+
+@query("SELECT doc_id, left(sha256('salt' || source), 10) AS pseudonym FROM documents")
+def pseudonyms(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.pseudonym(F.col("source"), "salt").alias("pseudonym"))
+
+
+@query(
+    """SELECT doc_id, substring(text, 1, 320) AS snippet, translate(substring(text, 1, 400), chr(10), ' ') AS preview,
+    CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 77), '\\s+$', '') || '...' END AS short FROM documents""".replace("\\\\", "\\")
+)
+def snippets(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", display.snippet(t).alias("snippet"), display.preview(t).alias("preview"), text.truncated(t).alias("short"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN role END AS text, CASE turn % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'answer2' ELSE 'none' END AS field FROM conversations WHERE trim(text) <> ''")
+def answer_selection(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("trim(text) <> ''")
+    got = display.selected_answer(F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(" "), F.when(F.col("turn") % 3 == 1, F.col("role")), F.lit("\n"))
+    return c.select("conv_id", "turn", got["text"].alias("text"), got["field"].alias("field"))
+
+
+@query("SELECT event_id, event_type AS answer, CASE WHEN event_id % 3 < 2 THEN 'hybrid' END AS mode FROM events")
+def response_shapes(spark, sf_dir):
+    body = F.to_json(F.struct(F.col("event_type").alias("answer"), F.lit("hybrid").alias("mode")))
+    raw = F.when(F.col("event_id") % 3 == 0, body).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(body.alias("response")))).otherwise(F.col("event_type"))
+    r = display.coerced_response(raw)
+    return read(spark, sf_dir, "events").select("event_id", r["answer"].alias("answer"), r["mode"].alias("mode"))
+
+
+@query("SELECT event_id, ['a ', event_type, ' b'] AS \"values\", ['text', 'figure', 'text'] AS kinds FROM events")
+def figure_split(spark, sf_dir):
+    p = display.split_by_figures(F.concat(F.lit("a [FIGURE: "), F.col("event_type"), F.lit(" ] b")))
+    return read(spark, sf_dir, "events").select("event_id", F.transform(p, lambda x: x["value"]).alias("values"), F.transform(p, lambda x: x["kind"]).alias("kinds"))
+
+
+@query("SELECT event_id, 'keep' || chr(10) || event_type AS text FROM events")
+def figure_labels(spark, sf_dir):
+    t = F.concat(F.lit("keep\nSee images:\nimg1\n\n"), F.col("event_type"))
+    return read(spark, sf_dir, "events").select("event_id", display.without_figure_labels(t).alias("text"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_\\s]', ' ', 'g')), '\\s+'), lambda w: regexp_full_match(w, '\\pL+'))) AS w FROM documents)
+    SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS likeness
+    FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""".replace("\\\\", "\\")
+)
+def token_jaccard(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.alphabetic_tokens(F.col("text"))).alias("w"))
+    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return t.join(n, "doc_id").select("doc_id", F.round(text.jaccard(F.col("w"), F.col("v")), 6).cast("double").alias("likeness"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS status, CASE WHEN c_custkey % 10 = 0 THEN 'suspended' ELSE c_mktsegment END AS after FROM customer")
+def soft_deleted_users(spark, sf_dir):
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
+    gone = analytics.soft_delete(users, users.where("id % 10 = 0"))
+    return users.join(gone.select("id", F.col("status").alias("after")), "id").select(F.col("id").alias("c_custkey"), "status", "after")
+
+
+@query(
+    """SELECT coalesce(a.c_custkey, 0) AS id, CASE WHEN a.c_custkey % 5 = 0 THEN 'X' ELSE a.c_name END AS name, a.c_nationkey AS nation FROM customer a
+    UNION ALL SELECT c_custkey + 10000000, 'X', NULL FROM customer WHERE c_custkey % 7 = 0"""
+)
+def merged_users(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    changes = c.where("id % 5 = 0").select("id", F.lit("X").alias("name")).union(c.where("id % 7 = 0").select(F.col("id") + 10_000_000, F.lit("X")))
+    return analytics.merge_users(c, changes)
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, l_linenumber AS local_idx, count(*) AS n, max(p) AS parent FROM lineitem LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS pi, max(l_orderkey || '_' || l_linenumber) AS p FROM lineitem GROUP BY 1, 2)
+    ON k = l_orderkey AND pi = l_linenumber - 1 GROUP BY 1, 2"""
+)
+def parent_links(spark, sf_dir):
+    name = F.concat_ws("_", "l_orderkey", "l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("local_idx"), (F.col("l_linenumber") - 1).alias("parent_idx"), F.col("l_linenumber").alias("chunk_seq"), name.alias("chunk_id"))
+    return dedup.parent_links(rows).groupBy("doc_id", "local_idx").agg(F.count("*").alias("n"), F.max("parent_chunk_id").alias("parent"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'download_failed' WHEN o_totalprice > 200000 THEN 'too_large' WHEN o_orderkey % 13 = 0 THEN 'duplicate'
+        WHEN o_orderkey % 3 = 0 THEN 'type_not_allowed' END AS reason FROM orders) SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM o GROUP BY 1"""
+)
+def sync_reasons(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    entries = o.select((F.col("o_orderkey") % 11 != 0).alias("download_success"), F.concat(F.lit("/data/"), F.col("o_orderkey")).alias("path"), F.lit(True).alias("exists"), F.when(F.col("o_orderkey") % 3 == 0, ".pdf").otherwise(".txt").alias("extension"), F.col("o_totalprice").alias("size_bytes"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    seen = o.where("o_orderkey % 13 = 0").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    out = dedup.sync_rejections(entries, seen, "/data", ["text/plain"], 200_000)
+    return out.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS job_id, list(o_orderpriority ORDER BY o_orderkey) AS tail FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3) GROUP BY 1")
+def job_log_tail(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("line"))
+    return jobs.log_tail(o, n=3)
+
+
+@query("SELECT o_orderkey, o_custkey AS docs, o_orderkey % 100 AS chunks, 7 AS inserted, NULL::BIGINT AS skipped FROM orders")
+def job_summaries(spark, sf_dir):
+    line = F.concat(F.lit("done docs="), F.col("o_custkey"), F.lit(" chunks="), F.col("o_orderkey") % 100, F.lit(" inserted=7"))
+    s = jobs.parsed_summary(line)
+    return read(spark, sf_dir, "orders").select("o_orderkey", *(s[c].alias(c) for c in ("docs", "chunks", "inserted", "skipped")))
+
+
+@query(
+    """WITH p AS (SELECT o_custkey, (o_orderkey % 5) || '.' || (o_orderkey % 3) AS prefix, o_orderkey FROM orders), d AS (SELECT o_custkey, prefix, min(o_orderkey) AS k FROM p GROUP BY ALL)
+    SELECT o_custkey, CASE WHEN count(*) > 1 THEN arg_min(prefix, k) || '-' || arg_max(prefix, k) ELSE min(prefix) END AS section_range FROM d GROUP BY 1"""
+)
+def section_ranges(spark, sf_dir):
+    p = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.col("o_orderkey") % 5, F.lit("."), F.col("o_orderkey") % 3).alias("prefix"))
+    return jobs.section_ranges(p, ["o_custkey"], "o_orderkey")
+
+
+@query(
+    """WITH l AS (SELECT source AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1),
+    c AS (SELECT doc_id, line, count(DISTINCT page) AS k FROM (SELECT doc_id, page, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l) WHERE line <> '' AND NOT regexp_matches(line, '^\\d+[.)]\\s') GROUP BY ALL)
+    SELECT doc_id, line FROM c JOIN n USING (doc_id) WHERE pages >= 2 AND k / pages >= 0.02""".replace("\\\\", "\\")
+)
+def repeated_page_lines(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
+    return chunking.repeated_page_lines(d, 0.02)
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(source, '(?i)src1') OR regexp_matches(source, 'src10')")
+def admin_filter(spark, sf_dir):
+    return chunking.admin_sections(read(spark, sf_dir, "documents"), "source", ["SRC1"], ["src10"]).select("doc_id")
+
+
+@query()
+def structured_docx(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("item_idx"), "text")
+    return structured.chunk_docx(d, 512)
+
+
+@query()
+def structured_pdf(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("item_idx"), "text", F.lit(1).alias("page"))
+    return structured.chunk_pdf(d, 512)
+
+
+@query()
+def section_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("item_idx"), "text", F.initcap("role").alias("section_heading"), F.array(F.lit("Dialogue"), F.initcap("role")).alias("heading_path"), F.when(F.col("turn") == 0, 1).otherwise(2).alias("heading_level"))
+    return structured.chunk_sections(d, 512)
+
+
+@query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g').replace('&nbsp;', ' ').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', chr(34)).replace('&#39;', chr(39)).replace('&amp;', '&'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))) AS visible FROM pages".replace("\\\\", "\\"))
+def html_visible_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(loaders.html_text(F.col("html")), 256).alias("visible"))
