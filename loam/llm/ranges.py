@@ -7,6 +7,8 @@ or a task that runs again after an executor was lost, agree on every row's range
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,15 @@ def range_of(key: str | Column, bounds: list[int]) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     if not bounds:
         return F.lit(0)
+    below = lambda held: F.size(F.filter(held, lambda b: b <= key))
     held = F.lit(bounds).cast("array<bigint>")
-    return F.size(F.filter(held, lambda b: b <= key))
+    if len(bounds) <= 64:
+        return below(held)
+    # first among every so many bounds, then among those up to the next of these
+    step = math.isqrt(len(bounds)) + 1
+    coarse = below(F.lit(bounds[::step]).cast("array<bigint>"))
+    start = (coarse - 1) * step
+    return F.when(coarse == 0, 0).otherwise(start + below(F.slice(held, start + 1, F.lit(step))))
 
 
 def default_ranges(df: DataFrame) -> int:
