@@ -4,7 +4,7 @@ Sections of a text are what empty lines (two line feeds) part, paragraphs what a
 line feed parts. A paragraph's node is the SHA-256 of its text, a section's that
 of its paragraphs' nodes, the root that of its sections' nodes. Roots are equal
 exactly where texts are; where they differ, the branches that differ locate the
-edit. Below a paragraph lie leaves, its blocks of up to 64 characters; the
+edit. Below a paragraph lie leaves, its blocks of up to 32 characters; the
 likeness of two trees is the share of leaves that both have (Jaccard; two trees
 without leaves are alike).
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.ranges import default_ranges, range_bounds, range_of
 
-BLOCK = 64
+BLOCK = 32
 
 
 def sections(text: Column) -> Column:

@@ -109,7 +109,7 @@ QUERIES = {
 }
 _TREE = """sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s:
     sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
-_LEAVES = "list_distinct(regexp_extract_all({t}, '[^\\n]{{1,64}}'))"
+_LEAVES = "list_distinct(regexp_extract_all({t}, '[^\\n]{{1,32}}'))"
 _LIKE = "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 
 ORACLE_SQL: dict[str, str] = {

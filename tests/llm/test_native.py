@@ -86,7 +86,7 @@ def test_merkle(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in given] + [(None, "no", "x")], "doc_id long, text string, leaves string")
     order = sorted(((d, t or "") for d, t in given), reverse=True)
     want = []
-    leaf = lambda t: set(re.findall("[^\n]{1,64}", t))
+    leaf = lambda t: set(re.findall("[^\n]{1,32}", t))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (d, t) in enumerate(order):
         other = order[(k + 1) % len(order)][1]
