@@ -70,3 +70,30 @@ def parse_tags(raw):
     listed = F.from_json(raw, "array<string>")
     parts = F.when(F.trim(raw).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.split(raw, ","))
     return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def append_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Append the named columns as CSV parts, each with its header."""
+    rows.select(*columns).write.mode("append").option("header", True).csv(path)
+
+
+def replace_snapshot(rows: DataFrame, path: str) -> None:
+    """A table kept as one JSON snapshot: written beside, then put in place by Spark's
+    committer, so readers see the old or the new one."""
+    rows.write.mode("overwrite").json(path)
+
+
+def figure_files(figures: DataFrame, put: Callable[[str, bytes], None]) -> DataFrame:
+    """Hand each figure's bytes to ``put`` (a writer for the store in use) inside the
+    tasks; returns path, sha256 and length. ``put`` must give the same file when a
+    task runs twice. figures: doc_id, n, extension, content."""
+    schema = "path string, sha256 string, length long"
+    named = figures.select(F.format_string("%s/img_%03d.%s", "doc_id", "n", "extension").alias("path"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("length"), "content")
+
+    def run(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                put(path, bytes(content))
+            yield frame[["path", "sha256", "length"]]
+
+    return named.mapInPandas(run, schema)
