@@ -74,23 +74,19 @@ def drop_noise(c: Column, least: int = 10) -> Column:
     return strip_ws(F.array_join(kept, "\n\n"))
 
 
-def clean_composed(c: Column, preserve_tables: bool = False) -> Column:
-    """All steps after composition, in their order; null and empty become empty."""
-    c = normalize_lines(ligatures(strip_invisible(F.coalesce(c, F.lit("")))))
-    c = drop_repeated_lines(c)
-    return drop_noise(c if preserve_tables else dehyphenate(c))
-
-
 def with_clean_text(df: DataFrame, text: str = "text", tables: Column | None = None) -> DataFrame:
-    """``df`` with the column cleaned; rows of which ``tables`` holds keep their lines.
+    """``df`` with the column cleaned, all steps in their order; rows of which ``tables``
+    holds keep hyphens at line ends. Null and empty become empty.
 
-    Composition runs as a step of its own before the expressions.
+    Each step is a projection of its own: what it uses several times is computed once,
+    and composition runs apart from the expressions.
     """
-    df = df.withColumn("_composed", nfc(F.coalesce(F.col(text), F.lit(""))))
-    clean = clean_composed(F.col("_composed"))
-    if tables is not None:
-        clean = F.when(tables, clean_composed(F.col("_composed"), preserve_tables=True)).otherwise(clean)
-    return df.withColumn(text, clean).drop("_composed")
+    df = df.withColumn("_clean", nfc(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn("_clean", normalize_lines(ligatures(strip_invisible(F.col("_clean")))))
+    df = df.withColumn("_clean", drop_repeated_lines(F.col("_clean")))
+    joined = dehyphenate(F.col("_clean"))
+    df = df.withColumn("_clean", joined if tables is None else F.when(tables, F.col("_clean")).otherwise(joined))
+    return df.withColumn(text, drop_noise(F.col("_clean"))).drop("_clean")
 
 
 def collapse_ws(c: Column) -> Column:

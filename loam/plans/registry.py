@@ -82,7 +82,7 @@ def retrieval_decision(spark, sf_dir):
         SELECT query_id, vec_id, pos FROM a WHERE (n >= 6 AND sim >= t_adapt) OR (n < 6 AND pos <= 6)"""
 )
 def adaptive_filter(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
+    scored = _scored(spark, sf_dir).persist()
     return retrieval.adaptive_filter(scored, retrieval.decide(scored)).select("query_id", "vec_id", "pos")
 
 
@@ -100,7 +100,7 @@ def similarity_modes(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Filtered candidates with their chunk's text: document ids stand for vector ids."""
-    scored = _scored(spark, sf_dir)
+    scored = _scored(spark, sf_dir).persist()  # some rows a query, used by each step below
     decided = retrieval.decide(scored)
     kept = retrieval.adaptive_filter(scored, decided)
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", F.lit("text").alias("chunk_type"), F.lit("paragraph").alias("block_type"))
@@ -118,7 +118,7 @@ def mmr_select(spark, sf_dir):
 def retrieval_pipeline(spark, sf_dir):
     """From question vectors to answer records, with a stand-in for the model."""
     candidates, decided = _candidates(spark, sf_dir)
-    chosen = retrieval.select_and_pack(candidates)
+    chosen = retrieval.select_and_pack(candidates).persist()
     gated = retrieval.gates(decided, chosen)
     used = chosen.join(candidates.select("query_id", "chunk_id", "source", "text", "sim"), ["query_id", "chunk_id"])
     questions = _questions(spark, sf_dir).select("query_id", "question")
