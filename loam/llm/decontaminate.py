@@ -157,7 +157,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs``, with all their columns, that are not contaminated; rows
+    without an id stay."""
     bad = contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
     bad, _ = _small(materialize(bad, "contaminated"))
     hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))

@@ -44,7 +44,9 @@ from loam.llm.common import ids_and_texts, materialize, new_path
 #: rows of weights.
 HEAD, OWN, BUCKETS, NEIGHBOURS, CLASSES, ROWS = 60_000, 4096, 128, 64, 32, 1 << 14
 SHARDS, EPOCHS, RATE, FEATURES = 4, 2, 0.7, 4
-FLUSH, CHUNK, BLOCKS = 200_000, 50_000, 8
+FLUSH, CHUNK, BLOCKS, BATCH = 200_000, 50_000, 8, 1024
+#: Four weights of this size and a bias stay within what an exponent can take.
+LARGEST = 15.0
 SYMBOLS = 1 + OWN + BUCKETS  # 0 is the end
 FOLDS, HELD = 7, 2
 
@@ -94,23 +96,29 @@ def to_symbols(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> DataFra
     """Each text's symbols, what its frequent words add to the base score, and its
     other words with their counts."""
     arrow = _arrow_schema(docs, TOKENS)
-    shipped = docs.sparkSession.sparkContext.broadcast(head)  # HEAD words at most
+    ranks = {w: k for k, w in enumerate(head)}
+    table = np.array([x for x in head.values()] or [(0, 0.0)])
+    shipped = docs.sparkSession.sparkContext.broadcast((ranks, table[:, 0].astype("<u2"), table[:, 1]))  # HEAD words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
-        ending = known.get(b"", (0, 0.0))[1]
+        ranks, symbol, logs = shipped.value
+        get = ranks.get
+        ending = logs[ranks[b""]] if b"" in ranks else 0.0
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 rows = []
                 for uid, d, held, shard, t in zip(*(batch.slice(k, 128).column(i).to_pylist() for i in range(5))):
                     w = words(t)
-                    found = [known.get(x) for x in w]
-                    symbols = [f[0] if f else bucket(x) for f, x in zip(found, w)]
-                    symbols.append(0)
-                    base = math.fsum([f[1] for f in found if f]) + ending
-                    rest = Counter(x for f, x in zip(found, w) if not f)
+                    rank = np.array([get(x, -1) for x in w], np.int64)
+                    known = rank >= 0
+                    symbols = np.zeros(len(w) + 1, "<u2")
+                    symbols[:-1] = symbol[rank]
+                    base = float(logs[rank[known]].sum()) + ending
+                    others = np.flatnonzero(~known).tolist()
+                    rest = Counter([w[i] for i in others])
+                    symbols[others] = [bucket(w[i]) for i in others]
                     n = len(w) + 1
-                    rows.append((uid, d, held, n, n - rest.total() - (not ending), base, np.array(symbols, "<u2").tobytes(), [{"word": x, "n": m} for x, m in rest.items()], shard))
+                    rows.append((uid, d, held, n, n - len(others) - (b"" not in ranks), base, symbols.tobytes(), [{"word": x, "n": m} for x, m in rest.items()], shard))
                 yield _emit(rows, arrow)
 
     return docs.mapInArrow(run, TOKENS)
@@ -217,17 +225,25 @@ def features(symbols: np.ndarray, place: np.ndarray, own: np.ndarray) -> np.ndar
     c = [k[p] for p in past]
     mixed = [past[0] * 3 + 1, past[1] * 3 + 2, (past[0] * 8191 + past[1]) * 3 + 7, ((c[0] * 64 + c[1]) * 64 + c[2]) * 3 + 5]
     seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-    return np.stack([((m.astype(np.uint64) + s) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)).astype(np.int64) % ROWS for m, s in zip(mixed, seeds)])
+    return np.stack([((m.astype(np.uint64) + s) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)).astype(np.int64) & (ROWS - 1) for m, s in zip(mixed, seeds)])
 
 
 def class_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[0]] + bias
-    for r in rows[1:]:
-        logits += weights[r]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    """Softmax over the classes of each token, in blocks that stay in the cache.
+
+    Weights are kept within ``LARGEST``, so no exponent overflows.
+    """
+    out = np.empty((rows.shape[1], len(bias)), np.float32)
+    for k in range(0, len(out), BATCH):
+        part = out[k : k + BATCH]
+        first, *others = rows[:, k : k + BATCH]
+        np.take(weights, first, axis=0, out=part)
+        for r in others:
+            part += weights[r]
+        part += bias
+        np.exp(part, out=part)
+        part /= part.sum(axis=1, keepdims=True)
+    return out
 
 
 def gradient(tokens: DataFrame, weights: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -244,12 +260,12 @@ def gradient(tokens: DataFrame, weights: np.ndarray, bias: np.ndarray, own: np.n
             p = class_probabilities(weights, bias, rows)
             p *= -1
             p[np.arange(len(s)), own[s]] += 1
-            for r in rows:
+            for r in rows.astype(np.uint16):  # as many bits as a radix sort takes
                 order = np.argsort(r, kind="stable")
                 at = r[order]
                 first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 total[at[first], :n] += np.add.reduceat(p[order], first, axis=0)
-                total[:, n] += np.bincount(r, minlength=ROWS)
+                total[at[first], n] += np.diff(np.append(first, len(at)))
         return total
 
     return _summed(tokens.select("symbols"), make, (ROWS, n + 1))
@@ -267,7 +283,7 @@ def train(tokens: DataFrame, own: np.ndarray, seen: np.ndarray) -> tuple[np.ndar
             # the curvature at the class shares; few uses count less
             curve = used * np.maximum(share * (1 - share), 0.01)[None] + 3.0
             step = RATE / (1 + 0.5 * epoch) / FEATURES * 2
-            weights = weights + np.clip(step * g[:, :-1] / curve, -2.5, 2.5).astype(np.float32)
+            weights = np.clip(weights + np.clip(step * g[:, :-1] / curve, -2.5, 2.5), -LARGEST, LARGEST).astype(np.float32)
     return weights, bias
 
 

@@ -14,14 +14,14 @@ tile are tiled in turn, so one hot bucket spreads over many tasks. For a radius
 at which blocks get too short to tell texts apart, one bucket holds all: every
 tile is compared with every other, which is exact and quadratic.
 
-A tile pair reports a spanning forest of its links, never all of them; components
-of the links follow in Spark.
+A tile pair reports a spanning forest of its links (or a few, where a further test
+follows), never all of them; components of the links follow in Spark.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +39,6 @@ KEY_BITS = 20
 #: Forests of candidate links that a tile pair hands to an exact test. All links of
 #: groups of up to twice as many texts are among them.
 FORESTS = 8
-WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -122,19 +121,42 @@ def forest(u: np.ndarray, v: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Links within tile ``a`` (b: None) or between two tiles: a spanning forest.
+def forests(u: np.ndarray, v: np.ndarray, d: np.ndarray, nodes: int, steps: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes of links in up to ``most`` forests without a link in common, each of
+    the least distances that are left, and the forest of each."""
+    taken, ranks = [], []
+    left = np.arange(len(u))
+    for rank in range(most):
+        if not len(left):
+            break
+        parent, low, used = np.arange(nodes), -1, np.zeros(len(left), bool)
+        for step in steps:
+            here = np.flatnonzero((d[left] > low) & (d[left] <= step))
+            got = here[forest(u[left[here]], v[left[here]], parent)]
+            used[got] = True
+            low = step
+        taken.append(left[used])
+        ranks.append(np.full(int(used.sum()), rank))
+        left = left[~used]
+    if not taken:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(taken), np.concatenate(ranks)
+
 
-    Rows are fingerprints, columns their lanes. With several ``steps`` each block
-    of rows gives ``FORESTS`` forests without a link in common, each of the least
-    distances that are left: the first connects at every step what the links up to
-    that distance connect, the others stand in for links that a later test refuses.
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within tile ``a`` (b: None) or between two tiles, and their forests.
+
+    Rows are fingerprints, columns their lanes. One step: a spanning forest. With
+    several, ``FORESTS`` forests without a link in common: the first connects at
+    every step what the links up to that distance connect, the others stand in for
+    links that a later test refuses. Blocks of rows are reduced to their forests
+    first, then the blocks' links together, so few links are ever held.
     """
     n, same = len(a), b is None
     other = a if same else b
     nodes = n if same else n + len(other)
-    parent = np.arange(nodes)
-    left, right = [], []
+    most = FORESTS if len(steps) > 1 else 1
+    found: list[tuple] = []
     height = max(1, (1 << 21) // max(1, len(other)))
     for k in range(0, n, height):
         block = a[k : k + height]
@@ -146,31 +168,20 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[in
         if same:
             above = j > i
             i, j = i[above], j[above]
-        if not len(i):
-            continue
-        d = distance[i, j]
-        u, v = i + k, j + (k if same else n)
-        for _ in range(FORESTS if len(steps) > 1 else 1):
-            if len(steps) > 1:
-                parent = np.arange(nodes)
-            low, taken = -1, np.zeros(len(u), bool)
-            for step in steps:
-                here = np.flatnonzero((d > low) & (d <= step))
-                got = here[forest(u[here], v[here], parent)]
-                left.append(u[got])
-                right.append(v[got])
-                taken[got] = True
-                low = step
-            u, v, d = u[~taken], v[~taken], d[~taken]
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v = np.concatenate(left), np.concatenate(right)
-    return u, v if same else v - n
+        if len(i):
+            u, v, d = i + k, j + (k if same else n), distance[i, j]
+            kept, _ = forests(u, v, d, nodes, steps, most)
+            found.append((u[kept], v[kept], d[kept]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    u, v, d = (np.concatenate(x) for x in zip(*found))
+    kept, rank = forests(u, v, d, nodes, steps, most)
+    return u[kept], v[kept] if same else v[kept] - n, rank
 
 
 def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: tuple[int, ...]) -> DataFrame:
-    """Links (a, b) of each group of ``keys``; ``side`` is 0 or 1, all 0 in one tile."""
-    schema = "a long, b long"
+    """Links (a, b, rank) of each group of ``keys``; ``side`` is 0 or 1, all 0 in one tile."""
+    schema = "a long, b long, rank int"
     arrow = _arrow_schema(rows, schema)
     wanted = [*keys, "side", "node", *(f"f{k}" for k in range(lanes))]
 
@@ -187,18 +198,18 @@ def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: t
             prints = np.stack(c[len(keys) + 2 :], axis=1).view(np.uint64)
             two = begin[size == 2]
             near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius]
-            out = [(node[near], node[near + 1])]
+            out = [(node[near], node[near + 1], np.zeros(len(near), np.int64))]
             for s, k in zip(begin[size > 2], size[size > 2]):
                 cut = s + int(np.searchsorted(side[s : s + k], 1))
                 if cut == s + k:
-                    u, v = tile_links(prints[s : s + k], None, radius, steps)
-                    out.append((node[s:][u], node[s:][v]))
+                    u, v, rank = tile_links(prints[s : s + k], None, radius, steps)
+                    out.append((node[s:][u], node[s:][v], rank))
                 elif cut > s:
-                    u, v = tile_links(prints[s:cut], prints[cut : s + k], radius, steps)
-                    out.append((node[s:][u], node[cut:][v]))
-            a, b = (np.concatenate(x) for x in zip(*out))
+                    u, v, rank = tile_links(prints[s:cut], prints[cut : s + k], radius, steps)
+                    out.append((node[s:][u], node[cut:][v], rank))
+            a, b, rank = (np.concatenate(x) for x in zip(*out))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rank.astype(np.int32))], schema=arrow)
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,18 +232,24 @@ def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: t
 
 
 def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], tile: int) -> DataFrame:
-    """Links of rows (t, key, node, f0..) within each bucket (t, key), by tile pairs."""
-    wide = max(1, radius // 2)
+    """Links of rows (t, key, band, node, f0..) within each bucket (t, key), by tile pairs.
+
+    Tiles lie by band and population count. Bands that are not neighbours, and counts
+    that differ beyond the radius, never meet.
+    """
+    wide = max(1, radius // 2) if lanes == 1 else radius
     ones = sum((F.bit_count(f"f{k}") for k in range(1, lanes)), F.bit_count("f0"))
-    binned = rows.withColumn("bin", F.floor(ones / wide).cast("int"))
+    bins = 64 * lanes // wide + 2
+    # one number for band and bin; bins + 1 keeps the last bin of a band from the next band's first
+    spread = 2 * bins
+    binned = rows.withColumn("bin", (F.col("band") * spread + F.floor(ones / wide)).cast("int"))
     sizes = binned.groupBy("t", "key", "bin").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    bins = 64 * lanes // wide + 1
     # a bucket's tiles: one number for each of its bins, of which there are few
     layout = sizes.groupBy("t", "key").agg(F.map_from_entries(F.collect_list(F.struct("bin", "tiles"))).alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("bin"))).cast("int")
     placed = binned.join(layout, ["t", "key"]).withColumn("tile", own)
     apart = (radius + wide - 1) // wide
-    near = F.sequence(F.greatest(F.lit(0), F.col("bin") - apart), F.least(F.lit(bins), F.col("bin") + apart))
+    near = F.flatten(F.array(*(F.sequence(F.col("bin") + F.lit(step * spread - apart), F.col("bin") + F.lit(step * spread + apart)) for step in (-1, 0, 1))))
     partners = F.flatten(F.transform(near, lambda q: F.when(F.element_at("tiles", q).isNull(), F.array().cast("array<struct<q:int,y:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.element_at("tiles", q) - 1), lambda y: F.struct(q.alias("q"), y.alias("y"))))))
     here = F.struct(F.col("bin").alias("q"), F.col("tile").alias("y"))
     paired = placed.withColumn("other", F.explode(partners)).withColumn("here", here)
@@ -242,11 +259,13 @@ def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], til
 
 
 def link_forest(distinct: DataFrame, lanes: int = 1, radius: int = 4, steps: tuple[int, ...] = (), tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect the nodes (node, f0..) as all links within the radius do."""
+    """Links (a, b, rank) that connect the nodes (node, f0..) as all links within the
+    radius do. Where nodes have a ``band``, those of neighbouring bands alone may link."""
     steps = steps or (radius,)
     bits, blocks = 64 * lanes, radius + 2
     if lanes > 1 or 2 * (bits // blocks) < KEY_BITS:
-        return _tiled(distinct.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "*"), lanes, radius, steps, tile)
+        banded = distinct if "band" in distinct.columns else distinct.withColumn("band", F.lit(0))
+        return _tiled(banded.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "*"), lanes, radius, steps, tile)
     edges = [bits * k // blocks for k in range(blocks + 1)]
     masks = [sum(1 << i for x in (x, y) for i in range(edges[x], edges[x + 1])) for x, y in itertools.combinations(range(blocks), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -257,11 +276,16 @@ def link_forest(distinct: DataFrame, lanes: int = 1, radius: int = 4, steps: tup
     if big.isEmpty():
         return _compare(rows.withColumn("side", F.lit(0)), ["t", "key"], 1, radius, steps)
     usual = _compare(rows.join(big, ["t", "key"], "left_anti").withColumn("side", F.lit(0)), ["t", "key"], 1, radius, steps)
-    return usual.union(_tiled(rows.join(big, ["t", "key"]), 1, radius, steps, tile))
+    return usual.union(_tiled(rows.join(big, ["t", "key"]).withColumn("band", F.lit(0)), 1, radius, steps, tile))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """doc_id, f0, component_id: the least doc_id that links reach."""
+    """doc_id, f0, component_id: the least doc_id that links reach.
+
+    Texts without words share fingerprint zero and link like any other; null doc_ids
+    are left out; rows that repeat an id each have their row, and link by it; an
+    empty table gives an empty result; extra columns are ignored.
+    """
     prints = materialize(fingerprints(docs, words), "fingerprints")
     distinct = prints.groupBy("f0").agg(F.min("doc_id").alias("node"))
     found = connected_components(link_forest(distinct, 1, radius, tile=tile))
@@ -299,19 +323,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
                     content = xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))
                     c0, c1 = np.frombuffer(content, np.int64).tolist()
                     prints = np.array([fingerprint(_lane(h, lane)) for lane in range(LANES)], np.uint64).view(np.int64).tolist()
-                    rows.append((d, c0, c1, len(h), *prints))
+                    rows.append((d, c0, c1, len(np.unique(h)), *prints))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
     prints = materialize(src.mapInArrow(run, schema), "fingerprints")
-    texts = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("doc_id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    texts = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    # sets at the similarity differ in size by it at most: one band up or down
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(similarity)) - F.lit(1e-9)).cast("int")
+    texts = texts.withColumn("band", band)
     # equal fingerprints of different texts are candidates too: each with the least of them
-    least = texts.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"))
-    equal = texts.join(least, ["f0", "f1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = materialize(link_forest(least, LANES, WIDE_RADIUS, STEPS, tile).union(equal).distinct(), "candidates")
-    kept = materialize(verified(src, links, words, similarity), "verified")
-    # a row for each document's own texts, so that copies follow their node
-    same = prints.join(texts.select("c0", "c1", F.col("doc_id").alias("node")), ["c0", "c1"]).select("doc_id", "node")
-    found = connected_components(kept.union(same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
+    least = texts.groupBy("f0", "f1", "band").agg(F.min("doc_id").alias("node"))
+    equal = texts.join(least, ["f0", "f1", "band"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"), F.lit(0).alias("rank"))
+    links = link_forest(least, LANES, WIDE_RADIUS, STEPS, tile).union(equal).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    links = materialize(links, "candidates")
+    # rows of one text are linked to its node, and so are its copies
+    same = prints.join(texts.select("c0", "c1", F.col("doc_id").alias("node")), ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    kept = materialize(verified(src, links.where("rank = 0"), words, similarity), "verified")
+    found = connected_components(kept)
+    # other links matter where their ends are still apart
+    part = found.select(F.col("node").alias("x"), "component")
+    ends = links.where("rank > 0").join(part.select(F.col("x").alias("a"), F.col("component").alias("ca")), "a", "left").join(part.select(F.col("x").alias("b"), F.col("component").alias("cb")), "b", "left")
+    apart = materialize(ends.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b"), "apart")
+    if not apart.isEmpty():
+        kept = kept.union(materialize(verified(src, apart, words, similarity), "verified"))
+    found = connected_components(kept.union(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
@@ -322,6 +357,7 @@ def verified(src: DataFrame, links: DataFrame, words: int, similarity: float) ->
     Sets of the linked documents alone are formed, once each, and travel to the
     links as arrays of hashes.
     """
+    links = links.select("a", "b")
     ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
     schema = "doc_id long, hashes binary"
     arrow = _arrow_schema(src, schema)

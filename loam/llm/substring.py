@@ -184,11 +184,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     covers whose words also start in a document with a smaller doc_id."""
     texts = _texts(docs)
     found = materialize(paths(texts, window), "paths")
+    held = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    found = materialize(found.join(held, "anchor"), "shared-paths")
 
     key = ["h1", "h2", "edges"]
-    distinct = found.groupBy("anchor", *key).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("source"), F.max("doc_id").alias("last"))
-    anchors = distinct.groupBy("anchor").agg(F.min("source.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("texts")).where("low < high")
-    shared = materialize(distinct.join(anchors.select("anchor", "texts"), "anchor"), "shared-paths")
+    distinct = found.groupBy("anchor", *key).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("source"))
+    texts_of = distinct.groupBy("anchor").agg(F.count("*").alias("texts"))
+    shared = materialize(distinct.join(texts_of, "anchor"), "different-paths")
 
     compact = shared.where("texts = 1").select(*key, F.col("source.doc_id").alias("first"), F.lit(None).cast("array<struct<edge:int,first:bigint>>").alias("opened"))
     opened = _opened(shared.where("texts > 1"), texts, window)

@@ -84,7 +84,7 @@ def test_tile_links_connect_as_all_links_do():
     far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2)
     for b in (None, rows[100:]):
         a = rows if b is None else rows[:100]
-        u, v = simhash.tile_links(a, b, 20, (5, 10, 20))
+        u, v, _ = simhash.tile_links(a, b, 20, (5, 10, 20))
         v = v if b is None else v + 100
         for step in (5, 10, 20):
             ids = range(len(rows))
