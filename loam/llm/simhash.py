@@ -14,8 +14,10 @@ tile are tiled in turn, so one hot bucket spreads over many tasks. For a radius
 at which blocks get too short to tell texts apart, one bucket holds all: every
 tile is compared with every other, which is exact and quadratic.
 
-A tile pair reports a spanning forest of its links (or a few, where a further test
-follows), never all of them; components of the links follow in Spark.
+A tile pair reports a spanning forest of its links, never all of them; components of
+the links follow in Spark. Where a further test of the links follows, it reports a few
+forests and the nodes that have other links still. Once the tested links have made
+components, those nodes meet again, and every link between two components is tested.
 """
 
 from __future__ import annotations
@@ -36,9 +38,12 @@ from loam.llm.components import connected_components
 TILE = 8192
 #: Fewest bits that two agreeing blocks may have for buckets to be of use.
 KEY_BITS = 20
-#: Forests of candidate links that a tile pair hands to an exact test. All links of
-#: groups of up to twice as many texts are among them.
+#: Forests of candidate links that a tile pair hands to an exact test at first.
 FORESTS = 8
+#: The rank of a row that says that a node has links beyond those.
+MORE = -1
+#: Links between components that are tested at once; more take further rounds.
+AT_ONCE = 4_000_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -143,20 +148,10 @@ def forests(u: np.ndarray, v: np.ndarray, d: np.ndarray, nodes: int, steps: tupl
     return np.concatenate(taken), np.concatenate(ranks)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within tile ``a`` (b: None) or between two tiles, and their forests.
-
-    Rows are fingerprints, columns their lanes. One step: a spanning forest. With
-    several, ``FORESTS`` forests without a link in common: the first connects at
-    every step what the links up to that distance connect, the others stand in for
-    links that a later test refuses. Blocks of rows are reduced to their forests
-    first, then the blocks' links together, so few links are ever held.
-    """
+def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links (rows of ``a``, rows of ``b`` or ``a``, distances) of a few rows of ``a`` at a time."""
     n, same = len(a), b is None
     other = a if same else b
-    nodes = n if same else n + len(other)
-    most = FORESTS if len(steps) > 1 else 1
-    found: list[tuple] = []
     height = max(1, (1 << 21) // max(1, len(other)))
     for k in range(0, n, height):
         block = a[k : k + height]
@@ -169,21 +164,59 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[in
             above = j > i
             i, j = i[above], j[above]
         if len(i):
-            u, v, d = i + k, j + (k if same else n), distance[i, j]
-            kept, _ = forests(u, v, d, nodes, steps, most)
-            found.append((u[kept], v[kept], d[kept]))
+            yield i + k, j + (k if same else 0), distance[i, j]
+
+
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...], most: int = FORESTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links within tile ``a`` (b: None) or between two tiles, their forests, and
+    which rows (of ``a``, then of ``b``) have links that are in none.
+
+    Rows are fingerprints, columns their lanes. One step: a spanning forest. With
+    several, ``most`` forests without a link in common: the first connects at
+    every step what the links up to that distance connect, the others stand in for
+    links that a later test refuses. Blocks of rows are reduced to their forests
+    first, then the blocks' links together, so few links are ever held.
+    """
+    n, same = len(a), b is None
+    shift = 0 if same else n
+    nodes = n if same else n + len(b)
+    several = len(steps) > 1
+    more = np.zeros(nodes, bool)
+
+    def reduced(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        kept, rank = forests(u, v, d, nodes, steps, most if several else 1)
+        if several and len(kept) < len(u):
+            left = np.ones(len(u), bool)
+            left[kept] = False
+            more[u[left]] = more[v[left]] = True
+        return u[kept], v[kept], d[kept], rank
+
+    found = [reduced(u, v + shift, d)[:3] for u, v, d in _near(a, b, radius)]
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    u, v, d = (np.concatenate(x) for x in zip(*found))
-    kept, rank = forests(u, v, d, nodes, steps, most)
-    return u[kept], v[kept] if same else v[kept] - n, rank
+        return *(np.zeros(0, np.int64) for _ in range(3)), more
+    u, v, _, rank = reduced(*(np.concatenate(x) for x in zip(*found)))
+    return u, v - shift, rank, more
 
 
-def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: tuple[int, ...]) -> DataFrame:
-    """Links (a, b, rank) of each group of ``keys``; ``side`` is 0 or 1, all 0 in one tile."""
+def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: tuple[int, ...], most: int = FORESTS) -> DataFrame:
+    """Links (a, b, rank) of each group of ``keys``; ``side`` is 0 or 1, all 0 in one tile.
+
+    Rows with a ``label``: all links between different labels. Else forests, and
+    rows of rank ``MORE`` whose node has links in none of them.
+    """
     schema = "a long, b long, rank int"
     arrow = _arrow_schema(rows, schema)
-    wanted = [*keys, "side", "node", *(f"f{k}" for k in range(lanes))]
+    labelled = "label" in rows.columns
+    wanted = [*keys, "side", "node", *(f"f{k}" for k in range(lanes)), *(["label"] if labelled else [])]
+
+    def apart(c: list[np.ndarray], prints: np.ndarray, s: int, cut: int, end: int) -> Iterator[pa.RecordBatch]:
+        node, label = c[len(keys) + 1], c[-1]
+        for u, v, _ in _near(prints[s:cut], prints[cut:end] if cut < end else None, radius):
+            u, v = u + s, v + (cut if cut < end else s)
+            differ = label[u] != label[v]
+            u, v = u[differ], v[differ]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.zeros(len(u), np.int32))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -195,18 +228,23 @@ def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: t
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, n))
             side, node = c[len(keys)], c[len(keys) + 1]
-            prints = np.stack(c[len(keys) + 2 :], axis=1).view(np.uint64)
+            prints = np.stack(c[len(keys) + 2 : len(keys) + 2 + lanes], axis=1).view(np.uint64)
+            if labelled:
+                for s, k in zip(begin, size):
+                    cut = s + int(np.searchsorted(side[s : s + k], 1))
+                    if k > 1 and cut > s:
+                        yield from apart(c, prints, s, cut, s + k)
+                return
             two = begin[size == 2]
             near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius]
             out = [(node[near], node[near + 1], np.zeros(len(near), np.int64))]
             for s, k in zip(begin[size > 2], size[size > 2]):
                 cut = s + int(np.searchsorted(side[s : s + k], 1))
-                if cut == s + k:
-                    u, v, rank = tile_links(prints[s : s + k], None, radius, steps)
-                    out.append((node[s:][u], node[s:][v], rank))
-                elif cut > s:
-                    u, v, rank = tile_links(prints[s:cut], prints[cut : s + k], radius, steps)
-                    out.append((node[s:][u], node[cut:][v], rank))
+                if cut > s:
+                    u, v, rank, more = tile_links(prints[s:cut], prints[cut : s + k] if cut < s + k else None, radius, steps, most)
+                    out.append((node[s:][u], node[cut if cut < s + k else s :][v], rank))
+                    beyond = node[s : s + k][more]
+                    out.append((beyond, beyond, np.full(len(beyond), MORE)))
             a, b, rank = (np.concatenate(x) for x in zip(*out))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rank.astype(np.int32))], schema=arrow)
@@ -231,13 +269,14 @@ def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: t
     return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, schema)
 
 
-def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], tile: int) -> DataFrame:
+def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], tile: int, most: int = FORESTS) -> DataFrame:
     """Links of rows (t, key, band, node, f0..) within each bucket (t, key), by tile pairs.
 
     Tiles lie by band and population count. Bands that are not neighbours, and counts
     that differ beyond the radius, never meet.
     """
     wide = max(1, radius // 2) if lanes == 1 else radius
+    own_columns = [c for c in rows.columns if c == "label" or c == "node" or c in {f"f{k}" for k in range(lanes)}]
     ones = sum((F.bit_count(f"f{k}") for k in range(1, lanes)), F.bit_count("f0"))
     bins = 64 * lanes // wide + 2
     # one number for band and bin; bins + 1 keeps the last bin of a band from the next band's first
@@ -253,19 +292,20 @@ def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], til
     partners = F.flatten(F.transform(near, lambda q: F.when(F.element_at("tiles", q).isNull(), F.array().cast("array<struct<q:int,y:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.element_at("tiles", q) - 1), lambda y: F.struct(q.alias("q"), y.alias("y"))))))
     here = F.struct(F.col("bin").alias("q"), F.col("tile").alias("y"))
     paired = placed.withColumn("other", F.explode(partners)).withColumn("here", here)
-    paired = paired.select("t", "key", "node", *(f"f{k}" for k in range(lanes)), F.least("here", "other").alias("low"), F.greatest("here", "other").alias("high"), F.when(F.col("here") <= F.col("other"), 0).otherwise(1).alias("side"))
-    keyed = paired.select("t", "key", F.col("low.q").alias("q1"), F.col("low.y").alias("y1"), F.col("high.q").alias("q2"), F.col("high.y").alias("y2"), "side", "node", *(f"f{k}" for k in range(lanes)))
-    return _compare(keyed, ["t", "key", "q1", "y1", "q2", "y2"], lanes, radius, steps)
+    paired = paired.select("t", "key", *own_columns, F.least("here", "other").alias("low"), F.greatest("here", "other").alias("high"), F.when(F.col("here") <= F.col("other"), 0).otherwise(1).alias("side"))
+    keyed = paired.select("t", "key", F.col("low.q").alias("q1"), F.col("low.y").alias("y1"), F.col("high.q").alias("q2"), F.col("high.y").alias("y2"), "side", *own_columns)
+    return _compare(keyed, ["t", "key", "q1", "y1", "q2", "y2"], lanes, radius, steps, most)
 
 
-def link_forest(distinct: DataFrame, lanes: int = 1, radius: int = 4, steps: tuple[int, ...] = (), tile: int = TILE) -> DataFrame:
+def link_forest(distinct: DataFrame, lanes: int = 1, radius: int = 4, steps: tuple[int, ...] = (), tile: int = TILE, most: int = FORESTS) -> DataFrame:
     """Links (a, b, rank) that connect the nodes (node, f0..) as all links within the
-    radius do. Where nodes have a ``band``, those of neighbouring bands alone may link."""
+    radius do. Where nodes have a ``band``, those of neighbouring bands alone may link;
+    with two lanes and a ``label``, those of different labels, and all their links follow."""
     steps = steps or (radius,)
     bits, blocks = 64 * lanes, radius + 2
     if lanes > 1 or 2 * (bits // blocks) < KEY_BITS:
         banded = distinct if "band" in distinct.columns else distinct.withColumn("band", F.lit(0))
-        return _tiled(banded.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "*"), lanes, radius, steps, tile)
+        return _tiled(banded.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "*"), lanes, radius, steps, tile, most)
     edges = [bits * k // blocks for k in range(blocks + 1)]
     masks = [sum(1 << i for x in (x, y) for i in range(edges[x], edges[x + 1])) for x, y in itertools.combinations(range(blocks), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -298,12 +338,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
 LANES, WIDE_RADIUS, STEPS = 2, 34, (6, 10, 14, 18, 22, 26, 30, 34)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 2 * TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 2 * TILE, most: int = FORESTS, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, text_hash, group_id: groups of documents whose shingle sets are alike.
 
     Candidates are pairs of 128-bit fingerprints within a radius that pairs at the
-    similarity exceed once in several thousand times; each link of their forest of
-    least distances is then held against the exact Jaccard similarity of the sets.
+    similarity exceed once in several thousand times. Links of ``most`` forests of least
+    distances are held against the exact Jaccard similarity of the sets first, then
+    all other candidates whose ends are still in different groups, so none is lost.
     Texts with equal words are one node. Fewer words than a shingle has: the whole
     sequence; none: like any other. Rows of one id count as one group.
     """
@@ -331,26 +372,41 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
     # sets at the similarity differ in size by it at most: one band up or down
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(similarity)) - F.lit(1e-9)).cast("int")
     texts = texts.withColumn("band", band)
-    # equal fingerprints of different texts are candidates too: each with the least of them
-    least = texts.groupBy("f0", "f1", "band").agg(F.min("doc_id").alias("node"))
-    equal = texts.join(least, ["f0", "f1", "band"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"), F.lit(0).alias("rank"))
-    links = link_forest(least, LANES, WIDE_RADIUS, STEPS, tile).union(equal).groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    links = materialize(links, "candidates")
-    # rows of one text are linked to its node, and so are its copies
-    same = prints.join(texts.select("c0", "c1", F.col("doc_id").alias("node")), ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = materialize(texts.select(F.col("doc_id").alias("node"), "f0", "f1", "band"), "texts")
+    links = materialize(link_forest(nodes, LANES, WIDE_RADIUS, STEPS, tile, most), "candidates")
     kept = materialize(verified(src, links.where("rank = 0"), words, similarity), "verified")
     found = connected_components(kept)
-    # other links matter where their ends are still apart
-    part = found.select(F.col("node").alias("x"), "component")
-    ends = links.where("rank > 0").join(part.select(F.col("x").alias("a"), F.col("component").alias("ca")), "a", "left").join(part.select(F.col("x").alias("b"), F.col("component").alias("cb")), "b", "left")
-    apart = materialize(ends.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b"), "apart")
-    if not apart.isEmpty():
-        kept = kept.union(materialize(verified(src, apart, words, similarity), "verified"))
+
+    def tested(candidates: DataFrame) -> None:
+        """Those of the candidates whose ends are still apart join the links if they pass."""
+        nonlocal kept, found
+        apart = materialize(_apart(candidates, found), "apart")
+        if not apart.isEmpty():
+            kept = kept.union(materialize(verified(src, apart, words, similarity), "verified"))
+            found = connected_components(kept)
+
+    tested(links.where("rank > 0"))
+    more = links.where(F.col("rank") == MORE).select(F.col("a").alias("node")).distinct()
+    labels = nodes.join(more, "node").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    if not labels.isEmpty():
+        rest = materialize(link_forest(labels, LANES, WIDE_RADIUS, STEPS, tile), "further-candidates")
+        rounds = -(-rest.count() // at_once)
+        for k in range(rounds):
+            tested(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k))
+    # rows of one text are linked to its node, and so are its copies
+    same = prints.join(texts.select("c0", "c1", F.col("doc_id").alias("node")), ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = connected_components(kept.union(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+def _apart(links: DataFrame, found: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends lie in different components."""
+    of = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def verified(src: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) whose documents' shingle sets have the Jaccard similarity.
 

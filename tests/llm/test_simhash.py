@@ -84,7 +84,7 @@ def test_tile_links_connect_as_all_links_do():
     far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2)
     for b in (None, rows[100:]):
         a = rows if b is None else rows[:100]
-        u, v, _ = simhash.tile_links(a, b, 20, (5, 10, 20))
+        u, v, _, _ = simhash.tile_links(a, b, 20, (5, 10, 20))
         v = v if b is None else v + 100
         for step in (5, 10, 20):
             ids = range(len(rows))
@@ -103,6 +103,37 @@ def test_similar_groups(spark):
     assert found == want
 
 
+def test_links_beyond_the_forests_are_tested(spark):
+    """Two families with many candidates that fail, and links among them."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    given = []
+    for f in range(2):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for k in range(14):
+            w = list(base)
+            for _ in range(rng.choice([0, 2, 3, 4, 5])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            given.append((100 * f + k, " ".join(w)))
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    sets = {d: set(shingles(t, 5)) for d, t in given}
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    ids = sorted(sets)
+    want = grouped(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if alike(sets[a], sets[b])])
+    found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, most=1, at_once=60).collect()}
+    assert found == want
+
+
+def test_both_ends_of_links_beyond_the_forests_are_named():
+    rows = np.zeros((30, 2), np.uint64)
+    for count in (3, 30):
+        u, v, _, more = simhash.tile_links(rows[:count], None, 20, (5, 20), most=2)
+        got = set(zip(u.tolist(), v.tolist()))
+        left = [(i, j) for i in range(count) for j in range(i + 1, count) if (i, j) not in got]
+        assert set(np.flatnonzero(more).tolist()) == {x for link in left for x in link}
+        assert bool(left) == (count == 30)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
