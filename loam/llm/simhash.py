@@ -336,21 +336,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
 # near-duplicates by shingle sets, for the pipeline
 
 LANES, WIDE_RADIUS, STEPS = 2, 34, (6, 10, 14, 18, 22, 26, 30, 34)
+#: Texts of at most so many different shingles have an exact path instead of fingerprints.
+FEW = 25
+#: Rows of a tile of the exact path.
+FEW_TILE = 512
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 2 * TILE, most: int = FORESTS, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, text_hash, group_id: groups of documents whose shingle sets are alike.
 
-    Candidates are pairs of 128-bit fingerprints within a radius that pairs at the
+    Fingerprints and sets count each different shingle once. Texts with equal sets are
+    one node. Links of texts with at most ``FEW`` shingles are exact (``few_links``). Of the
+    others candidates are pairs of 128-bit fingerprints within a radius that pairs at the
     similarity exceed once in several thousand times. Links of ``most`` forests of least
     distances are held against the exact Jaccard similarity of the sets first, then
     all other candidates whose ends are still in different groups, so none is lost.
-    Texts with equal words are one node. Fewer words than a shingle has: the whole
-    sequence; none: like any other. Rows of one id count as one group.
+    Fewer words than a shingle has: the whole sequence; none: like any other. Rows of
+    one id count as one group.
     """
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, c0 long, c1 long, n int, f0 long, f1 long"
+    schema = "doc_id long, c0 long, c1 long, n int, f0 long, f1 long, few array<long>"
     arrow = _arrow_schema(docs, schema)
+    # the largest set that one of FEW shingles may link to
+    partner = int(FEW / similarity + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -360,21 +368,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
                 part = batch.slice(k, 256)
                 rows = []
                 for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    h = shingle_hashes(t, words)
-                    content = xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))
-                    c0, c1 = np.frombuffer(content, np.int64).tolist()
+                    h = np.unique(shingle_hashes(t, words))
+                    c0, c1 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
                     prints = np.array([fingerprint(_lane(h, lane)) for lane in range(LANES)], np.uint64).view(np.int64).tolist()
-                    rows.append((d, c0, c1, len(np.unique(h)), *prints))
+                    rows.append((d, c0, c1, len(h), *prints, h.view(np.int64).tolist() if len(h) <= partner else None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
     prints = materialize(src.mapInArrow(run, schema), "fingerprints")
-    texts = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    texts = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("few").alias("few"))
+    few = texts.where("few is not null").select(F.col("doc_id").alias("node"), "c0", "n", F.col("few").alias("hashes"))
+    exact = materialize(few_links(materialize(few, "few"), similarity), "few-links")
+    texts = texts.where(F.col("n") > FEW)
     # sets at the similarity differ in size by it at most: one band up or down
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(similarity)) - F.lit(1e-9)).cast("int")
-    texts = texts.withColumn("band", band)
-    nodes = materialize(texts.select(F.col("doc_id").alias("node"), "f0", "f1", "band"), "texts")
+    nodes = materialize(texts.withColumn("band", band).select(F.col("doc_id").alias("node"), "f0", "f1", "band"), "texts")
     links = materialize(link_forest(nodes, LANES, WIDE_RADIUS, STEPS, tile, most), "candidates")
-    kept = materialize(verified(src, links.where("rank = 0"), words, similarity), "verified")
+    kept = exact.union(materialize(verified(src, links.where("rank = 0"), words, similarity), "verified"))
     found = connected_components(kept)
 
     def tested(candidates: DataFrame) -> None:
@@ -393,13 +402,84 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
         rounds = -(-rest.count() // at_once)
         for k in range(rounds):
             tested(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k))
-    # rows of one text are linked to its node, and so are its copies
-    same = prints.join(texts.select("c0", "c1", F.col("doc_id").alias("node")), ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # rows of one set are linked to its node
+    least = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"))
+    same = prints.select("doc_id", "c0", "c1").join(least, ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = connected_components(kept.union(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+def few_links(sets: DataFrame, similarity: float, tile: int = FEW_TILE) -> DataFrame:
+    """Links (a, b) that connect the sets (node, c0, n, hashes) as all pairs of the similarity do.
+
+    Exact: of two such sets, each has a common element among its rarest
+    ``n - ceil(similarity * n) + 1``. Sets that share one of those meet in its bucket, by
+    pairs of tiles, so a hot bucket spreads over many tasks; a tile pair reports a
+    spanning forest of its links. ``node`` and ``c0`` name a set.
+    """
+    each = sets.select("node", "c0", F.explode("hashes").alias("key"))
+    common = materialize(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "few-common")
+    shared = each.join(common, "key").groupBy("node", "c0").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    # elements of one set alone come first in the order, and meet no other
+    first = F.col("n") - F.ceil(F.col("n") * similarity - F.lit(1e-9)) + 1 - (F.col("n") - F.size("shared"))
+    rare = sets.join(shared, ["node", "c0"]).select("node", "c0", "hashes", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("r"))
+    rows = materialize(rare.select("node", "c0", "hashes", F.col("r.key").alias("key")), "few-buckets")
+    large = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "few-large")
+    tiles = F.coalesce("tiles", F.lit(1))
+    placed = rows.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("node", "c0"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    keyed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "hashes")
+    schema = "a long, b long"
+    arrow = _arrow_schema(sets, schema)
+
+    def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, low, high, side, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        values, size = batch.column(5).flatten().to_numpy(), batch.column(5).value_lengths().to_numpy()
+        at = np.append(0, np.cumsum(size))
+        new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        begin = np.flatnonzero(np.append(True, new))
+        found = []
+        for s, e in zip(begin, np.append(begin[1:], len(key))):
+            cut = s + int(np.searchsorted(side[s:e], 1))
+            if e - s < 2 or cut == s or (cut == e and low[s] != high[s]):
+                continue
+            _, element, count = np.unique(values[at[s] : at[e]], return_inverse=True, return_counts=True)
+            both = count > 1
+            use = both[element]
+            holds = np.zeros((e - s, int(both.sum())), np.float32)
+            holds[np.repeat(np.arange(e - s), size[s:e])[use], (np.cumsum(both) - 1)[element[use]]] = 1
+            top = cut if cut < e else s
+            overlap = holds[: cut - s] @ holds[top - s :].T
+            u, v = np.nonzero(overlap >= similarity * (size[s:cut, None] + size[None, top:e] - overlap.astype(np.float64)))
+            if top == s:
+                u, v = u[v > u], v[v > u]
+            kept = forest(u, v + top - s, np.arange(e - s))
+            found.append((node[s + u[kept]], node[top + v[kept]]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            n = batch.num_rows
+            last = np.ones(n, bool)
+            for x in (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)):
+                last &= x == x[-1]
+            cut = n - int(last.sum())
+            if cut:
+                yield from links(batch.slice(0, cut))
+            held = batch.slice(cut)
+        if held is not None:
+            yield from links(held)
+
+    return keyed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, schema)
+
+
 def _apart(links: DataFrame, found: DataFrame) -> DataFrame:
     """The links (a, b) whose ends lie in different components."""
     of = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}

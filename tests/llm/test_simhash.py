@@ -150,3 +150,55 @@ def test_empty(spark):
     for r in simhash.near_duplicates(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")).collect():
         one[r.doc_id].append(r.component_id)
     assert one == {1: [1, 1], 2: [2]}
+
+
+def same_as_brute(spark, given, **options):
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    sets = {d: set(shingles(t, 5)) for d, t in given}
+    ids = sorted(sets)
+    want = grouped(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()}
+    assert found == want
+
+
+def test_repeated_passages_count_once(spark):
+    """A passage that one text alone repeats hides no link of their sets."""
+    rng = random.Random(5)
+    given = []
+    for k in range(0, 60, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(250)]
+        given += [(k, " ".join(base)), (k + 1, " ".join(base[:20] * 50 + base))]
+    # the same set, with another number of repeats
+    given += [(100 + k, "\n".join(["over and over it goes again here"] * k)) for k in (2, 3, 9, 400)]
+    same_as_brute(spark, given)
+
+
+def test_few_shingles_are_exact(spark):
+    rng = random.Random(6)
+    given = []
+    for k in range(0, 500, 2):
+        base = [f"w{rng.randrange(9000)}" for _ in range(9)]
+        given += [(k, " ".join(base)), (k + 1, " ".join(base[:8]))]
+    same_as_brute(spark, given)
+
+
+def test_few_links_in_tiles(spark):
+    """Sets up to and over the bound, many with a passage in common."""
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(14)]
+    given = []
+    for f in range(12):
+        base = [*common, *(f"w{rng.randrange(4000)}" for _ in range(rng.choice([0, 3, 12, 21])))]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1])):
+                w[rng.choice([0, 1, -1, -2])] = f"w{rng.randrange(4000)}"
+            given.append((20 * f + k, " ".join(w)))
+    docs = [(d, set(shingles(t, 5))) for d, t in given]
+    code = lambda s: [xxhash.xxh64_intdigest(x.encode(), 42) - (1 << 63) for x in sorted(s)]
+    sets = spark.createDataFrame([(d, d, len(s), code(s)) for d, s in docs], "node long, c0 long, n int, hashes array<long>")
+    ids = [d for d, _ in docs]
+    want = grouped(ids, [(a, b) for i, (a, x) in enumerate(docs) for b, y in docs[:i] if len(x & y) >= 0.8 * len(x | y)])
+    for tile in (3, 512):
+        assert grouped(ids, [(r.a, r.b) for r in simhash.few_links(sets, 0.8, tile).collect()]) == want
+    same_as_brute(spark, given)
