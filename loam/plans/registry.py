@@ -159,9 +159,16 @@ def knn_label_vote(spark, sf_dir):
 def eval_hit_mrr(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    wanted = q.join(e.select(F.col("vec_id").alias("other"), "label"), "label").where("other <> query_id").groupBy("query_id").agg(F.collect_list(F.col("other").cast("string")).alias("expect_doc_ids"))
-    golden = q.join(wanted, "query_id", "left").select("query_id", "expect_doc_ids", F.lit(None).cast("array<string>").alias("expect_phrases"), F.lit(10).alias("top_k"))
-    found = retrieval.top_k(e, _questions(spark, sf_dir), 10).select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.lit("").alias("text"))
+    near = retrieval.top_k(e, _questions(spark, sf_dir), 10).select("query_id", "rank", "vec_id")
+    # a query wants all other rows of its label; those among the ten found are all that count
+    labelled = near.join(e.select("vec_id", F.col("label").alias("found_label")), "vec_id").join(q, "query_id")
+    wanted = labelled.where("found_label = label and vec_id <> query_id").groupBy("query_id").agg(F.collect_list(F.col("vec_id").cast("string")).alias("found_ids"))
+    others = e.groupBy("label").agg((F.count("*") - 1).alias("others"))
+    golden = q.join(others, "label", "left").join(wanted, "query_id", "left")
+    # a query whose wanted rows were not found stays eligible, by an id that no row has
+    ids = F.when(F.col("others") > 0, F.coalesce("found_ids", F.array(F.lit("none found"))))
+    golden = golden.select("query_id", ids.alias("expect_doc_ids"), F.lit(None).cast("array<string>").alias("expect_phrases"), F.lit(10).alias("top_k"))
+    found = near.select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.lit("").alias("text"))
     return evaluation.hit_rate_mrr(golden, found).select("eligible", "hits", "hit_rate", F.round("mrr", 6).alias("mrr"))
 
 
