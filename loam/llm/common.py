@@ -7,21 +7,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a temporary folder is made and set as the checkpoint
+    folder; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="loam-shared-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
             sc.setCheckpointDir(base)
@@ -33,14 +36,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders by the columns of
+    ``partition`` (the last ones), and read it back.
 
-    This cuts the lineage at a table that outlives any executor.
+    This cuts the lineage at a table that outlives any executor. Whoever has written
+    what follows from it may ``release`` it.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loam_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and nobody reads any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t._loam_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, whatever kind of store that is."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def text_hash(text: str = "text") -> Column:
+    """With the id it tells rows apart; equal in all rows whose text is null."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id`` long, ``text_hash`` and ``row``, a struct of all columns, so that no
+    column of ``docs`` clashes with one of ours."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -52,5 +83,19 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def texts_with_hash(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``text`` of the rows that have an id."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+
+#: Rows of a few numbers each up to which one side of a join is broadcast, after a count.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if a count proves that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

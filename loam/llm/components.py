@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialize
+from loam.llm.common import materialize, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -43,5 +43,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         # a forest of stars: each node above a root has one link, and no root has one itself
         if seen["links"] == seen["nodes"] and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        now = materialize(_star(_star(now, large=True), large=False), "links")
+        before, now = now, materialize(_star(_star(now, large=True), large=False), "links")
+        release(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
