@@ -2,48 +2,35 @@
 
 A fingerprint has a bit for each bit of its shingles' hashes: 1 where over half of
 them have a 1. Equal fingerprints collapse to the least doc_id that has them.
-The others are laid out in tiles: by population count, and evenly within one.
-Pairs of tiles are compared whole, in numpy, by exclusive-or and bit counts; two
-tiles whose population counts differ beyond the radius are skipped, since counts
-cannot differ by more than the distance.
-
-For small radii the tiles lie within buckets. Of ``radius + 2`` blocks of the bits
-at least two agree for any two fingerprints within the radius, so each pair that
-links shares a bucket for some two blocks; no link is lost. Buckets larger than a
-tile are tiled in turn, so one hot bucket spreads over many tasks. For a radius
-at which blocks get too short to tell texts apart, one bucket holds all: every
-tile is compared with every other, which is exact and quadratic.
+The others are laid out in tiles by population count. Pairs of tiles are compared
+whole, in numpy, by exclusive-or and bit counts; two tiles whose population counts
+differ beyond the radius are skipped, since counts cannot differ by more than the
+distance (``tile_pairs`` counts both kinds).
+
+The tiles lie within buckets. Of ``radius + 2`` blocks of the bits at least two agree
+for any two fingerprints within the radius, so each pair that links shares a bucket
+for some two blocks; no link is lost. A bucket's rows of like population counts are a
+tile, or several where they are many, so one hot bucket spreads over many tasks.
 
 A tile pair reports a spanning forest of its links, never all of them; components of
-the links follow in Spark. Where a further test of the links follows, it reports a few
-forests and the nodes that have other links still. Once the tested links have made
-components, those nodes meet again, and every link between two components is tested.
+the links follow in Spark.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema
-from loam.llm.common import materialize
+from loam.llm.common import ids_and_texts, materialize
 from loam.llm.components import connected_components
 
 TILE = 8192
-#: Fewest bits that two agreeing blocks may have for buckets to be of use.
-KEY_BITS = 20
-#: Forests of candidate links that a tile pair hands to an exact test at first.
-FORESTS = 8
-#: The rank of a row that says that a node has links beyond those.
-MORE = -1
-#: Links between components that are tested at once; more take further rounds.
-AT_ONCE = 4_000_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -81,28 +68,23 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
-    """doc_id and f0.. (64 bits each, signed) for every document.
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id and f0 (64 bits, signed) for every document.
 
     A null or empty text has fingerprint zero; null doc_ids are left out; rows
     that repeat an id each have their row.
     """
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes))
+    schema = "doc_id long, f0 long"
     arrow = _arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                prints = []
-                for t in part.column(1).to_pylist():
-                    h = shingle_hashes(t, words)
-                    prints.append([fingerprint(_lane(h, lane)) for lane in range(lanes)])
-                values = np.array(prints, np.uint64).view(np.int64).reshape(-1, lanes)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(values[:, lane]) for lane in range(lanes))], schema=arrow)
+                prints = np.array([fingerprint(shingle_hashes(t, words)) for t in part.column(1).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], schema=arrow)
 
-    return src.mapInArrow(run, schema)
+    return ids_and_texts(docs).mapInArrow(run, schema)
 
 
 def forest(u: np.ndarray, v: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -126,197 +108,137 @@ def forest(u: np.ndarray, v: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def forests(u: np.ndarray, v: np.ndarray, d: np.ndarray, nodes: int, steps: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The indexes of links in up to ``most`` forests without a link in common, each of
-    the least distances that are left, and the forest of each."""
-    taken, ranks = [], []
-    left = np.arange(len(u))
-    for rank in range(most):
-        if not len(left):
-            break
-        parent, low, used = np.arange(nodes), -1, np.zeros(len(left), bool)
-        for step in steps:
-            here = np.flatnonzero((d[left] > low) & (d[left] <= step))
-            got = here[forest(u[left[here]], v[left[here]], parent)]
-            used[got] = True
-            low = step
-        taken.append(left[used])
-        ranks.append(np.full(int(used.sum()), rank))
-        left = left[~used]
-    if not taken:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(taken), np.concatenate(ranks)
-
-
-def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The links (rows of ``a``, rows of ``b`` or ``a``, distances) of a few rows of ``a`` at a time."""
+def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links (rows of ``a``, rows of ``b`` or ``a``) of a few rows of ``a`` at a time."""
     n, same = len(a), b is None
     other = a if same else b
     height = max(1, (1 << 21) // max(1, len(other)))
     for k in range(0, n, height):
         block = a[k : k + height]
         columns = other[k:] if same else other
-        distance = np.zeros((len(block), len(columns)), np.uint16)
-        for lane in range(a.shape[1]):
-            distance += np.bitwise_count(block[:, lane, None] ^ columns[None, :, lane])
-        i, j = np.nonzero(distance <= radius)
+        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ columns[None]) <= radius)
         if same:
             above = j > i
             i, j = i[above], j[above]
         if len(i):
-            yield i + k, j + (k if same else 0), distance[i, j]
+            yield i + k, j + (k if same else 0)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...], most: int = FORESTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links within tile ``a`` (b: None) or between two tiles, their forests, and
-    which rows (of ``a``, then of ``b``) have links that are in none.
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within tile ``a`` (b: None) or between two tiles.
 
-    Rows are fingerprints, columns their lanes. One step: a spanning forest. With
-    several, ``most`` forests without a link in common: the first connects at
-    every step what the links up to that distance connect, the others stand in for
-    links that a later test refuses. Blocks of rows are reduced to their forests
-    first, then the blocks' links together, so few links are ever held.
+    Blocks of rows are reduced to their forests one after the other, so few links are
+    ever held.
     """
-    n, same = len(a), b is None
-    shift = 0 if same else n
-    nodes = n if same else n + len(b)
-    several = len(steps) > 1
-    more = np.zeros(nodes, bool)
-
-    def reduced(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
-        kept, rank = forests(u, v, d, nodes, steps, most if several else 1)
-        if several and len(kept) < len(u):
-            left = np.ones(len(u), bool)
-            left[kept] = False
-            more[u[left]] = more[v[left]] = True
-        return u[kept], v[kept], d[kept], rank
-
-    found = [reduced(u, v + shift, d)[:3] for u, v, d in _near(a, b, radius)]
-    if not found:
-        return *(np.zeros(0, np.int64) for _ in range(3)), more
-    u, v, _, rank = reduced(*(np.concatenate(x) for x in zip(*found)))
-    return u, v - shift, rank, more
-
-
-def _compare(rows: DataFrame, keys: list[str], lanes: int, radius: int, steps: tuple[int, ...], most: int = FORESTS) -> DataFrame:
-    """Links (a, b, rank) of each group of ``keys``; ``side`` is 0 or 1, all 0 in one tile.
-
-    Rows with a ``label``: all links between different labels. Else forests, and
-    rows of rank ``MORE`` whose node has links in none of them.
-    """
-    schema = "a long, b long, rank int"
+    shift = 0 if b is None else len(a)
+    parent = np.arange(shift + len(a if b is None else b))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for u, v in _near(a, b, radius):
+        kept = forest(u, v + shift, parent)
+        out.append((u[kept], v[kept]))
+    u, v = (np.concatenate(x) for x in zip(*out))
+    return u, v
+
+
+#: A pair of tiles of one bucket: bins of population counts and numbers within them.
+PAIR = ["t", "key", "bin", "part", "other_bin", "other_part"]
+
+
+def _compare(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of each pair of tiles; rows of the first have ``side`` 0, of the other 1."""
+    schema = "a long, b long"
     arrow = _arrow_schema(rows, schema)
-    labelled = "label" in rows.columns
-    wanted = [*keys, "side", "node", *(f"f{k}" for k in range(lanes)), *(["label"] if labelled else [])]
-
-    def apart(c: list[np.ndarray], prints: np.ndarray, s: int, cut: int, end: int) -> Iterator[pa.RecordBatch]:
-        node, label = c[len(keys) + 1], c[-1]
-        for u, v, _ in _near(prints[s:cut], prints[cut:end] if cut < end else None, radius):
-            u, v = u + s, v + (cut if cut < end else s)
-            differ = label[u] != label[v]
-            u, v = u[differ], v[differ]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.zeros(len(u), np.int32))], schema=arrow)
+
+    def links(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, (side, node, prints) = c[: len(PAIR)], c[len(PAIR) :]
+        prints = prints.view(np.uint64)
+        n = len(side)
+        new = np.ones(n, bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, n))
+        one_tile = (keys[2] == keys[4]) & (keys[3] == keys[5])
+        # most pairs hold two rows; these are compared together
+        two = begin[size == 2]
+        two = two[one_tile[two] | (side[two] != side[two + 1])]
+        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
+        out = [(node[two], node[two + 1])]
+        for s, k in zip(begin[size > 2], size[size > 2]):
+            cut = s + int(np.searchsorted(side[s : s + k], 1))
+            if one_tile[s]:
+                u, v = tile_links(prints[s : s + k], None, radius)
+                out.append((node[s:][u], node[s:][v]))
+            elif s < cut < s + k:
+                u, v = tile_links(prints[s:cut], prints[cut : s + k], radius)
+                out.append((node[s:][u], node[cut:][v]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-
-        def links(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            n = len(c[0])
-            new = np.ones(n, bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in c[: len(keys)]], axis=0)
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, n))
-            side, node = c[len(keys)], c[len(keys) + 1]
-            prints = np.stack(c[len(keys) + 2 : len(keys) + 2 + lanes], axis=1).view(np.uint64)
-            if labelled:
-                for s, k in zip(begin, size):
-                    cut = s + int(np.searchsorted(side[s : s + k], 1))
-                    if k > 1 and cut > s:
-                        yield from apart(c, prints, s, cut, s + k)
-                return
-            two = begin[size == 2]
-            near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius]
-            out = [(node[near], node[near + 1], np.zeros(len(near), np.int64))]
-            for s, k in zip(begin[size > 2], size[size > 2]):
-                cut = s + int(np.searchsorted(side[s : s + k], 1))
-                if cut > s:
-                    u, v, rank, more = tile_links(prints[s:cut], prints[cut : s + k] if cut < s + k else None, radius, steps, most)
-                    out.append((node[s:][u], node[cut if cut < s + k else s :][v], rank))
-                    beyond = node[s : s + k][more]
-                    out.append((beyond, beyond, np.full(len(beyond), MORE)))
-            a, b, rank = (np.concatenate(x) for x in zip(*out))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rank.astype(np.int32))], schema=arrow)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
             if held is not None:
                 c = [np.concatenate(x) for x in zip(held, c)]
-            n = len(c[0])
-            last = np.ones(n, bool)
-            for x in c[: len(keys)]:
+            last = np.ones(len(c[0]), bool)
+            for x in c[: len(PAIR)]:
                 last &= x == x[-1]
-            cut = n - int(last.sum())
+            cut = len(last) - int(last.sum())
             if cut:
                 yield from links([x[:cut] for x in c])
             held = [x[cut:] for x in c]
         if held is not None:
             yield from links(held)
 
-    return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, schema)
+    return rows.select(*PAIR, "side", "node", "f0").repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(run, schema)
 
 
-def _tiled(rows: DataFrame, lanes: int, radius: int, steps: tuple[int, ...], tile: int, most: int = FORESTS) -> DataFrame:
-    """Links of rows (t, key, band, node, f0..) within each bucket (t, key), by tile pairs.
-
-    Tiles lie by band and population count. Bands that are not neighbours, and counts
-    that differ beyond the radius, never meet.
-    """
-    wide = max(1, radius // 2) if lanes == 1 else radius
-    own_columns = [c for c in rows.columns if c == "label" or c == "node" or c in {f"f{k}" for k in range(lanes)}]
-    ones = sum((F.bit_count(f"f{k}") for k in range(1, lanes)), F.bit_count("f0"))
-    bins = 64 * lanes // wide + 2
-    # one number for band and bin; bins + 1 keeps the last bin of a band from the next band's first
-    spread = 2 * bins
-    binned = rows.withColumn("bin", (F.col("band") * spread + F.floor(ones / wide)).cast("int"))
-    sizes = binned.groupBy("t", "key", "bin").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    # a bucket's tiles: one number for each of its bins, of which there are few
-    layout = sizes.groupBy("t", "key").agg(F.map_from_entries(F.collect_list(F.struct("bin", "tiles"))).alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("bin"))).cast("int")
-    placed = binned.join(layout, ["t", "key"]).withColumn("tile", own)
-    apart = (radius + wide - 1) // wide
-    near = F.flatten(F.array(*(F.sequence(F.col("bin") + F.lit(step * spread - apart), F.col("bin") + F.lit(step * spread + apart)) for step in (-1, 0, 1))))
-    partners = F.flatten(F.transform(near, lambda q: F.when(F.element_at("tiles", q).isNull(), F.array().cast("array<struct<q:int,y:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.element_at("tiles", q) - 1), lambda y: F.struct(q.alias("q"), y.alias("y"))))))
-    here = F.struct(F.col("bin").alias("q"), F.col("tile").alias("y"))
-    paired = placed.withColumn("other", F.explode(partners)).withColumn("here", here)
-    paired = paired.select("t", "key", *own_columns, F.least("here", "other").alias("low"), F.greatest("here", "other").alias("high"), F.when(F.col("here") <= F.col("other"), 0).otherwise(1).alias("side"))
-    keyed = paired.select("t", "key", F.col("low.q").alias("q1"), F.col("low.y").alias("y1"), F.col("high.q").alias("q2"), F.col("high.y").alias("y2"), "side", *own_columns)
-    return _compare(keyed, ["t", "key", "q1", "y1", "q2", "y2"], lanes, radius, steps, most)
-
-
-def link_forest(distinct: DataFrame, lanes: int = 1, radius: int = 4, steps: tuple[int, ...] = (), tile: int = TILE, most: int = FORESTS) -> DataFrame:
-    """Links (a, b, rank) that connect the nodes (node, f0..) as all links within the
-    radius do. Where nodes have a ``band``, those of neighbouring bands alone may link;
-    with two lanes and a ``label``, those of different labels, and all their links follow."""
-    steps = steps or (radius,)
-    bits, blocks = 64 * lanes, radius + 2
-    if lanes > 1 or 2 * (bits // blocks) < KEY_BITS:
-        banded = distinct if "band" in distinct.columns else distinct.withColumn("band", F.lit(0))
-        return _tiled(banded.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "*"), lanes, radius, steps, tile, most)
-    edges = [bits * k // blocks for k in range(blocks + 1)]
-    masks = [sum(1 << i for x in (x, y) for i in range(edges[x], edges[x + 1])) for x, y in itertools.combinations(range(blocks), 2)]
+def _binned(distinct: DataFrame, radius: int) -> DataFrame:
+    """t, key, bin, node, f0: each fingerprint in its bucket for every two of the blocks;
+    counts that differ by the radius at most lie in one bin or in neighbours."""
+    size = radius + 2
+    edges = [64 * k // size for k in range(size + 1)]
+    masks = [sum(1 << i for x in (x, y) for i in range(edges[x], edges[x + 1])) for x, y in itertools.combinations(range(size), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.col("f0").bitwiseAND(F.lit(m)) for m in signed))
-    rows = distinct.select("node", "f0", F.posexplode(keys).alias("t", "key"))
-    big = rows.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key")
-    big = materialize(big, "large-buckets")
-    if big.isEmpty():
-        return _compare(rows.withColumn("side", F.lit(0)), ["t", "key"], 1, radius, steps)
-    usual = _compare(rows.join(big, ["t", "key"], "left_anti").withColumn("side", F.lit(0)), ["t", "key"], 1, radius, steps)
-    return usual.union(_tiled(rows.join(big, ["t", "key"]).withColumn("band", F.lit(0)), 1, radius, steps, tile))
+    bin_ = F.floor(F.bit_count("f0") / (radius + 1)).cast("int")
+    return distinct.select("node", "f0", bin_.alias("bin"), F.posexplode(keys).alias("t", "key"))
+
+
+def _layout(rows: DataFrame, tile: int) -> DataFrame:
+    """t, key, tiles (bin to number of tiles) of the buckets that hold two rows or more."""
+    sizes = rows.groupBy("t", "key", "bin").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("t", "key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
+    return per.where("n > 1").select("t", "key", "tiles")
+
+
+def _partners(of: Column) -> Column:
+    """(bin, part) of the tiles that a tile of bin ``of`` meets, itself too."""
+    count = lambda q: F.coalesce(F.try_element_at("tiles", q), F.lit(0))
+    each = lambda q: F.transform(F.filter(F.sequence(F.lit(0), count(q)), lambda y: y < count(q)), lambda y: F.struct(q.alias("bin"), y.alias("part")))
+    return F.flatten(F.transform(F.array(of - 1, of, of + 1), each))
+
+
+def tile_pairs(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """compared, skipped: pairs of tiles of one bucket, over all buckets."""
+    layout = _layout(_binned(distinct, radius), tile)
+    tiles = F.aggregate(F.map_values("tiles"), F.lit(0), lambda a, n: a + n)
+    met = F.aggregate(F.map_entries("tiles"), F.lit(0), lambda a, e: a + e["value"] * F.size(_partners(e["key"])))
+    counted = layout.select((tiles * (tiles + 1) / 2).cast("long").alias("all"), ((met + tiles) / 2).cast("long").alias("compared"))
+    return counted.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"), F.coalesce(F.sum(F.col("all") - F.col("compared")), F.lit(0)).alias("skipped"))
+
+
+def link_forest(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect the nodes (node, f0) as all links within the radius do."""
+    rows = _binned(distinct, radius)
+    own = F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("bin"))).cast("int")
+    placed = rows.join(_layout(rows, tile), ["t", "key"]).withColumn("here", F.struct("bin", own.alias("part")))
+    paired = placed.withColumn("there", F.explode(_partners(F.col("bin"))))
+    low, high = F.least("here", "there"), F.greatest("here", "there")
+    return _compare(paired.select("t", "key", low["bin"].alias("bin"), low["part"].alias("part"), high["bin"].alias("other_bin"), high["part"].alias("other_part"), F.when(F.col("here") <= F.col("there"), 0).otherwise(1).alias("side"), "node", "f0"), radius)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -328,207 +250,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
     distinct = prints.groupBy("f0").agg(F.min("doc_id").alias("node"))
-    found = connected_components(link_forest(distinct, 1, radius, tile=tile))
+    found = connected_components(link_forest(distinct, radius, tile))
     named = distinct.join(found, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "f0").select("doc_id", "f0", "component_id")
-
-
-# near-duplicates by shingle sets, for the pipeline
-
-LANES, WIDE_RADIUS, STEPS = 2, 34, (6, 10, 14, 18, 22, 26, 30, 34)
-#: Texts of at most so many different shingles have an exact path instead of fingerprints.
-FEW = 25
-#: Rows of a tile of the exact path.
-FEW_TILE = 512
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 2 * TILE, most: int = FORESTS, at_once: int = AT_ONCE) -> DataFrame:
-    """doc_id, text_hash, group_id: groups of documents whose shingle sets are alike.
-
-    Fingerprints and sets count each different shingle once. Texts with equal sets are
-    one node. Links of texts with at most ``FEW`` shingles are exact (``few_links``). Of the
-    others candidates are pairs of 128-bit fingerprints within a radius that pairs at the
-    similarity exceed once in several thousand times. Links of ``most`` forests of least
-    distances are held against the exact Jaccard similarity of the sets first, then
-    all other candidates whose ends are still in different groups, so none is lost.
-    Fewer words than a shingle has: the whole sequence; none: like any other. Rows of
-    one id count as one group.
-    """
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, c0 long, c1 long, n int, f0 long, f1 long, few array<long>"
-    arrow = _arrow_schema(docs, schema)
-    # the largest set that one of FEW shingles may link to
-    partner = int(FEW / similarity + 1e-9)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    h = np.unique(shingle_hashes(t, words))
-                    c0, c1 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
-                    prints = np.array([fingerprint(_lane(h, lane)) for lane in range(LANES)], np.uint64).view(np.int64).tolist()
-                    rows.append((d, c0, c1, len(h), *prints, h.view(np.int64).tolist() if len(h) <= partner else None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    prints = materialize(src.mapInArrow(run, schema), "fingerprints")
-    texts = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("few").alias("few"))
-    few = texts.where("few is not null").select(F.col("doc_id").alias("node"), "c0", "n", F.col("few").alias("hashes"))
-    exact = materialize(few_links(materialize(few, "few"), similarity), "few-links")
-    texts = texts.where(F.col("n") > FEW)
-    # sets at the similarity differ in size by it at most: one band up or down
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(similarity)) - F.lit(1e-9)).cast("int")
-    nodes = materialize(texts.withColumn("band", band).select(F.col("doc_id").alias("node"), "f0", "f1", "band"), "texts")
-    links = materialize(link_forest(nodes, LANES, WIDE_RADIUS, STEPS, tile, most), "candidates")
-    kept = exact.union(materialize(verified(src, links.where("rank = 0"), words, similarity), "verified"))
-    found = connected_components(kept)
-
-    def tested(candidates: DataFrame) -> None:
-        """Those of the candidates whose ends are still apart join the links if they pass."""
-        nonlocal kept, found
-        apart = materialize(_apart(candidates, found), "apart")
-        if not apart.isEmpty():
-            kept = kept.union(materialize(verified(src, apart, words, similarity), "verified"))
-            found = connected_components(kept)
-
-    tested(links.where("rank > 0"))
-    more = links.where(F.col("rank") == MORE).select(F.col("a").alias("node")).distinct()
-    labels = nodes.join(more, "node").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    if not labels.isEmpty():
-        rest = materialize(link_forest(labels, LANES, WIDE_RADIUS, STEPS, tile), "further-candidates")
-        rounds = -(-rest.count() // at_once)
-        for k in range(rounds):
-            tested(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k))
-    # rows of one set are linked to its node
-    least = prints.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"))
-    same = prints.select("doc_id", "c0", "c1").join(least, ["c0", "c1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = connected_components(kept.union(same))
-    ids = prints.select("doc_id").distinct()
-    return ids.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
-
-
-def few_links(sets: DataFrame, similarity: float, tile: int = FEW_TILE) -> DataFrame:
-    """Links (a, b) that connect the sets (node, c0, n, hashes) as all pairs of the similarity do.
-
-    Exact: of two such sets, each has a common element among its rarest
-    ``n - ceil(similarity * n) + 1``. Sets that share one of those meet in its bucket, by
-    pairs of tiles, so a hot bucket spreads over many tasks; a tile pair reports a
-    spanning forest of its links. ``node`` and ``c0`` name a set.
-    """
-    each = sets.select("node", "c0", F.explode("hashes").alias("key"))
-    common = materialize(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "few-common")
-    shared = each.join(common, "key").groupBy("node", "c0").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
-    # elements of one set alone come first in the order, and meet no other
-    first = F.col("n") - F.ceil(F.col("n") * similarity - F.lit(1e-9)) + 1 - (F.col("n") - F.size("shared"))
-    rare = sets.join(shared, ["node", "c0"]).select("node", "c0", "hashes", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("r"))
-    rows = materialize(rare.select("node", "c0", "hashes", F.col("r.key").alias("key")), "few-buckets")
-    large = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "few-large")
-    tiles = F.coalesce("tiles", F.lit(1))
-    placed = rows.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("node", "c0"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    keyed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "hashes")
-    schema = "a long, b long"
-    arrow = _arrow_schema(sets, schema)
-
-    def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, low, high, side, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        values, size = batch.column(5).flatten().to_numpy(), batch.column(5).value_lengths().to_numpy()
-        at = np.append(0, np.cumsum(size))
-        new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        begin = np.flatnonzero(np.append(True, new))
-        found = []
-        for s, e in zip(begin, np.append(begin[1:], len(key))):
-            cut = s + int(np.searchsorted(side[s:e], 1))
-            if e - s < 2 or cut == s or (cut == e and low[s] != high[s]):
-                continue
-            _, element, count = np.unique(values[at[s] : at[e]], return_inverse=True, return_counts=True)
-            both = count > 1
-            use = both[element]
-            holds = np.zeros((e - s, int(both.sum())), np.float32)
-            holds[np.repeat(np.arange(e - s), size[s:e])[use], (np.cumsum(both) - 1)[element[use]]] = 1
-            top = cut if cut < e else s
-            overlap = holds[: cut - s] @ holds[top - s :].T
-            u, v = np.nonzero(overlap >= similarity * (size[s:cut, None] + size[None, top:e] - overlap.astype(np.float64)))
-            if top == s:
-                u, v = u[v > u], v[v > u]
-            kept = forest(u, v + top - s, np.arange(e - s))
-            found.append((node[s + u[kept]], node[top + v[kept]]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            n = batch.num_rows
-            last = np.ones(n, bool)
-            for x in (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)):
-                last &= x == x[-1]
-            cut = n - int(last.sum())
-            if cut:
-                yield from links(batch.slice(0, cut))
-            held = batch.slice(cut)
-        if held is not None:
-            yield from links(held)
-
-    return keyed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, schema)
-
-
-def _apart(links: DataFrame, found: DataFrame) -> DataFrame:
-    """The links (a, b) whose ends lie in different components."""
-    of = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
-    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
-    return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def verified(src: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose documents' shingle sets have the Jaccard similarity.
-
-    Sets of the linked documents alone are formed, once each, and travel to the
-    links as arrays of hashes.
-    """
-    links = links.select("a", "b")
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    schema = "doc_id long, hashes binary"
-    arrow = _arrow_schema(src, schema)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                held = [np.unique(shingle_hashes(t, words)).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held, pa.binary())], schema=arrow)
-
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hx"), batch.column("hy")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                keep.append(both >= similarity * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # of rows that share an id, the pairs take each text there is
-    hashes = src.join(ends, "doc_id", "left_semi").mapInArrow(sets, schema)
-    left = links.join(hashes.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hx")), "a")
-    both = left.join(hashes.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hy")), "b")
-    return both.select("a", "b", "hx", "hy").mapInArrow(jaccard, "a long, b long").distinct()
-
-
-def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the least doc_id of each group.
-
-    Of rows that share an id the least in all columns stays; rows without an id stay.
-    """
-    groups = similar_groups(docs, words, similarity)
-    kept = docs.join(groups.where("doc_id = group_id").select("doc_id"), "doc_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in others))
-    return one.select(docs.columns).union(docs.where("doc_id is null"))

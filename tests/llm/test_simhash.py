@@ -76,62 +76,31 @@ def test_large_buckets_are_tiled(spark):
 
 def test_tile_links_connect_as_all_links_do():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)
-    rows = np.concatenate([base] * 6)
+    rows = np.concatenate([rng.integers(0, 1 << 63, 40).astype(np.uint64)] * 6)
     for k in range(len(rows)):
-        for b in rng.integers(0, 128, rng.integers(0, 14)):
-            rows[k, b // 64] ^= np.uint64(1 << int(b % 64))
-    far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2)
+        for b in rng.integers(0, 64, rng.integers(0, 8)):
+            rows[k] ^= np.uint64(1 << int(b))
+    far = np.bitwise_count(rows[:, None] ^ rows[None])
     for b in (None, rows[100:]):
         a = rows if b is None else rows[:100]
-        u, v, _, _ = simhash.tile_links(a, b, 20, (5, 10, 20))
-        v = v if b is None else v + 100
-        for step in (5, 10, 20):
+        for radius in (3, 8, 12):
+            u, v = simhash.tile_links(a, b, radius)
+            v = v if b is None else v + 100
             ids = range(len(rows))
-            pairs = [(i, j) for i in ids for j in ids if (i < j if b is None else i < 100 <= j) and far[i, j] <= step]
-            assert grouped(ids, pairs) == grouped(ids, [(i, j) for i, j in zip(u, v) if far[i, j] <= step])
-
-
-def test_similar_groups(spark):
-    given = corpus(8)
-    docs = spark.createDataFrame([*given, (None, "x")], "doc_id long, text string")
-    sets = {d: set(shingles(t, 5)) for d, t in given}
-    ids = sorted(sets)
-    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    want = grouped(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if alike(sets[a], sets[b])])
-    found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, tile=16).collect()}
-    assert found == want
-
-
-def test_links_beyond_the_forests_are_tested(spark):
-    """Two families with many candidates that fail, and links among them."""
-    rng = random.Random(11)
-    vocabulary = [f"w{k}" for k in range(3000)]
-    given = []
-    for f in range(2):
-        base = [rng.choice(vocabulary) for _ in range(150)]
-        for k in range(14):
-            w = list(base)
-            for _ in range(rng.choice([0, 2, 3, 4, 5])):
-                w[rng.randrange(len(w))] = rng.choice(vocabulary)
-            given.append((100 * f + k, " ".join(w)))
-    docs = spark.createDataFrame(given, "doc_id long, text string")
-    sets = {d: set(shingles(t, 5)) for d, t in given}
-    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    ids = sorted(sets)
-    want = grouped(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if alike(sets[a], sets[b])])
-    found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, most=1, at_once=60).collect()}
-    assert found == want
-
-
-def test_both_ends_of_links_beyond_the_forests_are_named():
-    rows = np.zeros((30, 2), np.uint64)
-    for count in (3, 30):
-        u, v, _, more = simhash.tile_links(rows[:count], None, 20, (5, 20), most=2)
-        got = set(zip(u.tolist(), v.tolist()))
-        left = [(i, j) for i in range(count) for j in range(i + 1, count) if (i, j) not in got]
-        assert set(np.flatnonzero(more).tolist()) == {x for link in left for x in link}
-        assert bool(left) == (count == 30)
+            pairs = [(i, j) for i in ids for j in ids if (i < j if b is None else i < 100 <= j) and far[i, j] <= radius]
+            assert grouped(ids, pairs) == grouped(ids, list(zip(u, v))) and all(far[i, j] <= radius for i, j in zip(u, v))
+            assert len(u) < len(rows)
+
+
+def test_tile_pairs_beyond_the_radius_are_skipped(spark):
+    """Fingerprints of 0, 10, .. ones share the buckets of their high bits and never meet."""
+    prints = [(k, (1 << ones) - 1 - (1 << k % 4) * (ones > 4)) for k, ones in enumerate([10] * 4 + [20] * 4 + [30] * 4)]
+    nodes = spark.createDataFrame(prints, "node long, f0 long")
+    r = simhash.tile_pairs(nodes, 4).first()
+    assert r.compared > 0 and r.skipped > 0
+    spread = simhash.tile_pairs(nodes, 4, tile=1).first()
+    assert spread.compared > r.compared and spread.skipped > r.skipped
+    assert {(min(x), max(x)) for x in simhash.link_forest(nodes, 4).collect()} <= {(i, j) for i in range(12) for j in range(12) if i // 4 == j // 4}
 
 
 def test_components(spark):
@@ -145,60 +114,8 @@ def test_components(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).count() == 0 and simhash.similar_groups(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0
     one = defaultdict(list)
     for r in simhash.near_duplicates(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")).collect():
         one[r.doc_id].append(r.component_id)
     assert one == {1: [1, 1], 2: [2]}
-
-
-def same_as_brute(spark, given, **options):
-    docs = spark.createDataFrame(given, "doc_id long, text string")
-    sets = {d: set(shingles(t, 5)) for d, t in given}
-    ids = sorted(sets)
-    want = grouped(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
-    found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()}
-    assert found == want
-
-
-def test_repeated_passages_count_once(spark):
-    """A passage that one text alone repeats hides no link of their sets."""
-    rng = random.Random(5)
-    given = []
-    for k in range(0, 60, 2):
-        base = [f"w{rng.randrange(5000)}" for _ in range(250)]
-        given += [(k, " ".join(base)), (k + 1, " ".join(base[:20] * 50 + base))]
-    # the same set, with another number of repeats
-    given += [(100 + k, "\n".join(["over and over it goes again here"] * k)) for k in (2, 3, 9, 400)]
-    same_as_brute(spark, given)
-
-
-def test_few_shingles_are_exact(spark):
-    rng = random.Random(6)
-    given = []
-    for k in range(0, 500, 2):
-        base = [f"w{rng.randrange(9000)}" for _ in range(9)]
-        given += [(k, " ".join(base)), (k + 1, " ".join(base[:8]))]
-    same_as_brute(spark, given)
-
-
-def test_few_links_in_tiles(spark):
-    """Sets up to and over the bound, many with a passage in common."""
-    rng = random.Random(7)
-    common = [f"c{k}" for k in range(14)]
-    given = []
-    for f in range(12):
-        base = [*common, *(f"w{rng.randrange(4000)}" for _ in range(rng.choice([0, 3, 12, 21])))]
-        for k in range(8):
-            w = list(base)
-            for _ in range(rng.choice([0, 0, 1])):
-                w[rng.choice([0, 1, -1, -2])] = f"w{rng.randrange(4000)}"
-            given.append((20 * f + k, " ".join(w)))
-    docs = [(d, set(shingles(t, 5))) for d, t in given]
-    code = lambda s: [xxhash.xxh64_intdigest(x.encode(), 42) - (1 << 63) for x in sorted(s)]
-    sets = spark.createDataFrame([(d, d, len(s), code(s)) for d, s in docs], "node long, c0 long, n int, hashes array<long>")
-    ids = [d for d, _ in docs]
-    want = grouped(ids, [(a, b) for i, (a, x) in enumerate(docs) for b, y in docs[:i] if len(x & y) >= 0.8 * len(x | y)])
-    for tile in (3, 512):
-        assert grouped(ids, [(r.a, r.b) for r in simhash.few_links(sets, 0.8, tile).collect()]) == want
-    same_as_brute(spark, given)
