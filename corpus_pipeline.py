@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, decontaminate, ranker, simhash, substring
+from loam.llm import bpe, decontaminate, near_sets, ranker, substring
 from loam.llm.common import materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id."""
-    return simhash.one_of_each_group(docs, words=5, similarity=0.8)
+    return near_sets.one_of_each_group(docs, words=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
