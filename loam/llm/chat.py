@@ -2,10 +2,11 @@
 
 Turns are sorted by conversation over the whole cluster, so that one very long
 conversation spreads over tasks; each task writes the parts of conversations that
-it holds. Within a task the segments of all turns (header, role, text, end) get
-their lengths, the running sums of these give each segment's place, and numpy
-scatters headers and contents into one preallocated buffer, which becomes the
-Arrow column of formatted texts. The loss mask is a list of byte ranges.
+it holds, some turns and bytes at a time. The segments of these turns (header, role,
+text, end) get their lengths, the running sums of these give each segment's place, and
+numpy scatters headers and contents into one preallocated buffer (long texts by
+slices). That buffer, with the places where parts begin, is the Arrow column of
+formatted texts; nothing is copied into strings. The loss mask is a list of byte ranges.
 
 Template: ``<|im_start|>role LF text <|im_end|> LF``. Inside roles and texts a
 backslash is doubled and ``<|`` becomes ``<\\|``, so no control string but the
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from loam.llm.bpe import _arrow_schema
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Bytes and turns after which a part is closed, so that a row stays small.
-PART_BYTES, PART_TURNS = 4 << 20, 4096
+#: Bytes and turns of what is put together at once, beyond which only a single turn goes;
+#: bytes from which a text is copied as a slice.
+PART_BYTES, PART_TURNS, LONG = 1 << 20, 4096, 2048
 PARTS = "conv_id long, part_task int, part int, n_turns int, formatted string, loss array<struct<begin:int,end:int>>"
 _TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -59,10 +61,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _scatter(out: np.ndarray, place: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
     """Copies every row's bytes to its place."""
-    total = int(length.sum())
-    if not total:
-        return
-    within = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+    long = length >= LONG
+    for p, s, n in zip(place[long].tolist(), start[long].tolist(), length[long].tolist()):
+        out[p : p + n] = data[s : s + n]
+    place, start, length = place[~long], start[~long], length[~long]
+    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     out[np.repeat(place, length) + within] = data[np.repeat(start, length) + within]
 
 
@@ -71,8 +74,18 @@ def _stamp(out: np.ndarray, place: np.ndarray, text: str) -> None:
     out[place[:, None] + np.arange(len(raw))] = raw
 
 
-def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, assistant: np.ndarray) -> Iterator[tuple]:
-    """(conv_id, n_turns, formatted bytes, loss ranges) of the parts of some turns."""
+def cuts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of turns of so many bytes that are put together at once."""
+    end, first = np.cumsum(size), 0
+    while first < len(size):
+        before = end[first - 1] if first else 0
+        last = min(first + PART_TURNS, max(first + 1, int(np.searchsorted(end, before + PART_BYTES, side="right"))), len(size))
+        yield first, last
+        first = last
+
+
+def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, assistant: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, pa.ListArray]:
+    """conv_id, number of turns, formatted text and loss ranges of each conversation's part."""
     (rd, rs, rn), (td, ts, tn) = _flat(escaped(role, role=True)), _flat(escaped(text))
     head, tail = len(START), len(END) + 1
     length = head + rn + 1 + tn + tail
@@ -85,14 +98,15 @@ def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, assistant: np.nda
     body = at + head + rn + 1
     _scatter(out, body, td, ts, tn)
     _stamp(out, body + tn, END + "\n")
-    bounds = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
-    for a, b in zip(bounds, np.append(bounds[1:], len(conv))):
-        while a < b:
-            m = min(b, a + PART_TURNS, max(a + 1, int(np.searchsorted(end, at[a] + PART_BYTES, side="right"))))
-            here = np.flatnonzero(assistant[a:m]) + a
-            loss = [{"begin": int(x), "end": int(y)} for x, y in zip(body[here] - at[a], body[here] + tn[here] - at[a])]
-            yield int(conv[a]), m - a, out[at[a] : end[m - 1]], loss
-            a = m
+    first = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
+    offsets = np.append(at[first], end[-1]).astype(np.int32)
+    formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+    part = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(conv))))
+    here = np.flatnonzero(assistant)
+    begin = body[here] - at[first][part[here]]
+    ranges = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(begin + tn[here], pa.int32())], names=["begin", "end"])
+    loss = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(part[here], minlength=len(first)))), pa.int32()), ranges)
+    return conv[first], np.bincount(part), formatted, loss
 
 
 def format_conversations(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
@@ -107,15 +121,14 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, PART_TURNS):
-                piece = batch.slice(k, PART_TURNS)
+            size = (pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False) + pc.binary_length(batch.column("role")).to_numpy(zero_copy_only=False)).astype(np.int64)
+            for a, b in cuts(size):
+                piece = batch.slice(a, b - a)
                 conv = piece.column("conv_id").to_numpy(zero_copy_only=False)
-                rows = []
-                for c, n, raw, loss in assemble(conv, piece.column("role"), piece.column("text"), pc.equal(piece.column("role"), assistant).to_numpy(zero_copy_only=False)):
-                    rows.append((c, task, part, n, raw.tobytes().decode(), loss))
-                    part += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+                ids, turns, formatted, loss = assemble(conv, piece.column("role"), piece.column("text"), pc.equal(piece.column("role"), assistant).to_numpy(zero_copy_only=False))
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, task, np.int32)), pa.array(np.arange(part, part + n, dtype=np.int32)), pa.array(turns, pa.int32()), formatted, loss.cast(arrow.field("loss").type)], schema=arrow)
+                part += n
 
     return src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PARTS)
 
@@ -142,7 +155,7 @@ def read_digests(parts: DataFrame) -> DataFrame:
             row = (conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted)
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in (b.slice(k, 16) for b in batches for k in range(0, b.num_rows, 16)):
             for row in batch.to_pylist():
                 if row["conv_id"] != conv:
                     if conv is not None:
