@@ -1,42 +1,52 @@
 """Redaction of personal data by an ordered pack of rules.
 
-Rules run one after the other over the text that the one before left. A match is
-skipped where a token of the allow-list is in it or its validator refuses its
-value; else the value (a group of the match, or all of it) becomes a placeholder
-and counts. Texts that no rule's pattern meets never reach Python.
+Rules run one after the other over the text that the one before left. The matches of
+a rule are collected first; those that hold a token of the allow-list, or whose value
+(a group of the match, or all of it) a validator refuses, are left alone. The text is
+then put together once, with a placeholder for each value that is left.
+
+The rules are Python patterns (their digits, spaces and words are Unicode's), and they
+alone decide, in one Arrow hop.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``needs``: literals, lower case, of which a text holds one wherever a pattern
+    matches; only a shortcut, none means that every text is searched."""
+
     label: str
     patterns: tuple[tuple[str, int], ...]  # pattern and the group that is its value
     validator: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 # Labels, patterns, value groups and the allow-list of the default pack.
 DEFAULT_RULES = (
-    Rule("email", ((r"\b[a-zA-Z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),)),
-    Rule("msisdn", ((r"(?i)\bmsisdn\b\s*[:=\-]?\s*(\+?[1-9][0-9\-\s]{6,18})\b", 1),)),
-    Rule("phone", ((r"(?i)\b(?:phone|tel|telefono|m[óo]vil|mobile|cell|contact)\s*[:=\-]?\s*(\+?[1-9][0-9\-\s]{6,18})\b", 1),)),
-    Rule("imsi", ((r"(?i)\bimsi-?\s*(\d{5,15})\b", 1),)),
-    Rule("imei", ((r"(?i)\bimei\s*[:=\-]?\s*(\d{15})\b", 1),), "luhn"),
-    Rule("iccid", ((r"\b89\d{17,19}\b", 0),)),
-    Rule("api_key", ((r"(?i)(api[_-]?key|token|secret)\s*[:=]\s*([A-Za-z0-9_\-]{16,})", 2),)),
-    Rule("password", ((r"(?i)password\s*[:=]\s*([^\s,;]{4,})", 1), (r"(?is)<password>.*?<\/password>", 0))),
+    Rule("email", ((r"\b[a-zA-Z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),), needs=("@",)),
+    Rule("msisdn", ((r"(?i)\bmsisdn\b\s*[:=\-]?\s*(\+?[1-9][0-9\-\s]{6,18})\b", 1),), needs=("msisdn",)),
+    Rule("phone", ((r"(?i)\b(?:phone|tel|telefono|m[óo]vil|mobile|cell|contact)\s*[:=\-]?\s*(\+?[1-9][0-9\-\s]{6,18})\b", 1),), needs=("phone", "tel", "vil", "mobile", "cell", "contact")),
+    Rule("imsi", ((r"(?i)\bimsi-?\s*(\d{5,15})\b", 1),), needs=("imsi",)),
+    Rule("imei", ((r"(?i)\bimei\s*[:=\-]?\s*(\d{15})\b", 1),), "luhn", needs=("imei",)),
+    Rule("iccid", ((r"\b89\d{17,19}\b", 0),), needs=("89",)),
+    Rule("api_key", ((r"(?i)(api[_-]?key|token|secret)\s*[:=]\s*([A-Za-z0-9_\-]{16,})", 2),), needs=("api", "token", "secret")),
+    Rule("password", ((r"(?i)password\s*[:=]\s*([^\s,;]{4,})", 1), (r"(?is)<password>.*?<\/password>", 0)), needs=("password",)),
 )
 DEFAULT_ALLOW = ("chapter", "table", "figure", "release", "7.4.1", "OCA", "ASAP")
+# letters that ignoring case takes for i, s and k
+_FOLDED = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
 
 
 def luhn(value: str) -> bool:
@@ -61,37 +71,54 @@ class Pack:
     allow: tuple[str, ...] = DEFAULT_ALLOW
     pseudonyms: bool = False
     salt: str = ""
-    compiled: dict = field(default_factory=dict, compare=False)
+    plain: str = "[{TYPE}]"
+    pseudonym: str = "[{TYPE}:{HASH}]"
 
     def placeholder(self, label: str, value: str) -> str:
-        if not self.pseudonyms:
-            return f"[{label.upper()}]"
-        return f"[{label.upper()}:{hashlib.sha256((self.salt + value).encode()).hexdigest()[:10]}]"
+        named = (self.pseudonym if self.pseudonyms else self.plain).replace("{TYPE}", label.upper())
+        return named.replace("{HASH}", hashlib.sha256((self.salt + value).encode()).hexdigest()[:10]) if self.pseudonyms else named
+
+    def values(self, rule: Rule, pattern: str, group: int, text: str) -> Iterator[tuple[int, int]]:
+        """Where the values of a pattern lie that are to go."""
+        valid = VALIDATORS.get(rule.validator or "", bool)
+        for found in re.finditer(pattern, text):
+            begin, end = found.span(group)
+            if begin >= 0 and not any(token in found[0] for token in self.allow) and (not rule.validator or valid(found[group])):
+                yield begin, end
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
+        """The redacted text, and how many values of each label went."""
         counts: dict[str, int] = {}
+        folded = text.translate(_FOLDED).lower()
         for rule in self.rules:
-            check = VALIDATORS.get(rule.validator or "")
+            if rule.needs and not any(n in folded for n in rule.needs):
+                continue
             for pattern, group in rule.patterns:
-
-                def swap(m: re.Match) -> str:
-                    whole, value = m[0], m[group]
-                    if any(t in whole for t in self.allow) or value is None or (check and not check(value)):
-                        return whole
-                    counts[rule.label] = counts.get(rule.label, 0) + 1
-                    a, b = m.start(group) - m.start(), m.end(group) - m.start()
-                    return whole[:a] + self.placeholder(rule.label, value) + whole[b:]
-
-                text = re.sub(pattern, swap, text)
+                spans = list(self.values(rule, pattern, group, text))
+                if not spans:
+                    continue
+                counts[rule.label] = counts.get(rule.label, 0) + len(spans)
+                kept = [text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)])]
+                named = [self.placeholder(rule.label, text[a:b]) for a, b in spans]
+                text = "".join(x for pair in zip(kept, [*named, ""]) for x in pair)
         return text, counts
 
-    def any_match(self, c: Column) -> Column:
-        out = F.lit(False)
-        for rule in self.rules:
-            for pattern, _ in rule.patterns:
-                # the engines differ in what \b takes for a word; a superset is enough
-                out = out | c.rlike(pattern.replace(r"\b", ""))
-        return out
+
+def pack_of(spec: dict | str, pseudonyms: bool = False, salt: str = "") -> Pack:
+    """A pack from a rule file's contents: its enabled rules in the file's order, of each
+    ``pattern`` before ``patterns``, with the flags i, m, s and x."""
+    spec = json.loads(spec) if isinstance(spec, str) else spec
+    rules = []
+    for label, rule in (spec.get("pii") or {}).items():
+        if not (rule or {}).get("enabled", False):
+            continue
+        for item in ([rule] if "pattern" in rule else []) + (rule.get("patterns") or []):
+            flags = "".join(sorted(set(item.get("flags") or "") & set("imsx")))
+            pattern = f"(?{flags}){item['pattern']}" if flags else item["pattern"]
+            rules.append(Rule(label, ((pattern, item.get("group_value") or 0),), item.get("validator")))
+    shown = spec.get("placeholder") or {}
+    allowed = tuple((spec.get("allowlist") or {}).get("tokens") or ())
+    return Pack(tuple(rules), allowed, pseudonyms, salt, shown.get("format", "[{TYPE}]"), shown.get("format_pseudonym", "[{TYPE}:{HASH}]"))
 
 
 def sanitize(df: DataFrame, text: str = "text", mode: str = "on", pack: Pack = Pack()) -> DataFrame:
@@ -109,10 +136,9 @@ def sanitize(df: DataFrame, text: str = "text", mode: str = "on", pack: Pack = P
         done = [pack.apply(t) if t is not None else (None, {}) for t in texts]
         return pd.DataFrame({"text": [d[0] for d in done], "counts": [d[1] for d in done]})
 
-    touched = F.coalesce(pack.any_match(F.col(text)), F.lit(False))
-    out = df.withColumn("_done", run(F.when(touched, F.col(text))))
-    clean = F.when(touched, F.col("_done.text")).otherwise(F.col(text)) if mode == "on" else F.col(text)
-    return out.withColumn("sanitized", clean).withColumn("redactions", F.when(touched, F.col("_done.counts")).otherwise(none)).drop("_done")
+    done = run(F.col(text))
+    # the same call twice is one evaluation
+    return df.withColumns({"sanitized": done["text"] if mode == "on" else F.col(text), "redactions": done["counts"]})
 
 
 def audit_rows(sanitized: DataFrame, profile: str, mode: str, key: str = "doc_id") -> DataFrame:
@@ -120,10 +146,49 @@ def audit_rows(sanitized: DataFrame, profile: str, mode: str, key: str = "doc_id
     return sanitized.where(F.size("redactions") > 0).select(F.col(key).cast("string").alias("doc_id"), F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), "redactions")
 
 
-def redact_network(c: Column) -> Column:
-    """URLs, hexadecimal keys, IPv6 and valid IPv4 addresses as placeholders."""
-    c = F.regexp_replace(c, r"https?://[^\s)>\]]+", "[URL]")
-    c = F.regexp_replace(c, r"\b[0-9a-fA-F]{32,}\b", "[KEY]")
-    c = F.regexp_replace(c, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "[IPV6]")
-    octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-    return F.regexp_replace(c, rf"\b(?:{octet}\.){{3}}{octet}\b", "[IPV4]")
+AUDIT = "doc_id string, profile string, mode string, redactions map<string,int>"
+
+
+def write_audit(rows: DataFrame, path: str) -> None:
+    """Appends audit rows to a log of JSON lines."""
+    rows.select("doc_id", "profile", "mode", "redactions").write.mode("append").json(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit log's rows; lines that are no JSON are left out."""
+    rows = spark.read.schema(f"{AUDIT}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.where("doc_id is not null").drop("_broken")
+
+
+# Patterns of the document redactor, and the words that tell an address
+# from a section number.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
+_PRIVATE = rf"\b(?:(?:10|127|192)(?:\.{_OCTET}){{3}}|172\.(?:1[6-9]|2\d|3[01])(?:\.{_OCTET}){{2}})\b"
+_HIGH = rf"\b(?:2[6-9]|[3-9]\d|1\d\d|2[0-4]\d|25[0-5])(?:\.{_OCTET}){{3}}\b"
+_ANY = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"
+_ADDRESS_WORDS = r"(?i)\b(?:ip|ipv4|ipv6|address|addr|subnet|gateway|gw|dns)\b"
+
+
+def redact_document(c: Column, context: Column | None = None, terms: dict[str, list[str]] | None = None) -> Column:
+    """E-mail addresses, URLs, hexadecimal keys, terms and IP addresses as placeholders.
+
+    ``terms``: words to hide by the name of their placeholder. An IPv4 address whose
+    first number is 25 at most and that is not of a private range looks like a section
+    number, and goes only where ``context`` (by default the text) speaks of addresses.
+    """
+    context = c if context is None else context
+    c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    c = F.regexp_replace(c, r"https?://[^\s)>\"]+", "[url]")
+    c = F.regexp_replace(c, r"\b[A-Fa-f0-9]{32,}\b", "[key]")
+    for name, words in (terms or {}).items():
+        if words:
+            c = F.regexp_replace(c, "(?i)\\b(?:" + "|".join(re.escape(w) for w in words) + ")\\b", f"[{name}]")
+    c = F.regexp_replace(c, r"\b(?=[0-9A-Fa-f:]{6,}\b)(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b", "[ipv6]")
+    sure = F.regexp_replace(F.regexp_replace(c, _PRIVATE, "[ip]"), _HIGH, "[ip]")
+    return F.when(context.rlike(_ADDRESS_WORDS), F.regexp_replace(c, _ANY, "[ip]")).otherwise(sure)
+
+
+def redact_paragraphs(blocks: DataFrame, text: str = "text", kind: str = "block_type", terms: dict[str, list[str]] | None = None) -> DataFrame:
+    """Blocks with their texts redacted; headings stay as they are."""
+    heading = F.coalesce(F.col(kind) == "heading", F.lit(False))
+    return blocks.withColumn(text, F.when(heading, F.col(text)).otherwise(redact_document(F.col(text), terms=terms)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s"
+#: What that pattern matches, as Unicode has it.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def strip_ws(c: Column) -> Column:
     """Without white space (as Unicode has it) at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(StringType())
@@ -38,55 +46,69 @@ def ligatures(c: Column) -> Column:
 def normalize_lines(c: Column) -> Column:
     """Line ends as line feeds, lines without trailing space, single blanks."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
+    c = F.regexp_replace(c, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", "")
     return strip_ws(F.regexp_replace(c, r"[ \t]+", " "))
 
 
 def drop_repeated_lines(c: Column, longest: int = 60, least: int = 3, share: float = 0.05) -> Column:
     """Without short lines that occur ``least`` times or more and make up over ``share``."""
-    lines = F.split(c, "\n", -1)
-    short = F.filter(lines, lambda x: (x != "") & (F.char_length(x) <= longest))
-    # sorted, a line that occurs n times stands n - 1 places after itself
-    ordered = F.array_sort(short)
-    many = F.greatest(F.lit(least), (F.floor(F.size(lines) * share) + 1).cast("int"))
-    shifted = F.slice(ordered, many, F.greatest(F.size(ordered) - many + 1, F.lit(0)))
-    drop = F.array_distinct(F.filter(F.zip_with(F.slice(ordered, F.lit(1), F.size(shifted)), shifted, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-    return F.when(F.size(drop) == 0, c).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(drop, x)), "\n"))
+    def repeated(lines: Column) -> Column:
+        many = F.greatest(F.lit(least), (F.floor(F.size(lines) * share) + 1).cast("int"))
+        # sorted, a line that occurs n times stands n - 1 places after itself
+        return bound(many, lambda m: bound(F.array_sort(F.filter(lines, lambda x: (x != "") & (F.char_length(x) <= longest))), lambda o: bound(F.slice(o, m, F.greatest(F.size(o) - m + 1, F.lit(0))), lambda later: F.array_distinct(F.filter(F.zip_with(F.slice(o, F.lit(1), F.size(later)), later, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())))))
+
+    kept = lambda lines: bound(repeated(lines), lambda drop: F.when(F.size(drop) > 0, F.array_join(F.filter(lines, lambda x: ~F.array_contains(drop, x)), "\n")))
+    return bound(c, lambda t: F.coalesce(bound(F.split(t, "\n", -1), kept), t))
 
 
-def dehyphenate(c: Column, passes: int = 4) -> Column:
-    """Joins words that a hyphen splits at a line's end. A pass joins all pairs but
-    those chained to one just joined; a chain of n hyphens needs n passes."""
-    for _ in range(passes):
-        c = F.regexp_replace(c, r"([A-Za-z]{2,})-\n([a-z]{2,})", "$1$2\n")
-    return c
+def dehyphenate(c: Column) -> Column:
+    """Joins words that a hyphen splits at a line's end.
+
+    One pass is all: what it writes ends in a line feed after letters, so it makes no
+    new hyphen at a line's end, and what follows begins with no small letter.
+    """
+    # fixed value: letters on either side
+    return F.regexp_replace(c, r"([A-Za-z]{2,})-\n([a-z]{2,})", "$1$2\n")
 
 
 def heading_like(c: Column) -> Column:
     short = (F.char_length(c) <= 60) & (c != "")
+    # fixed values: lines of capitals, and words that begin with one
     return short & (c.rlike(r"^[A-Z0-9 ,.:;()\-/]+\z") | c.rlike(r"^[A-Z][a-z]+( [A-Z][a-z]+)*\z"))
 
 
 def drop_noise(c: Column, least: int = 10) -> Column:
     """Blocks (between empty lines) with ten letters, or that look like headings."""
-    letters = lambda b: F.char_length(F.regexp_replace(b, r"[^\p{L}]", ""))
-    kept = F.filter(F.split(c, "\n\n", -1), lambda b: (letters(b) >= least) | heading_like(strip_ws(b)))
-    return strip_ws(F.array_join(kept, "\n\n"))
+    letters = lambda b: F.char_length(F.regexp_replace(b, r"[^\p{L}]+", ""))
+    kept = lambda b: (letters(b) >= least) | bound(strip_ws(b), heading_like)
+    return strip_ws(F.array_join(F.filter(F.split(c, "\n\n", -1), kept), "\n\n"))
+
+
+def cleaned(c: Column, tables: Column | None = None) -> Column:
+    """The text after all steps of cleaning; null: empty. Where ``tables`` holds,
+    hyphens at line ends stay. Each step's result is computed once."""
+
+    def joined(t: Column) -> Column:
+        return dehyphenate(t) if tables is None else F.when(F.coalesce(tables, F.lit(False)), t).otherwise(dehyphenate(t))
+
+    steps = lambda t: drop_noise(joined(drop_repeated_lines(normalize_lines(ligatures(strip_invisible(t))))))
+    return bound(nfc(F.coalesce(c, F.lit(""))), steps)
 
 
 def with_clean_text(df: DataFrame, text: str = "text", tables: Column | None = None) -> DataFrame:
-    """``df`` with the column cleaned, all steps in their order; rows of which ``tables``
-    holds keep hyphens at line ends. Null and empty become empty.
+    """``df`` with the column cleaned; null and empty become empty."""
+    return df.withColumn(text, cleaned(F.col(text), tables))
+
 
-    Each step is a projection of its own: what it uses several times is computed once,
-    and composition runs apart from the expressions.
+def nonempty(df: DataFrame, text: Column, name: str = "text") -> DataFrame:
+    """``df`` with the column ``name``, without the rows in which it is empty.
+
+    The text passes a generator, so the filter runs on what was computed and not, pushed
+    down, on the expression once more.
     """
-    df = df.withColumn("_clean", nfc(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_clean", normalize_lines(ligatures(strip_invisible(F.col("_clean")))))
-    df = df.withColumn("_clean", drop_repeated_lines(F.col("_clean")))
-    joined = dehyphenate(F.col("_clean"))
-    df = df.withColumn("_clean", joined if tables is None else F.when(tables, F.col("_clean")).otherwise(joined))
-    return df.withColumn(text, drop_noise(F.col("_clean"))).drop("_clean")
+    others = [F.col(f"`{c}`") for c in df.columns if c != name]
+    rows = df.select(*others, F.explode_outer(F.array(text)).alias(name)).where(F.col(name) != "")
+    return rows.select(*(df.columns if name in df.columns else [*df.columns, name]))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -146,23 +168,37 @@ def is_toc_like(c: Column) -> Column:
 
 def is_heading_line(c: Column) -> Column:
     """Up to 80 characters, no digit last, 70 % letters and space."""
+    # fixed values: the length, and the share
     kept = F.char_length(F.regexp_replace(c, r"(?U)[^\p{L}\s]", ""))
     return (c != "") & (F.char_length(c) <= 80) & ~strip_ws(c).rlike(r"\d\z") & (kept >= F.char_length(c) * 0.7)
 
 
+TOC_STATE = "struct<inside:boolean,drop:boolean>"
+
+
+def toc_step(inside: Column, line: Column, stop_on_heading: bool = True) -> Column:
+    """(inside, drop) after a line, given whether a table of contents was open before it."""
+
+    def step(heading: Column) -> Column:
+        toc = is_toc_like(line) | (strip_ws(line).rlike(r"\d{1,4}\s*\z") & ~heading)
+        anchor = ~inside & is_toc_anchor(line)
+        ends = inside & heading & F.lit(stop_on_heading)
+        return F.struct((anchor | (inside & ~ends)).alias("inside"), (anchor | (inside & ~ends & toc)).alias("drop"))
+
+    return bound(is_heading_line(line), step)
+
+
 def strip_toc(c: Column, stop_on_heading: bool = True) -> Column:
-    """Without the region that an anchor line opens: an ordered fold over the lines."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"))
+    """Without the region that an anchor line opens: an ordered fold over the lines.
+
+    The fold carries the text so far as pieces of a string, never a growing array.
+    """
+    start = F.struct(F.lit("").alias("kept"), F.lit(False).alias("inside"))
 
     def step(s: Column, line: Column) -> Column:
-        heading = is_heading_line(line) & F.lit(stop_on_heading)
-        toc = is_toc_like(line) | (strip_ws(line).rlike(r"\d{1,4}\s*\z") & ~is_heading_line(line))
-        anchor = ~s["inside"] & is_toc_anchor(line)
-        drop = anchor | (s["inside"] & ~heading & toc)
-        inside = F.when(anchor, True).when(s["inside"] & heading, False).otherwise(s["inside"])
-        return F.struct(F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"), inside.alias("inside"))
+        return bound(toc_step(s["inside"], line, stop_on_heading), lambda t: F.struct(F.when(t["drop"], s["kept"]).otherwise(F.concat(s["kept"], F.lit("\n"), line)).alias("kept"), t["inside"].alias("inside")))
 
-    return F.aggregate(F.split(c, "\n", -1), start, step, lambda s: F.array_join(s["kept"], "\n"))
+    return F.aggregate(F.split(c, "\n", -1), start, step, lambda s: F.substr(s["kept"], F.lit(2)))
 
 
 def is_bullet(c: Column) -> Column:
@@ -170,7 +206,7 @@ def is_bullet(c: Column) -> Column:
 
 
 def is_numbered(c: Column) -> Column:
-    return c.rlike(r"^\s*\d+(\.\d+)*[.)]?\s+\S")
+    return c.rlike(r"^\s*\d+(\.\d+)*[.)]?\s+\S")  # fixed value
 
 
 def numeric_prefix(c: Column) -> Column:

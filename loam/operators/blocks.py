@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions.text import is_heading_line, is_toc_anchor, is_toc_like, strip_ws
+from loam.functions.text import bound, strip_ws, toc_step
 from loam.operators.chunking import repeated_page_lines
 
 
@@ -18,12 +18,7 @@ def toc_flags(lines: Column) -> Column:
     start = F.struct(F.array().cast("array<boolean>").alias("flags"), F.lit(False).alias("inside"))
 
     def step(s: Column, line: Column) -> Column:
-        heading = is_heading_line(line)
-        entry = is_toc_like(line) | (strip_ws(line).rlike(r"\d{1,4}\z") & ~heading)
-        anchor = ~s["inside"] & is_toc_anchor(line)
-        drop = anchor | (s["inside"] & ~heading & entry)
-        inside = F.when(anchor, True).when(heading, False).otherwise(s["inside"])
-        return F.struct(F.concat(s["flags"], F.array(drop)).alias("flags"), inside.alias("inside"))
+        return bound(toc_step(s["inside"], line), lambda t: F.struct(F.concat(s["flags"], F.array(t["drop"])).alias("flags"), t["inside"].alias("inside")))
 
     return F.aggregate(lines, start, step, lambda s: s["flags"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions.text import SPACE, strip_ws
+from loam.functions.text import SPACE, bound, strip_ws
 
 
 def chunk_chars(text: Column, size: int, overlap: int) -> Column:
@@ -14,9 +14,12 @@ def chunk_chars(text: Column, size: int, overlap: int) -> Column:
     if size <= 0:
         raise ValueError("size must be positive")
     step = size - min(max(0, overlap), size - 1)
-    n = F.char_length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: strip_ws(F.substring(text, i * step + 1, F.lit(size))))
+
+    def windows(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.char_length(t) - size) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: strip_ws(F.substring(t, i * step + 1, F.lit(size))))
+
+    parts = bound(text, windows)
     return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda c: c != "")
 
 
@@ -24,10 +27,12 @@ def chunk_tokens(text: Column, max_tokens: int, overlap: float = 0.0) -> Column:
     """Windows of white-space tokens; the step is the rounded (half to even) part
     that does not overlap, one at least."""
     step = max(1, round(max_tokens * (1 - min(max(overlap, 0.0), 0.5))))
-    tokens = F.filter(F.split(strip_ws(text), rf"{SPACE}+"), lambda t: t != "")
-    n = F.size(tokens)
-    last = F.greatest(F.lit(0), F.ceil((n - max_tokens) / step)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i * step + 1, max_tokens), " "))
+
+    def windows(tokens: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - max_tokens) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i * step + 1, max_tokens), " "))
+
+    parts = bound(F.filter(F.split(strip_ws(text), rf"{SPACE}+"), lambda t: t != ""), windows)
     return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda c: c != "")
 
 

@@ -80,12 +80,12 @@ def embed(chunks: DataFrame, embedder: Embedder, batch: int = 32, retries: int =
 def chunk_items(items: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """doc_id, chunk_id, chunk_seq, text, content_type, source and hash_norm."""
     good, _ = split_valid(items)
-    clean = text.with_clean_text(good).where("text <> ''")
-    safe = sanitize.sanitize(clean, mode=profile.sanitize_mode)
+    safe = sanitize.sanitize(text.nonempty(good, text.cleaned(F.col("text"))), mode=profile.sanitize_mode)
     body = F.col("sanitized")
     cut = chunking.chunk_chars(body, profile.size, int(profile.overlap)) if profile.chunker == "char" else chunking.chunk_tokens(body, profile.max_tokens, profile.overlap)
     parts = F.flatten(F.transform(cut, lambda c: chunking.apply_limit(c, profile.max_tokens, profile.policy)))
-    rows = safe.select("doc_id", "item_idx", "content_type", "source", F.posexplode(parts).alias("part", "text")).where("text <> ''")
+    # the outer form keeps the optimizer from adding the generator's input to a filter
+    rows = safe.select("doc_id", "item_idx", "content_type", "source", F.posexplode_outer(parts).alias("part", "text")).where("text <> ''")
     # one document's chunks are numbered by item and part; an aggregate a document, no global order
     per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_idx", "part", "content_type", "source", "text"))).alias("c"))
     flat = per.select("doc_id", F.posexplode("c").alias("pos", "c")).select("doc_id", (F.col("pos") + 1).alias("chunk_seq"), "c.content_type", "c.source", "c.text")

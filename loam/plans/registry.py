@@ -318,7 +318,7 @@ def luhn_flags(spark, sf_dir):
 @query()
 def html_sections(spark, sf_dir):
     raw = loaders.html_page_sections(read(spark, sf_dir, "pages"), "page_id", "html")
-    return text.with_clean_text(raw).where("text <> ''")
+    return text.nonempty(raw, text.cleaned(F.col("text")))
 
 
 @query(

@@ -51,7 +51,7 @@ def test_loaders(spark, folder):
         rows.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
     assert [r.section_path for r in rows["a.html"]] == ["", "h1", "h1>h2"]
     assert rows["b.txt"][0].text.startswith("A plain text") and len(rows["long.txt"]) == 200
-    assert [r.slide_number for r in rows["c.pptx"]] == [1, 10, 2] and rows["c.pptx"][2].text == "Slide two words\nNotes:\na note of it" and rows["c.pptx"][2].has_notes
+    assert [r.slide_number for r in rows["c.pptx"]] == [1, 10, 2] and rows["c.pptx"][2].text == "Slide two words\n\nNotes:\na note of it" and rows["c.pptx"][2].has_notes
     assert (rows["d.xlsx"][0].n_rows, rows["d.xlsx"][0].n_cols, rows["d.xlsx"][0].text) == (12, 28, "Sheet sheet1: size 12 x 28")
     blocks = [(r.block_type, r.text, r.heading_path) for r in rows["e.docx"]]
     assert blocks == [("heading", "1 Starting from here", ["1 Starting from here"]), ("paragraph", "body text of it", ["1 Starting from here"]), ("heading", "Deeper part", ["1 Starting from here", "Deeper part"]), ("paragraph", "cell text of it", ["1 Starting from here", "Deeper part"]), ("heading", "2 Next part follows", ["2 Next part follows"])]
