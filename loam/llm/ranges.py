@@ -38,5 +38,31 @@ def range_of(key: str | Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise(start + below(F.slice(held, start + 1, F.lit(step))))
 
 
-def default_ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a range, on average, where there are more than tasks otherwise.
+RANGE_BYTES = 64 << 20
+
+
+def default_ranges(df: DataFrame, size: Column | str) -> int:
+    """As many ranges as shuffles have tasks, or more, so that ranges stay small; ``size``
+    is the bytes of a row."""
+    size = F.col(size) if isinstance(size, str) else size
+    total = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
+def in_ranges(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
+    """``df`` with ``range`` and ``place``, dealt so that each range has a task of its own.
+
+    ``place`` names the range by a number that a hash partitioning puts into the range's
+    partition; windows by ``place`` need no further shuffle.
+    """
+    n = len(bounds) + 1
+    spark = df.sparkSession
+    places: dict[int, int] = {}
+    while len(places) < n:  # dozens of numbers for each range
+        numbers = spark.range(32 * n + 256).select(F.col("id").cast("int").alias("k"))
+        per = numbers.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+        places = {r["p"]: r["k"] for r in per.collect()}
+    ranged = df.withColumn("range", range_of(key, bounds))
+    place = F.element_at(F.lit([places[r] for r in range(n)]).cast("array<int>"), F.col("range") + 1)
+    return ranged.withColumn("place", place).repartition(n, "place")

@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.ranges import default_ranges, range_bounds, range_of
+from loam.llm.ranges import default_ranges, in_ranges, range_bounds, range_of
 
 ROUNDS = 6
 #: Steps of the walk. Each leaves a row outside with a chance under a half; a row
 #: that is outside after all of them raises an error rather than get a wrong place.
 WALK = 96
+#: About the bytes of a row that is numbered.
+ROW_BYTES = 64
 
 
 def feistel(x: Column, bits: int, seed: int) -> Column:
@@ -55,17 +57,16 @@ def numbered(df: DataFrame, key: str, ties: list[str], ranges: int | None = None
 
     Ranges of the key are numbered side by side; the driver holds one count a range.
     """
-    ranges = ranges or default_ranges(df)
-    bounds = range_bounds(df, key, ranges)
-    ranged = df.withColumn("range", range_of(key, bounds))
+    bounds = range_bounds(df, key, ranges or default_ranges(df, F.lit(ROW_BYTES)))
+    ranged = in_ranges(df, key, bounds)
     counts = {r["range"]: r["n"] for r in df.select(range_of(key, bounds).alias("range")).groupBy("range").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for r in range(len(bounds) + 1):
         before.append(total)
         total += counts.get(r, 0)
-    w = Window.partitionBy("range").orderBy(key, *ties)
+    w = Window.partitionBy("place").orderBy(key, *ties)
     offset = F.element_at(F.lit(before).cast("array<bigint>"), F.col("range") + 1)
-    return ranged.withColumn("row", offset + F.row_number().over(w) - 1).drop("range"), total
+    return ranged.withColumn("row", offset + F.row_number().over(w) - 1).drop("range", "place"), total
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:

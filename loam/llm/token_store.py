@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema, coder
 from loam.llm.common import ids_and_texts
-from loam.llm.ranges import default_ranges, range_bounds, range_of
+from loam.llm.ranges import default_ranges, in_ranges, range_bounds
 
 BLOCK = 1 << 16
 CHUNKS = "segment int, chunk int, id_start long, n_ids int, planes array<binary>, crc long, doc_ids array<long>, ordinals array<long>, doc_starts array<int>, doc_lengths array<int>, begins array<boolean>"
@@ -107,8 +107,8 @@ class _Writer:
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, planes: str = "byte", ranges: int | None = None) -> None:
     """Encode every document and write the folder at ``path``."""
     src = ids_and_texts(docs)
-    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src))
-    dealt = src.withColumn("segment", range_of("doc_id", bounds)).repartition("segment").sortWithinPartitions("segment", "doc_id", "text")
+    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, F.coalesce(F.octet_length("text"), F.lit(0)) + 8))
+    dealt = in_ranges(src, "doc_id", bounds).withColumnRenamed("range", "segment").drop("place").sortWithinPartitions("segment", "doc_id", "text")
     arrow = _arrow_schema(src, CHUNKS)
     close = array("I", [end_id]).tobytes()
 

@@ -17,3 +17,13 @@ def test_bounds(spark):
     bounds = ranges.range_bounds(spark.range(1000), "id", 4)
     assert len(bounds) == 3 and all(abs(b - w) < 20 for b, w in zip(bounds, (250, 500, 750)))
     assert ranges.range_bounds(spark.range(10).select(F.lit(7).alias("id")), "id", 4) == [7]
+
+
+def test_each_range_has_a_partition(spark):
+    for n in (0, 1, 6, 40):
+        bounds = [100 * k for k in range(1, n + 1)]
+        rows = ranges.in_ranges(spark.range(100 * (n + 1)), "id", bounds)
+        assert rows.rdd.getNumPartitions() == n + 1
+        per = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("range").alias("r"), F.count("*").alias("c")).collect() if n < 2 else rows.select("range", F.spark_partition_id().alias("p")).distinct().collect()
+        assert len(per) == n + 1
+    assert ranges.default_ranges(spark.range(10), F.lit(ranges.RANGE_BYTES)) == 10
