@@ -3,10 +3,13 @@
 Sections of a text are what empty lines (two line feeds) part, paragraphs what a
 line feed parts. A paragraph's node is the SHA-256 of its text, a section's that
 of its paragraphs' nodes, the root that of its sections' nodes. Roots are equal
-exactly where texts are; where they differ, the branches that differ locate the
-edit. Below a paragraph lie leaves, its blocks of up to 32 characters; the
-likeness of two trees is the share of leaves that both have (Jaccard; two trees
-without leaves are alike).
+exactly where texts are; where they differ, the branches that only one version has
+locate the edit.
+
+Below a paragraph lie leaves whose borders the text itself sets: after a word that ends
+in certain letters, or after so many characters. An edit changes the leaves about it,
+and the borders after it are where they were. The likeness of two trees is
+the share of their nodes, on all levels below the root, that both have (Jaccard).
 
 A null text counts as empty; null doc_ids are left out; rows that repeat an id
 are neighbours of one another; extra columns are ignored; an empty table gives an
@@ -18,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.ranges import default_ranges, range_bounds, range_of
+from loam.llm.ranges import default_ranges, in_ranges, range_bounds, range_of
 
-BLOCK = 32
+#: A leaf: up to the next word that ends in one of the letters, or 48 characters.
+LEAF = "[^\n]{0,46}?[esdnt] |[^\n]{1,48}"
 
 
 def sections(text: Column) -> Column:
@@ -34,9 +38,12 @@ def root(text: Column) -> Column:
     return F.sha2(F.array_join(parts, ""), 256)
 
 
-def leaves(text: Column, block: int = BLOCK) -> Column:
-    """The hashes of the text's different leaves."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{block}}}"), F.lit(0)), lambda b: F.xxhash64(b)))
+def nodes(text: Column) -> Column:
+    """The hashes of a tree's different leaves, paragraphs and sections."""
+    leaves = F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda b: F.xxhash64(b))
+    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(F.lit("p"), p))
+    parts = F.transform(F.split(text, "\n\n", -1), lambda s: F.xxhash64(F.lit("s"), s))
+    return F.array_distinct(F.concat(leaves, paragraphs, parts))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -46,26 +53,29 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, root, sections and leaves of every document."""
+    """doc_id, root, sections and nodes of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return src.select("doc_id", root(F.col("text")).alias("root"), sections(F.col("text")).alias("sections"), leaves(F.col("text")).alias("leaves"))
+    return src.select("doc_id", root(F.col("text")).alias("root"), sections(F.col("text")).alias("sections"), nodes(F.col("text")).alias("nodes"))
 
 
 def differing_branches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """doc_id, section, paragraphs: where two versions' trees (see
-    ``fingerprint_documents``) of one doc_id differ, counted from 0. A section or
-    paragraph that only one version has differs."""
+    """doc_id, side (a or b), section, paragraphs: what only one of two versions of a doc_id
+    has (see ``fingerprint_documents``), counted from 0 in that version.
+
+    Nodes are paired with equal ones of the other version, the first with the first,
+    so what an insertion moves along is no difference; a mere change of order is none.
+    """
     pair = a.select("doc_id", F.col("root").alias("ra"), F.col("sections").alias("sa")).join(b.select("doc_id", F.col("root").alias("rb"), F.col("sections").alias("sb")), "doc_id").where("ra <> rb")
-    zipped = pair.select("doc_id", F.posexplode(F.arrays_zip("sa", "sb")).alias("section", "s")).where("not (s.sa.node <=> s.sb.node)")
-    empty = F.array().cast("array<string>")
-    sides = F.arrays_zip(F.coalesce("s.sa.paragraphs", empty).alias("x"), F.coalesce("s.sb.paragraphs", empty).alias("y"))
-    at = F.filter(F.transform(sides, lambda p, i: F.when(p["x"].eqNullSafe(p["y"]), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    return zipped.select("doc_id", "section", at.alias("paragraphs"))
+    sides = pair.select("doc_id", F.explode(F.create_map(F.lit("a"), "sa", F.lit("b"), "sb")).alias("side", "sections"))
+    each = sides.select("doc_id", "side", F.posexplode("sections").alias("section", "s")).select("doc_id", "side", "section", F.posexplode("s.paragraphs").alias("paragraph", "node"))
+    times = F.row_number().over(Window.partitionBy("doc_id", "side", "node").orderBy("section", "paragraph"))
+    paired = each.withColumn("times", times).groupBy("doc_id", "node", "times").agg(F.count("*").alias("n"), F.min(F.struct("side", "section", "paragraph")).alias("at")).where("n = 1")
+    return paired.groupBy("doc_id", "at.side", "at.section").agg(F.array_sort(F.collect_list("at.paragraph")).alias("paragraphs"))
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, text, leaves, next_text, next_leaves: the document that follows in
+    """doc_id, text, nodes, next_text, next_nodes: the document that follows in
     descending order of doc_id (ties: of text); after the last comes the first.
 
     Ranges of doc_id are put in order side by side. The first row of each range is
@@ -73,7 +83,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src))
+    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, F.octet_length("text") + 8))
     held = sorted(r["range"] for r in src.select(range_of("doc_id", bounds).alias("range")).distinct().collect())
     ranged = src.withColumn("range", range_of("doc_id", bounds))
     # the rows of range r are followed by the first row of the next lower one
@@ -81,10 +91,11 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     at = F.array_position(F.lit(held or [0]).cast("array<int>"), F.col("range")).cast("int")
     heads = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "text")).alias("head"))
     heads = heads.select("head.doc_id", "head.text", F.element_at(F.lit(before or [0]).cast("array<int>"), at).alias("range"), F.lit(1).alias("copy"))
-    rows = ranged.withColumn("copy", F.lit(0)).unionByName(heads).withColumn("leaves", leaves(F.col("text")))
-    w = Window.partitionBy("range").orderBy("copy", F.desc("doc_id"), F.desc("text"))
-    ordered = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_leaves", F.lead("leaves").over(w))
-    return ordered.where("copy = 0").drop("copy", "range")
+    rows = in_ranges(ranged.withColumn("copy", F.lit(0)).unionByName(heads).withColumnRenamed("range", "own"), "own", list(range(1, len(bounds) + 1)))
+    w = Window.partitionBy("place").orderBy("copy", F.desc("doc_id"), F.desc("text"))
+    # nodes come after the shuffle, which carries texts alone
+    ordered = rows.withColumn("nodes", nodes(F.col("text"))).withColumn("next_text", F.lead("text").over(w)).withColumn("next_nodes", F.lead("nodes").over(w))
+    return ordered.where("copy = 0").drop("copy", "own", "range", "place")
 
 
 def edited(text: Column, other: Column) -> Column:

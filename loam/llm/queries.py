@@ -54,15 +54,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merkle_digests(docs: DataFrame) -> DataFrame:
     rows = merkle.with_next(docs).withColumn("edited", merkle.edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_leaves", merkle.leaves(F.col("edited")))
+    rows = rows.withColumn("edited_nodes", merkle.nodes(F.col("edited")))
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         merkle.root(F.col("text")).alias("fingerprint"),
         merkle.root(F.col("edited")).alias("edited_fingerprint"),
-        merkle.likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        merkle.likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        merkle.likeness(F.col("nodes"), F.col("edited_nodes")).alias("near_edited"),
+        merkle.likeness(F.col("nodes"), F.col("next_nodes")).alias("near_next"),
     )
 
 
@@ -109,7 +109,8 @@ QUERIES = {
 }
 _TREE = """sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s:
     sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
-_LEAVES = "list_distinct(regexp_extract_all({t}, '[^\\n]{{1,32}}'))"
+_NODES = """list_distinct(list_concat(list_transform(regexp_extract_all({t}, '[^\\n]{{0,46}}?[esdnt] |[^\\n]{{1,48}}'), lambda x: 'l' || x),
+    list_transform(string_split({t}, chr(10)), lambda x: 'p' || x), list_transform(string_split({t}, chr(10) || chr(10)), lambda x: 's' || x)))"""
 _LIKE = "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,7 +136,7 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other
               FROM d WINDOW w AS (ORDER BY doc_id DESC, text DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
         e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(other, 1, length(text) // 2) AS edited FROM n),
-        l AS (SELECT *, {_LEAVES.format(t="text")} AS la, {_LEAVES.format(t="edited")} AS lb, {_LEAVES.format(t="other")} AS lc FROM e)
+        l AS (SELECT *, {_NODES.format(t="text")} AS la, {_NODES.format(t="edited")} AS lb, {_NODES.format(t="other")} AS lc FROM e)
         SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
                {_TREE.format(t="text")} AS fingerprint, {_TREE.format(t="edited")} AS edited_fingerprint,
                CAST({_LIKE.format(a="la", b="lb")} AS DOUBLE) AS near_edited, CAST({_LIKE.format(a="la", b="lc")} AS DOUBLE) AS near_next
