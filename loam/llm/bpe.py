@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import ids_and_texts
-
 #: Bytes of an unsplit stretch above which it is encoded as a tree; bytes of a
 #: text, or of a stretch, above which its parts go to tasks of their own.
 LEAF, SPREAD = 512, 1 << 16
@@ -225,14 +223,14 @@ def _finish_ids(c: TreeCoder, ids: bytes) -> tuple:
     return (list(array("I", ids)),)
 
 
-def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, fields: str = "ids array<int>", spread: int = SPREAD, leaf: int = LEAF) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, fields: str = "ids array<int>", spread: int = SPREAD, leaf: int = LEAF, nameless: bool = False) -> DataFrame:
     """doc_id and what ``finish`` makes of each document's ids, by default the ids.
 
-    Documents of up to ``spread`` bytes are encoded where they are read. Longer
+    Rows without an id are left out, but where ``nameless`` holds. Documents of up to ``spread`` bytes are encoded where they are read. Longer
     ones are cut; their parts are encoded in tasks of their own and joined by
     document.
     """
-    docs = ids_and_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = (docs if nameless else docs.where("doc_id is not null")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = f"doc_id long, {fields}"
     arrow = _arrow_schema(docs, schema)
 
@@ -352,5 +350,5 @@ def _finish_checked(c: TreeCoder, ids: bytes) -> tuple:
 
 
 def encode_with_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the SHA-256 of the decoded text."""
-    return encode_documents(docs, path, _finish_checked, "ids array<int>, n_tokens long, decoded_sha256 string")
+    """doc_id, ids, n_tokens and the SHA-256 of the decoded text, of rows without an id too."""
+    return encode_documents(docs, path, _finish_checked, "ids array<int>, n_tokens long, decoded_sha256 string", nameless=True)

@@ -92,9 +92,13 @@ def texts_with_hash(docs: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if a count proves that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,11 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialize
+from loam.llm.common import is_small, keyed_rows, materialize, small, texts_with_hash
 
 WINDOW, K = 13, 6
-#: Rows of 8 to 300 bytes up to which a side of a join is broadcast.
-BROADCAST_ROWS = 200_000
 #: Hashes of short items up to which documents keep only grams that meet one.
 SHORT_LITERALS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,15 +72,13 @@ def _placed(grams: str | Column, length: int, short: bool) -> Column:
     return F.transform(grams, lambda h, i: F.struct(h.alias("hash"), F.lit(length).alias("length"), i.alias("at"), F.lit(short).alias("short")))
 
 
-def _small(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The written table, to be broadcast if a count proves it small."""
-    return (F.broadcast(df), True) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (df, False)
+def benchmark_prints(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The items' kept grams, each with its class: hash, length, before, after, class; which
+    items are in a class: class, item_id; and the lengths of short items.
 
-
-def benchmark_prints(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """hash, item_id, length, at, near: the items' kept grams with up to
-    WINDOW - K words to either side, and short items as one gram; and the lengths
-    of short items."""
+    ``before`` and ``after`` are up to WINDOW - K words to either side; a short item is one
+    gram. Grams that agree in all of these are one class, however many items have them.
+    """
     src = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("words"))
     src = with_prints(with_grams(src.where("size(words) > 0")))
     reach = WINDOW - K
@@ -91,10 +87,12 @@ def benchmark_prints(items: DataFrame) -> tuple[DataFrame, list[int]]:
     none = F.array().cast("array<string>")
     short = src.where(F.size("words") < WINDOW).withColumn("length", F.size("words"))
     short = short.select(F.xxhash64(F.col("length"), F.col("one")).alias("hash"), "item_id", "length", none.alias("before"), F.col("words").alias("after"))
-    out = materialize(kept.union(short), "benchmark-prints")
-    lengths = sorted(r["length"] for r in out.where(F.size("before") == 0).where(F.size("after") == F.col("length")).where(F.col("length") != K).select("length").distinct().collect())
-    six = not out.where(f"length = {K} and size(after) = {K} and size(before) = 0").isEmpty()
-    return out, sorted({*lengths, *([K] if six else [])})
+    every = materialize(kept.union(short).withColumn("class", F.xxhash64("hash", "length", F.size("before"), "before", "after")), "benchmark-prints")
+    out = materialize(every.select("hash", "length", "before", "after", "class").dropDuplicates(["class"]), "benchmark-classes")
+    of_class = every.select("class", "item_id").distinct()
+    whole = (F.size("before") == 0) & (F.size("after") == F.col("length"))
+    lengths = sorted(r["length"] for r in out.where(whole).select("length").distinct().collect())  # WINDOW lengths at most
+    return out, of_class, lengths
 
 
 def _around(words_: str, at: str, reach: int, side: str) -> Column:
@@ -119,10 +117,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Every document has its row; ``spans`` are ranges of words, possibly overlapping.
     """
-    bench, lengths = benchmark_prints(items)
+    bench, of_class, lengths = benchmark_prints(items)
     hashes = bench.select("hash").distinct()
-    text = F.col("text").cast("string")
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    src = texts_with_hash(docs)
     full = with_prints(with_grams(src.withColumn("words", words(F.col("text")))))
     prints = F.col("prints")
     if lengths:
@@ -133,23 +130,27 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         prints = F.concat(prints, grams)
     read = materialize(full.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), prints.alias("prints")), "document-prints")
 
-    hashes, _ = _small(materialize(hashes, "benchmark-hashes"))
+    hashes = materialize(hashes, "benchmark-hashes")
+    few = is_small(hashes)
+    hashes = F.broadcast(hashes) if few else hashes
     met = read.select("doc_id", "text_hash", F.explode("prints").alias("hash")).join(hashes, "hash", "left_semi")
-    candidates, _ = _small(materialize(met.select("doc_id", "text_hash").distinct(), "candidates"))
+    candidates = small(materialize(met.select("doc_id", "text_hash").distinct(), "candidates"))
 
     near = with_grams(src.join(candidates, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).withColumn("words", words(F.col("text"))))
     none = F.array().cast("array<string>")
     at = [_placed("grams", K, short=False), *(_placed(_grams_of(n), n, short=True) for n in lengths)]
-    bench_side, small = _small(bench)
     placed = near.select("doc_id", "text_hash", "words", F.explode(reduce(lambda x, y: F.concat(x, y), at)).alias("g")).select("doc_id", "text_hash", "g.*", "words")
-    placed = placed.join(hashes, "hash", "left_semi") if small else placed
+    # else the join of pairs drops them, after the words about a gram were cut out
+    placed = placed.join(hashes, "hash", "left_semi") if few else placed
     placed = placed.select("doc_id", "text_hash", "hash", "length", "at", F.when(F.col("short"), none).otherwise(_around("words", "at", WINDOW - K, "before")).alias("d_before"), F.when(F.col("short"), F.slice("words", F.col("at") + 1, F.col("length"))).otherwise(_around("words", "at", WINDOW - K, "after")).alias("d_after"))
-    pairs = placed.join(bench_side, ["hash", "length"])
+    pairs = placed.join(small(bench), ["hash", "length"])
     left, right = _agreeing("d_before", "before"), _agreeing("d_after", "after")
     whole = (F.size("before") == 0) & (F.size("after") == F.col("length")) & (right == F.col("length"))
     spans = pairs.withColumn("left", left).withColumn("right", right).where(((F.col("right") >= F.col("length")) & (F.col("left") + F.col("right") >= WINDOW)) | whole)
-    spans = spans.select("doc_id", "text_hash", "item_id", F.struct((F.col("at") - F.col("left")).alias("begin"), (F.col("at") + F.col("right")).alias("end")).alias("span"))
-    hit = spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    spans = spans.select("doc_id", "text_hash", "class", F.struct((F.col("at") - F.col("left")).alias("begin"), (F.col("at") + F.col("right")).alias("end")).alias("span"))
+    spans = materialize(spans, "spans")
+    found = spans.select("doc_id", "text_hash", "class").distinct().join(small(of_class), "class").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")).join(found, ["doc_id", "text_hash"])
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["end"] - 1)))))
     hit = hit.withColumn("n_hit", covered.cast("long"))
     out = read.select("doc_id", "text_hash", "n_words").join(hit, ["doc_id", "text_hash"], "left")
@@ -160,7 +161,6 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; rows
     without an id stay."""
     bad = contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
-    bad, _ = _small(materialize(bad, "contaminated"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    same = (hashed["doc_id"] == bad["doc_id"]) & (hashed["_hash"] == bad["text_hash"])
-    return hashed.join(bad, same, "left_anti").drop("_hash")
+    bad = materialize(bad, "contaminated")
+    kept = keyed_rows(docs).join(small(bad), ["doc_id", "text_hash"], "left_anti")
+    return kept.select("row.*")

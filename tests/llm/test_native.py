@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from loam.llm import decontaminate, merkle, queries
+from pyspark.sql import functions as F
+
+from loam.llm import common, decontaminate, merkle, queries
 
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -62,7 +64,7 @@ def test_contamination(spark):
 
 
 def test_contamination_beyond_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(decontaminate, "SHORT_LITERALS", 0)
     docs = [(1, "a b c d e f g h i j k l m n o"), (2, "q r s"), (3, "z")]
     items = [(1, "B C D E F G H I J K L M N"), (2, "r, s"), (3, "Q")]
@@ -86,7 +88,7 @@ def test_merkle(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in given] + [(None, "no", "x")], "doc_id long, text string, leaves string")
     order = sorted(((d, t or "") for d, t in given), reverse=True)
     want = []
-    leaf = lambda t: set(re.findall("[^\n]{1,32}", t))
+    leaf = lambda t: {("l", x) for x in re.findall("[^\n]{0,46}?[esdnt] |[^\n]{1,48}", t)} | {("p", p) for p in t.split("\n")} | {("s", x) for x in t.split("\n\n")}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (d, t) in enumerate(order):
         other = order[(k + 1) % len(order)][1]
@@ -100,7 +102,35 @@ def test_merkle(spark):
 
 
 def test_branches_locate_edits(spark):
-    a = spark.createDataFrame([(1, "a\nb\n\nc"), (2, "same")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "a\nB\n\nc\n\nnew\nlast"), (2, "same")], "doc_id long, text string")
+    a = spark.createDataFrame([(1, "a\nb\n\nc"), (2, "same"), (3, "x\ny\nx\nz"), (4, "p\nq")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a\nB\n\nc\n\nnew\nlast"), (2, "same"), (3, "new\nx\ny\nx\nz\nx"), (4, "q\np")], "doc_id long, text string")
     found = merkle.differing_branches(*(merkle.fingerprint_documents(x) for x in (a, b))).collect()
-    assert sorted((r.doc_id, r.section, r.paragraphs) for r in found) == [(1, 0, [1]), (1, 2, [0, 1])]
+    # an inserted paragraph is the one difference, whatever it moves
+    assert sorted((r.doc_id, r.side, r.section, r.paragraphs) for r in found) == [(1, "a", 0, [1]), (1, "b", 0, [1]), (1, "b", 2, [0, 1]), (3, "b", 0, [0, 5])]
+
+
+def test_short_edits_keep_most_nodes(spark):
+    """A character at the start of a one-line text, or a half that stays, leaves leaves alone."""
+    line = "the words of one long paragraph stand side by side and none of them is strange " * 4
+    line = " ".join(f"{w}{k}" if k % 3 else w for k, w in enumerate(line.split()))
+    df = spark.createDataFrame([(line, "X" + line), ("short text of a few good words here", "short text of a few")], "a string, b string")
+    likes = [r.x for r in df.select(merkle.likeness(merkle.nodes(F.col("a")), merkle.nodes(F.col("b"))).alias("x")).collect()]
+    assert likes[0] > 0.6 and likes[1] >= 0.2
+
+
+def test_a_passage_of_many_items(spark):
+    """Equal passages of items meet documents as one class; every item is reported."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    items = [(k, passage) for k in range(60)] + [(100 + k, f"own{k} " + passage) for k in range(5)]
+    docs = [(k, f"x{k} {passage} y{k}") for k in range(40)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, queries.contamination_digests(*frames).collect())) == brute_contamination(docs, items)
+
+
+def test_clean_rows_keep_their_columns(spark):
+    rows = [(1, "a b c", "h", 3), (2, "q", "h", 3), (None, "a b c", "h", 3), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string, text_hash int")
+    items = spark.createDataFrame([(1, "A b, C")], "item_id long, text string")
+    out = decontaminate.keep_clean(docs, items)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == set(rows[1:])
+    assert decontaminate.keep_clean(docs.limit(0), items).count() == 0
