@@ -27,12 +27,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a document with a smaller doc_id holds are cut out."""
+    """Words of passages that a document with a smaller doc_id holds are cut out.
+
+    Rows without an id stay as they are.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substring.remove_repeats(docs, window=50, keep=tuple(others))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    columns |= {c: F.col(f"row.{c}") for c in others}
-    return cut.select(*(columns[c].alias(c) for c in docs.columns))
+    columns |= {c: F.col(f"row.`{c}`") for c in others}
+    return cut.select(*(columns[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, decoded_sha256."""
+    """doc_id, ids, n_tokens, decoded_sha256; rows without an id too."""
     return bpe.encode_with_digest(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -59,6 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Rows without an id pass the stages that compare
+    documents unchanged; the others judge them like any."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
