@@ -215,3 +215,49 @@ def numeric_prefix(c: Column) -> Column:
 
 def current_heading(section_heading: Column, heading_path: Column) -> Column:
     return F.coalesce(F.nullif(strip_ws(section_heading), F.lit("")), F.try_element_at(heading_path, F.lit(-1)))
+
+
+# numbers before headings
+
+
+def sop_heading(c: Column) -> Column:
+    """struct<number, title> of a line that begins with SOP and a number, or null."""
+    pattern = r"(?i)^\s*sop\s*(\d+)\s*[:\-]?\s*(.*)$"
+    return F.when(c.rlike(pattern), F.struct(F.regexp_extract(c, pattern, 1).alias("number"), F.nullif(strip_ws(F.regexp_extract(c, pattern, 2)), F.lit("")).alias("title")))
+
+
+def integer_major(c: Column) -> Column:
+    """The whole number that a line begins with, or null."""
+    return F.nullif(F.regexp_extract(c, r"^\s*(\d+)(?:\b|[.)-])", 1), F.lit(""))
+
+
+def without_major(c: Column, major: Column) -> Column:
+    """A heading without the number ``major`` (and a sign after it) at its start."""
+    body = strip_ws(c)
+    rest = F.regexp_replace(F.substr(body, F.char_length(major) + 1), r"^\s*[.)-]?\s*", "")
+    return F.when(F.coalesce(major, F.lit("")) == "", body).when(body.startswith(major), strip_ws(rest)).otherwise(body)
+
+
+def without_number(c: Column) -> Column:
+    """A heading without the dotted number at its start."""
+    return strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*\d+(?:\.\d+)*\s*[).\-:]?\s*", ""))
+
+
+def display_number(prefix: Column) -> Column:
+    """A dotted number's first two parts."""
+    return F.array_join(F.slice(F.split(prefix, r"\."), 1, 2), ".")
+
+
+def toc_entry(c: Column) -> Column:
+    """struct<prefix, title, level> of a numbered line of a table of contents, or null.
+
+    Leaders of dots and a page number at the end are no part of the title.
+    """
+    plain = collapse_ws(F.regexp_replace(F.translate(c, "\t–—", " --"), r"\.{3,}", " "))
+
+    def entry(line: Column) -> Column:
+        prefix = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\.? (.*)$", 1)
+        title = strip_ws(F.regexp_replace(F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\.? (.*)$", 2), r" \d{1,4}$", ""))
+        return F.when((prefix != "") & (title != ""), F.struct(prefix.alias("prefix"), title.alias("title"), F.size(F.split(prefix, r"\.")).alias("level")))
+
+    return bound(plain, entry)

@@ -124,6 +124,35 @@ def soft_delete(users: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return users.join(gone, key, "left").withColumn("status", F.when(F.col("_gone"), "suspended").otherwise(F.col("status"))).select(users.columns)
 
 
+def hard_delete(users: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return users.join(ids.select(key).distinct(), key, "left_anti").select(users.columns)
+
+
+def checked_users(users: DataFrame) -> DataFrame:
+    """The snapshot; an error where two rows have one e-mail, whatever its case."""
+    twice = duplicate_emails(users).limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['email']} is taken")
+    return users
+
+
+def latest_runs(runs: DataFrame, n: int = 10, started: str = "started_at") -> DataFrame:
+    """The sync runs that started last."""
+    return runs.orderBy(F.col(started).desc_nulls_last()).limit(n)
+
+
+def sync_started(ids: DataFrame, at: Column) -> DataFrame:
+    """The first state of runs (sync_id)."""
+    return ids.select("sync_id", F.lit("running").alias("status"), at.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("error"), at.alias("changed_at"))
+
+
+def sync_finished(states: DataFrame, results: DataFrame, at: Column) -> DataFrame:
+    """The last state of runs that have a result (sync_id, error; null: success)."""
+    running = states.where("status = 'running'").select("sync_id", "started_at")
+    done = running.join(results, "sync_id")
+    return done.select("sync_id", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "started_at", at.alias("finished_at"), "error", at.alias("changed_at"))
+
+
 def duplicate_emails(users: DataFrame) -> DataFrame:
     return users.groupBy(F.lower("email").alias("email")).agg(F.count("*").alias("n")).where("n > 1")
 

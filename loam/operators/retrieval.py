@@ -14,7 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from loam.functions.scalars import overlaid
 from loam.functions.text import alphabetic_tokens, strip_ws
 
 
@@ -100,6 +103,7 @@ def _closest(corpus: DataFrame, queries: DataFrame, k: int, kind: str, id_col: s
     id_type = corpus.schema[id_col].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_type}, {id_col} {id_type}, raw_score double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shipped.value
@@ -123,14 +127,17 @@ def _closest(corpus: DataFrame, queries: DataFrame, k: int, kind: str, id_col: s
             best_d = np.concatenate([best_d, d], axis=1)
             best_i = np.concatenate([best_i, np.broadcast_to(names, d.shape)], axis=1)
             if best_d.shape[1] > k:
-                # all ties at the k-th distance stay until the final ranking
-                cut = np.partition(best_d, k - 1, axis=1)[:, k - 1 : k]
-                keep = int((best_d <= cut).sum(axis=1).max())
-                order = np.argsort(best_d, axis=1, kind="stable")[:, :keep]
+                order = np.argsort(best_d, axis=1, kind="stable")
+                cut = np.take_along_axis(best_d, order[:, k - 1 : k], 1)
+                # ties at the k-th distance: the smaller ids
+                for q in np.flatnonzero((best_d <= cut).sum(axis=1) > k):
+                    near = np.flatnonzero(best_d[q] <= cut[q])
+                    order[q, : len(near)] = sorted(near, key=lambda i: (best_d[q, i], best_i[q, i]))
+                order = order[:, :k]
                 best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
         rows = [(ids[q], i, d) for q in range(len(ids)) for i, d in zip(best_i[q], best_d[q]) if np.isfinite(d)]
         if rows:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query_id", id_col, "raw_score"]), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
     src = corpus.where(F.size(vector) == dims).select(id_col, vector)
     return src.mapInArrow(run, schema)
@@ -238,6 +245,34 @@ def select_and_pack(candidates: DataFrame, cfg: RetrievalConfig = RetrievalConfi
     return src.groupBy("query_id").applyInPandas(run, SELECTED.format(q=q, c=c))
 
 
+def with_excluded(selected: DataFrame, excluded: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """query_id, chunk_id, place, figure: the chosen chunks in their order, then the
+    excluded candidates (query_id, chunk_id, sim, pos) by likeness, ``max_keep`` in all."""
+    chosen = selected.select("query_id", "chunk_id", F.lit(False).alias("figure"), F.col("mmr_rank").alias("first"), F.lit(0.0).alias("second"))
+    others = excluded.select("query_id", "chunk_id", F.lit(True).alias("figure"), F.col("pos").alias("first"), (-F.col("sim")).alias("second"))
+    w = Window.partitionBy("query_id").orderBy("figure", "second", "first")
+    both = chosen.unionByName(others).withColumn("place", F.row_number().over(w))
+    return both.where(F.col("place") <= cfg.max_keep).select("query_id", "chunk_id", "place", "figure")
+
+
+def merged_metadata(row: Column, doc: Column, row_id: Column) -> Column:
+    """A chunk's metadata (a map, or JSON text) with its document's over it; ``source`` falls
+    back to ``doc_id``, ``chunk_id`` to the row's id."""
+    both = overlaid(row, doc)
+    filled = F.map_filter(
+        F.create_map(F.lit("source"), F.coalesce(F.nullif(F.try_element_at(both, F.lit("source")), F.lit("")), F.try_element_at(both, F.lit("doc_id"))), F.lit("chunk_id"), F.coalesce(F.nullif(F.try_element_at(both, F.lit("chunk_id")), F.lit("")), row_id.cast("string"))),
+        lambda _, v: v.isNotNull(),
+    )
+    return overlaid(both, filled)
+
+
+def with_alias(queries: DataFrame, aliases: dict[str, str], domain: str = "domain") -> DataFrame:
+    """Adds ``alias``, the view that a query's domain names; an unknown domain is an error."""
+    named = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)) if aliases else F.create_map().cast("map<string,string>")
+    found = F.try_element_at(named, F.col(domain))
+    return queries.withColumn("alias", F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown domain: "), F.coalesce(F.col(domain), F.lit("null"))))).otherwise(found))
+
+
 def gates(decided: DataFrame, selected: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Adds kept_n, context_n, context_bytes and gate_failed (null: passed)."""
     per = selected.groupBy("query_id").agg(F.count("*").alias("kept_n"), F.count_if("in_context").alias("context_n"), F.sum("context_bytes").alias("context_bytes"))

@@ -93,7 +93,9 @@ def sniffed_type(content: Column, path: Column) -> Column:
     low = F.lower(head)
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     by_name = F.try_element_at(F.create_map(*(F.lit(x) for p in MEDIA_TYPES.items() for x in p)), extension)
-    office = F.when(whole.contains("word/"), MEDIA_TYPES["docx"]).when(whole.contains("ppt/"), MEDIA_TYPES["pptx"]).when(whole.contains("xl/"), MEDIA_TYPES["xlsx"]).otherwise("application/zip")
+    # an entry of the directory has its member's name 46 bytes after its mark
+    member = lambda folder: whole.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}/")
+    office = F.when(member("word"), MEDIA_TYPES["docx"]).when(member("ppt"), MEDIA_TYPES["pptx"]).when(member("xl"), MEDIA_TYPES["xlsx"]).otherwise("application/zip")
     printable = F.substring(content, 1, 128).cast("string").rlike(r"\A[\t\n\r\x20-\x7E]+\z")
     return (
         F.when(start == F.lit(b"%PDF"), MEDIA_TYPES["pdf"])
