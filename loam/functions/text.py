@@ -139,8 +139,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def human_size(c: Column) -> Column:
+    """Bytes, kilobytes to one digit or megabytes to two, half to even."""
     kb, mb = 1024, 1024 * 1024
-    return F.when(c < kb, F.concat(c.cast("string"), F.lit(" B"))).when(c < mb, F.concat(F.format_string("%.1f", c / kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", c / mb), F.lit(" MB")))
+    return F.when(c < kb, F.concat(c.cast("string"), F.lit(" B"))).when(c < mb, F.concat(F.format_string("%.1f", F.bround(c / kb, 1)), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", F.bround(c / mb, 2)), F.lit(" MB")))
 
 
 def column_number(letters: Column) -> Column:

@@ -87,15 +87,23 @@ def adaptive_filter(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT vec_id, 2 * CAST(embedding[1] AS DOUBLE) AS raw FROM embeddings)
-    SELECT vec_id, round(least(greatest((1 - raw) / 2, 0), 1), 6) AS dot, round(least(greatest((raw + 1) / 2, 0), 1), 6) AS cosine,
-           round(1 - least(greatest(raw / 2, 0), 1), 6) AS cosine_distance, round(1 / (1 + abs(raw)), 6) AS other FROM v"""
+    """WITH v AS (SELECT a.vec_id, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) AS dot,
+        sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, round(least(greatest((1 + dot) / 2, 0), 1), 4) AS dot, round(least(greatest((dot + 1) / 2, 0), 1), 4) AS cosine,
+           round(1 - least(greatest((1 - dot) / 2, 0), 1), 4) AS cosine_distance, round(1 / (1 + l2), 4) AS other FROM v"""
 )
 def similarity_modes(spark, sf_dir):
-    raw = F.col("raw")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", (2 * F.element_at("embedding", 1).cast("double")).alias("raw"))
-    kinds = {"dot": CFG, "cosine": RetrievalConfig(distance="cosine"), "cosine_distance": RetrievalConfig(distance="cosine", score_kind="distance"), "other": RetrievalConfig(distance="l2")}
-    return rows.select("vec_id", *(F.round(retrieval.similarity(raw, c), 6).cast("double").alias(n) for n, c in kinds.items()))
+    """Likeness of each vector to the next, by every kind of score."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    d = lambda kind: retrieval.distance(F.col("embedding"), F.col("next"), kind)
+    kinds = {
+        "dot": (d("dot_product"), CFG),
+        "cosine": (1 - d("cosine"), RetrievalConfig(distance="cosine")),
+        "cosine_distance": (d("cosine"), RetrievalConfig(distance="cosine", score_kind="distance")),
+        "other": (d("l2"), RetrievalConfig(distance="l2")),
+    }
+    return pairs.select("vec_id", *(F.round(retrieval.similarity(raw, c), 4).cast("double").alias(n) for n, (raw, c) in kinds.items()))
 
 
 def _candidates(spark, sf_dir):
@@ -173,15 +181,13 @@ def eval_hit_mrr(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT doc_id % 40 AS query_id, text FROM documents WHERE text IS NOT NULL)
-    SELECT item_id AS query_id, bool_or(contains(lower(r.text), lower(left(b.text, 40)))) AS phrase_hit
-    FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id % 40 GROUP BY item_id"""
+    """SELECT item_id AS query_id, bool_or(d.text IS NOT NULL) AS phrase_hit FROM benchmark b
+    LEFT JOIN (SELECT DISTINCT lower(text) AS text FROM documents WHERE text IS NOT NULL) d ON contains(d.text, lower(b.text)) GROUP BY item_id"""
 )
 def eval_phrase_hit(spark, sf_dir):
-    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 40).alias("query_id"), F.array(F.substring("text", 1, 40)).alias("expect_phrases"))
-    results = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "text")
-    pairs = golden.join(results, "query_id", "left").select(F.col("id").alias("query_id"), "expect_phrases", "text")
-    return evaluation.phrase_hits(pairs.select("query_id", "expect_phrases").distinct(), pairs.select("query_id", "text"))
+    """Which benchmark texts, whole, any document holds."""
+    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
+    return evaluation.phrases_in(phrases, read(spark, sf_dir, "documents").select("text"))
 
 
 # text, dedup, chunks
@@ -236,7 +242,25 @@ def repeated_lines(spark, sf_dir):
     return d.where("text is not null").select("doc_id", F.when(none & (F.col("text") != ""), F.lit(0)).otherwise(F.size(F.split("kept", "\n", -1))).cast("long").alias("kept_lines"))
 
 
-@query()
+_WS = r"[ \t\x0B\x0C\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^({_WS}|\\n)+|({_WS}|\\n)+$', '', 'g')"
+
+
+
+@query(
+    rf"""WITH a AS (SELECT doc_id, replace(replace(translate(nfc_normalize(coalesce(text, '')), chr(160) || chr(173) || chr(8203) || chr(8204) || chr(8205), ' '), chr(64257), 'fi'), chr(64258), 'fl') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '{_WS}+\n', chr(10), 'g'), '[ \t]+', ' ', 'g') AS t FROM a),
+    c AS (SELECT doc_id, string_split({_stripped("t")}, chr(10)) AS l FROM b),
+    r AS (SELECT doc_id, list(line) AS gone FROM (SELECT doc_id, line, count(*) AS n, any_value(total) AS total FROM (SELECT doc_id, unnest(l) AS line, len(l) AS total FROM c) WHERE line <> '' AND length(line) <= 60 GROUP BY doc_id, line)
+          WHERE n >= 3 AND n > 0.05 * total GROUP BY doc_id),
+    d AS (SELECT c.doc_id, regexp_replace(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x: NOT list_contains(gone, x)) END, chr(10)), '([A-Za-z]{{2,}})-\n([a-z]{{2,}})', '\1\2' || chr(10), 'g') AS t FROM c LEFT JOIN r ON r.doc_id = c.doc_id),
+    e AS (SELECT doc_id, list_filter(string_split(t, chr(10) || chr(10)), lambda x: length(regexp_replace(x, '[^\pL]', '', 'g')) >= 10 OR (length(trim(x)) BETWEEN 1 AND 60 AND
+          (regexp_full_match({_stripped("x")}, '[A-Z0-9 ,.:;()\-/]+') OR regexp_full_match({_stripped("x")}, '[A-Z][a-z]+( [A-Z][a-z]+)*')))) AS k FROM d)
+    SELECT doc_id, {_stripped("array_to_string(k, chr(10) || chr(10))")} AS text FROM e"""
+)
 def clean_text(spark, sf_dir):
     return text.with_clean_text(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -476,21 +500,27 @@ def no_context_rules(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 4 AS level FROM orders),
+    """WITH b AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 4 AS level, o_orderpriority FROM orders), t AS (SELECT * FROM b),
     l AS (SELECT doc_id, pos, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level = 2 THEN pos END) OVER w AS p2, max(CASE WHEN level = 3 THEN pos END) OVER w AS p3
           FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-    SELECT doc_id, CAST(pos AS INT) AS pos, CAST(p1 IS NOT NULL AS INT) + CAST(coalesce(p2, 0) > coalesce(p1, 0) AS INT) + CAST(coalesce(p3, 0) > greatest(coalesce(p1, 0), coalesce(p2, 0)) AS INT) AS depth FROM l"""
+    SELECT l.doc_id, CAST(l.pos AS INT) AS pos, concat_ws('>', CASE WHEN p1 IS NOT NULL THEN t1.o_orderpriority END, CASE WHEN coalesce(p2, 0) > coalesce(p1, 0) THEN t2.o_orderpriority END,
+           CASE WHEN coalesce(p3, 0) > greatest(coalesce(p1, 0), coalesce(p2, 0)) THEN t3.o_orderpriority END) AS path
+    FROM l LEFT JOIN t t1 ON t1.doc_id = l.doc_id AND t1.pos = p1 LEFT JOIN t t2 ON t2.doc_id = l.doc_id AND t2.pos = p2 LEFT JOIN t t3 ON t3.doc_id = l.doc_id AND t3.pos = p3"""
 )
 def heading_path(spark, sf_dir):
     """A customer's orders as blocks of headings of three levels and body."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     b = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(w).alias("pos"), F.nullif((F.col("o_orderkey") % 4).cast("int"), F.lit(0)).alias("level"), F.col("o_orderpriority").alias("title"))
-    return chunking.heading_paths(b).select("doc_id", "pos", F.size("heading_path").alias("depth"))
+    return chunking.heading_paths(b).select("doc_id", "pos", F.array_join("heading_path", ">").alias("path"))
 
 
-@query("SELECT event_id, CASE WHEN value < 1024 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' B' END AS size FROM events WHERE value < 1024")
+@query(
+    """WITH e AS (SELECT event_id, CAST(floor(value * value * value) AS BIGINT) AS n FROM events)
+    SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.2f MB', n / 1048576.0) END AS size FROM e"""
+)
 def human_sizes(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("value < 1024").select("event_id", text.human_size(F.floor("value")).alias("size"))
+    v = F.col("value")
+    return read(spark, sf_dir, "events").select("event_id", text.human_size(F.floor(v * v * v)).alias("size"))
 
 
 @query("SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, round(avg(embedding[i]), 5) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1")
@@ -701,7 +731,9 @@ def structured_docx(spark, sf_dir):
 
 @query()
 def structured_pdf(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("item_idx"), "text", F.lit(1).alias("page"))
+    """Documents as files of pages of 1,500 characters."""
+    pages = F.posexplode(chunking.chunk_chars(F.col("text"), 1500, 0)).alias("item_idx", "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", pages).select("doc_id", "item_idx", "text", (F.col("item_idx") + 1).alias("page"))
     return structured.chunk_pdf(d, 512)
 
 
