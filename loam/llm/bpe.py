@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.common import freed
+
 #: Bytes of an unsplit stretch above which it is encoded as a tree; bytes of a
 #: text, or of a stretch, above which its parts go to tasks of their own.
 LEAF, SPREAD = 512, 1 << 16
 #: Words kept; beyond these the table starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 END = "</w>"
 #: Words of these characters alone are their own NFC form, and the pattern below
 #: splits them, in lower case, as the tokenizer file's does.
@@ -242,7 +244,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, f
                 rows = [(d, *finish(c, c.encode(t))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield _batch(rows, arrow)
 
-    short = docs.where(F.octet_length("text") <= spread).mapInArrow(near, schema)
+    short = docs.where(F.octet_length("text") <= spread).mapInArrow(freed(near), schema)
     long = docs.where(F.octet_length("text") > spread).withColumn("row", F.monotonically_increasing_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, f
     parts_schema = "doc_id long, row long, part int, run int, kind string, text string"
     done_schema = f"{parts_schema}, ids binary"
     parts_arrow, done_arrow = _arrow_schema(docs, parts_schema), _arrow_schema(docs, done_schema)
-    parts = long.mapInArrow(cut, parts_schema).repartition("doc_id", "row", "part").mapInArrow(encoded, done_schema)
+    parts = long.mapInArrow(freed(cut), parts_schema).repartition("doc_id", "row", "part").mapInArrow(freed(encoded), done_schema)
     return short.unionByName(parts.groupBy("doc_id", "row").applyInArrow(merged, schema))
 
 
@@ -329,7 +331,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield _batch([(d, None if i is None else " ".join([c.token[x] for x in i])) for d, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], arrow)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(freed(run), schema)
 
 
 def _arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema
+from loam.llm.common import freed
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Bytes and turns of what is put together at once, beyond which only a single turn goes;
@@ -130,7 +131,7 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, task, np.int32)), pa.array(np.arange(part, part + n, dtype=np.int32)), pa.array(turns, pa.int32()), formatted, loss.cast(arrow.field("loss").type)], schema=arrow)
                 part += n
 
-    return src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PARTS)
+    return src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(freed(run), PARTS)
 
 
 def turns_of(raw: bytes) -> Iterator[tuple[str, str]]:
@@ -173,4 +174,4 @@ def read_digests(parts: DataFrame) -> DataFrame:
         if conv is not None:
             yield done()
 
-    return parts.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return parts.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(freed(run), schema)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema, _batch
-from loam.llm.common import materialize, texts_with_hash
+from loam.llm.common import freed, materialize, texts_with_hash
 from loam.llm.words import as_bytes, mix, words_and_endings
 
 #: Bounds of what all tasks hold: words with their counts; words that are symbols of
@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if texts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(freed(run), schema).groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 class Head:
@@ -176,7 +176,7 @@ def to_symbols(docs: DataFrame, head: Head) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), rest).cast(arrow.field("rest").type)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "text_hash", "held")), pa.array(counts + 1, pa.int64()), pa.array(total, pa.int64()), pa.array(base), binary, lists, part.column("shard")], schema=arrow)
 
-    return docs.mapInArrow(run, TOKENS)
+    return docs.mapInArrow(freed(run), TOKENS)
 
 
 def _histories(batches: Iterator[pa.RecordBatch], column: str = "symbols") -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]], np.ndarray, np.ndarray]]:
@@ -223,11 +223,11 @@ def _summed(df: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
         if sums:
             yield _emit([(b, part, x.astype("<f4").tobytes()) for (b, part), x in sums.items()], arrow)
 
-    rows, tasks = df.mapInArrow(run, schema), df.rdd.getNumPartitions()
+    rows, tasks = df.mapInArrow(freed(run), schema), df.rdd.getNumPartitions()
     while tasks > FAN:
         tasks = -(-tasks // FAN)
-        rows = rows.withColumn("part", F.col("part") % tasks).repartition(BLOCKS * tasks, "block", "part").mapInArrow(add, schema)
-    rows = rows.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(add, schema)
+        rows = rows.withColumn("part", F.col("part") % tasks).repartition(BLOCKS * tasks, "block", "part").mapInArrow(freed(add), schema)
+    rows = rows.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(freed(add), schema)
     out = np.zeros(shape)
     for b, _, data in rows.collect():  # BLOCKS rows for a table of one shape
         x = np.frombuffer(data, "<f4").reshape(-1, shape[1])
@@ -399,7 +399,7 @@ def _trigrams(src: DataFrame, head: Head, own: np.ndarray, buckets: int) -> Data
                 rows.append((b, 1, chunk, b"", ids if i == 0 else b"", times[k].tobytes(), texts[t].tobytes()))
             yield _batch(rows, arrow)
 
-    return src.select("doc_id", "text_hash", "held", "text").mapInArrow(run, _REQUEST)
+    return src.select("doc_id", "text_hash", "held", "text").mapInArrow(freed(run), _REQUEST)
 
 
 def discounted(counts: np.ndarray, pair: np.ndarray, share: np.ndarray, of_class: np.ndarray, pairs: int) -> np.ndarray:
@@ -477,7 +477,7 @@ def trigram_gains(src: DataFrame, head: Head, own: np.ndarray, shares: tuple[np.
         return pa.table([pa.array(x[: len(total)]) for x in ids] + [pa.array(total)], names=["doc_id", "text_hash", "more"])
 
     requests = _trigrams(src, head, own, max(1, -(-tokens // BUCKET)))
-    answers = requests.repartition("bucket").sortWithinPartitions("bucket", "phase").mapInArrow(run, _ANSWER)
+    answers = requests.repartition("bucket").sortWithinPartitions("bucket", "phase").mapInArrow(freed(run), _ANSWER)
     each = answers.groupBy("chunk").applyInArrow(summed, "doc_id long, text_hash long, more double")
     # equal rows have equal sums
     return each.groupBy("doc_id", "text_hash").agg(F.max("more").alias("more"))
@@ -532,7 +532,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             gain = np.add.reduceat(each, [a for a, _ in ranges])
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(gain)], schema=arrow)
 
-    scored = tokens.select(*kept, "symbols").mapInArrow(run, schema)
+    scored = tokens.select(*kept, "symbols").mapInArrow(freed(run), schema)
     rest = tokens.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n").join(counts, "word", "left")
     rest = rest.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rest_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"))
     word_class = own[head.symbol] if len(head.words) else np.zeros(1, np.int64)

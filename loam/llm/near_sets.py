@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema, _batch
-from loam.llm.common import keyed_rows, materialize, release, small, texts_with_hash
+from loam.llm.common import freed, keyed_rows, materialize, release, small, texts_with_hash
 from loam.llm.components import connected_components
 from loam.llm.simhash import _lane, fingerprint
 from loam.llm.words import Hasher, as_bytes, word_hashes
@@ -110,7 +110,7 @@ def named_sets(texts: DataFrame, words: int) -> DataFrame:
             names = np.array([_name(h) for h in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(h) for h in sets], pa.int64())], schema=arrow)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(freed(run), schema)
 
 
 _REQUEST = "bucket int, phase int, chunk long, keys binary, counts binary, docs binary"
@@ -155,7 +155,7 @@ def _requests(texts: DataFrame, words: int, buckets: int) -> DataFrame:
                 rows.append((b, 1, chunk, b"", b"", docs[d].tobytes()))
             yield _batch(rows, arrow)
 
-    return texts.select("text").mapInArrow(run, _REQUEST)
+    return texts.select("text").mapInArrow(freed(run), _REQUEST)
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _answers(requests: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, arrow)
 
-    return requests.repartition("bucket").sortWithinPartitions("bucket", "phase").mapInArrow(run, _ANSWER)
+    return requests.repartition("bucket").sortWithinPartitions("bucket", "phase").mapInArrow(freed(run), _ANSWER)
 
 
 def _first_shared(answers: DataFrame, similarity: float) -> DataFrame:
@@ -370,7 +370,7 @@ def _tile_links(rows: DataFrame, keys: list[str], words: int, similarity: float)
                 held.append(tuple(columns[i][k] for i in range(len(keys), len(columns))))
         yield from group(held)
 
-    return rows.select(*kept, "text").mapInArrow(sets, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.select(*kept, "text").mapInArrow(freed(sets), schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(freed(run), "a long, b long")
 
 
 def similar_sets(texts: DataFrame, named: DataFrame, words: int, similarity: float, tile_sets: int = TILE_SETS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema
-from loam.llm.common import ids_and_texts, materialize
+from loam.llm.common import freed, ids_and_texts, materialize
 from loam.llm.components import connected_components
 
 TILE = 8192
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 prints = np.array([fingerprint(shingle_hashes(t, words)) for t in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], schema=arrow)
 
-    return ids_and_texts(docs).mapInArrow(run, schema)
+    return ids_and_texts(docs).mapInArrow(freed(run), schema)
 
 
 def forest(u: np.ndarray, v: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
         if held is not None:
             yield from links(held)
 
-    return rows.select(*PAIR, "side", "node", "f0").repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(run, schema)
+    return rows.select(*PAIR, "side", "node", "f0").repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(freed(run), schema)
 
 
 def _binned(distinct: DataFrame, radius: int) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema
-from loam.llm.common import materialize, release, text_hash, texts_with_hash
+from loam.llm.common import freed, materialize, release, text_hash, texts_with_hash
 from loam.llm.words import Hasher, as_bytes, word_hashes
 
 #: Edges of a path at most, so that opening one is bounded.
@@ -126,7 +126,7 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
             columns = [np.array(ids, np.int64)[of], np.array(hashes, np.int64)[of], (start - begin[of]).astype(np.int32), edges.astype(np.int32), *(h.view(np.int64) for h in hashed)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
-    return docs.mapInArrow(run, PATHS)
+    return docs.mapInArrow(freed(run), PATHS)
 
 
 SPAN = "begin int, end int, checksum bigint"
@@ -228,7 +228,7 @@ def _at_sources(branching: DataFrame, heads: DataFrame, texts: DataFrame, window
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=arrow)
 
-    return source.select("doc_id", "text", "wanted").mapInArrow(run, schema)
+    return source.select("doc_id", "text", "wanted").mapInArrow(freed(run), schema)
 
 
 def checksums(words: list[bytes], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -293,5 +293,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = ()
                         rows.append((d, h, *cut(t, s)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)), part.column(4).cast(arrow.field("row").type)], schema=arrow)
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(freed(run), schema)
     return out if keep else out.drop("row")

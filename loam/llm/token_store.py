@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import _arrow_schema, coder
-from loam.llm.common import ids_and_texts
+from loam.llm.common import freed, ids_and_texts
 from loam.llm.ranges import default_ranges, in_ranges, range_bounds
 
 BLOCK = 1 << 16
@@ -125,7 +125,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if rows := list(out.last()):
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    dealt.mapInArrow(run, CHUNKS).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(freed(run), CHUNKS).write.option("compression", "none").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +152,7 @@ def _slices(chunks: DataFrame, schema: str, make) -> DataFrame:
                 rows = [make(row, s, ids[s[2] : s[2] + s[3]]) for s in zip(row["doc_ids"], row["ordinals"], row["doc_starts"], row["doc_lengths"])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.mapInArrow(freed(run), schema)
 
 
 def _times(a: int, b: int) -> int:
@@ -202,4 +202,4 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((r["doc_id"], before[r["segment"]] + r["start"], n, crc))
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows) if rows else [()] * 4, arrow)], schema=arrow)
 
-    return whole.mapInArrow(run, out)
+    return whole.mapInArrow(freed(run), out)
