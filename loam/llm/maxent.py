@@ -52,8 +52,9 @@ from loam.llm.words import as_bytes, mix, words_and_endings
 HEAD, OWN, BUCKETS, NEIGHBOURS, CLASSES, ROWS = 60_000, 4096, 128, 64, 32, 1 << 14
 SHARDS, EPOCHS, RATE, FEATURES = 8, 1, 0.7, 4
 FLUSH, CHUNK, BLOCKS, BATCH = 500_000, 50_000, 8, 1024
-#: Bytes and texts of a chunk; tokens of a bucket of trigrams, on average.
-CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 60_000, 1 << 19
+#: Bytes and texts (whose numbers take a byte) of a chunk; tokens of a bucket of trigrams,
+#: on average.
+CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 256, 1 << 19
 #: Four weights of this size and a bias stay within what an exponent can take.
 LARGEST = 15.0
 #: Tables of tasks that are added at once.
@@ -355,6 +356,15 @@ _REQUEST = "bucket int, phase int, chunk long, pairs binary, words binary, count
 _ANSWER = "chunk long, ids binary, gains binary"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Counts, as bytes where all fit."""
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else "<u4")
+
+
 def _trigrams(src: DataFrame, head: Head, own: np.ndarray, buckets: int) -> DataFrame:
     """Each chunk's trigrams by bucket of their first two words: in phase 0 the different
     ones, with their counts in training texts, in phase 1 in which texts each is.
@@ -384,19 +394,19 @@ def _trigrams(src: DataFrame, head: Head, own: np.ndarray, buckets: int) -> Data
                 continue
             chunk, number = task << 32 | number, number + 1
             first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (name[1:] != name[:-1])))
-            times = np.diff(np.append(first, len(pair))).astype("<u4")
-            learned = np.add.reduceat((~held[doc]).astype(np.int64), first).astype("<u4")
+            times = np.diff(np.append(first, len(pair)))
+            learned = np.add.reduceat((~held[doc]).astype(np.int64), first)
             bucket = ((pair[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            low, names = (pair[first] & np.uint64(0xFFFFFFFF)).astype("<u4"), name[first].astype("<u4")
+            low, names = (pair[first] & np.uint64(0xFFFFFFFF)).astype("<u4"), name[first].astype("<u2")
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             at, texts_at = np.append(edge, len(low)).tolist(), np.append(first[edge], len(pair)).tolist()
-            texts = doc.astype("<u2")
+            texts = doc.astype(np.uint8)
             ids = np.stack([part.column(c).to_numpy() for c in ("doc_id", "text_hash")]).astype("<i8").tobytes()
             rows = []
             for i, b in enumerate(bucket[edge].tolist()):
                 k, t = slice(at[i], at[i + 1]), slice(texts_at[i], texts_at[i + 1])
-                rows.append((b, 0, chunk, low[k].tobytes(), names[k].tobytes(), learned[k].tobytes(), b""))
-                rows.append((b, 1, chunk, b"", ids if i == 0 else b"", times[k].tobytes(), texts[t].tobytes()))
+                rows.append((b, 0, chunk, low[k].tobytes(), names[k].tobytes(), packed(learned[k]), b""))
+                rows.append((b, 1, chunk, b"", ids if i == 0 else b"", packed(times[k]), texts[t].tobytes()))
             yield _batch(rows, arrow)
 
     return src.select("doc_id", "text_hash", "held", "text").mapInArrow(freed(run), _REQUEST)
@@ -453,7 +463,8 @@ def trigram_gains(src: DataFrame, head: Head, own: np.ndarray, shares: tuple[np.
                     if b != bucket:
                         bucket, pieces, at, gains = b, [], {}, None
                     if phase == 0:
-                        pieces.append((chunk, *(np.frombuffer(x, "<u4") for x in (pairs, words, counts))))
+                        pair = np.frombuffer(pairs, "<u4")
+                        pieces.append((chunk, pair, np.frombuffer(words, "<u2"), unpacked(counts, len(pair))))
                         continue
                     if gains is None:
                         gains, end = counted(), 0
@@ -461,8 +472,8 @@ def trigram_gains(src: DataFrame, head: Head, own: np.ndarray, shares: tuple[np.
                             at[held] = (end, end + len(p))
                             end += len(p)
                     s, e = at[chunk]
-                    each = np.repeat(gains[s:e], np.frombuffer(counts, "<u4"))
-                    rows.append((chunk, words, np.bincount(np.frombuffer(texts, "<u2"), each).astype("<f8").tobytes()))
+                    each = np.repeat(gains[s:e], unpacked(counts, e - s))
+                    rows.append((chunk, words, np.bincount(np.frombuffer(texts, np.uint8), each).astype("<f8").tobytes()))
                 if rows:
                     yield _batch(rows, answer)
 
