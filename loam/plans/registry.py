@@ -47,7 +47,7 @@ def _scored(spark: SparkSession, sf_dir: str, k: int = CFG.fanout) -> DataFrame:
     q = _questions(spark, sf_dir)
     found = retrieval.top_k(read(spark, sf_dir, "embeddings"), q, k)
     short = q.select("query_id", retrieval.is_short(F.col("question")).alias("short"))
-    return found.withColumn("sim", retrieval.similarity(F.col("raw_score"))).join(F.broadcast(short), "query_id")
+    return found.withColumn("sim", retrieval.similarity(F.col("raw_score"))).join(short, "query_id")
 
 
 _TOPK = """
