@@ -30,8 +30,8 @@ from loam.llm.common import freed
 #: Bytes of an unsplit stretch above which it is encoded as a tree; bytes of a
 #: text, or of a stretch, above which its parts go to tasks of their own.
 LEAF, SPREAD = 512, 1 << 16
-#: Words kept; beyond these the table starts anew.
-KEPT_WORDS = 200_000
+#: Words kept; beyond these the table starts anew. Fewer where other stages share the worker.
+KEPT_WORDS, FEWER_WORDS = 500_000, 200_000
 END = "</w>"
 #: Words of these characters alone are their own NFC form, and the pattern below
 #: splits them, in lower case, as the tokenizer file's does.
@@ -45,14 +45,14 @@ class TreeCoder:
     ``leaf`` is the longest stretch that is encoded at once.
     """
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf = leaf
+        self.leaf, self.kept = leaf, kept
         added = json.loads(self.tokenizer.to_str())["added_tokens"]
         self.special = {t["content"]: t["id"] for t in added}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -171,7 +171,7 @@ class TreeCoder:
     def _plain(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= KEPT_WORDS // 2:
+            if len(self.parts) >= self.kept // 2:
                 self.parts.clear()
             ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.alphabet))]).tobytes()
         return ids
@@ -184,7 +184,7 @@ class TreeCoder:
         known = self.words
         missing = set(words).difference(known)
         if missing:
-            if len(known) + len(missing) > KEPT_WORDS:
+            if len(known) + len(missing) > self.kept:
                 known.clear()
                 missing = set(words)
             own: dict[bytes, bytes] = {}
@@ -208,14 +208,14 @@ class TreeCoder:
         return " ".join(map(self.token.__getitem__, array("I", ids)))
 
 
-_coders: dict[tuple[str, int], TreeCoder] = {}
+_coders: dict[tuple[str, int, int], TreeCoder] = {}
 
 
-def coder(path: str, leaf: int = LEAF) -> TreeCoder:
+def coder(path: str, leaf: int = LEAF, kept: int = KEPT_WORDS) -> TreeCoder:
     """One coder for each Python worker."""
-    if (path, leaf) not in _coders:
-        _coders[path, leaf] = TreeCoder(path, leaf)
-    return _coders[path, leaf]
+    if (path, leaf, kept) not in _coders:
+        _coders[path, leaf, kept] = TreeCoder(path, leaf, kept)
+    return _coders[path, leaf, kept]
 
 
 Finish = Callable[[TreeCoder, bytes], tuple]
@@ -225,7 +225,7 @@ def _finish_ids(c: TreeCoder, ids: bytes) -> tuple:
     return (list(array("I", ids)),)
 
 
-def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, fields: str = "ids array<int>", spread: int = SPREAD, leaf: int = LEAF, nameless: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, fields: str = "ids array<int>", spread: int = SPREAD, leaf: int = LEAF, nameless: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id and what ``finish`` makes of each document's ids, by default the ids.
 
     Rows without an id are left out, but where ``nameless`` holds. Documents of up to ``spread`` bytes are encoded where they are read. Longer
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, f
     arrow = _arrow_schema(docs, schema)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, leaf)
+        c = coder(path, leaf, kept)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -248,14 +248,14 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, f
     long = docs.where(F.octet_length("text") > spread).withColumn("row", F.monotonically_increasing_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, leaf)
+        c = coder(path, leaf, kept)
         for batch in batches:
             for d, t, r in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows = [(d, r, k, *x) for k, x in enumerate(parts_of(c, t, spread))]
                 yield _batch(rows, parts_arrow)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, leaf)
+        c = coder(path, leaf, kept)
         for batch in batches:
             rows = []
             for d, r, k, run, kind, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = _finish_ids, f
             yield _batch(rows, done_arrow)
 
     def merged(table: pa.Table) -> pa.Table:
-        c = coder(path, leaf)
+        c = coder(path, leaf, kept)
         rows = sorted(zip(*(table.column(i).to_pylist() for i in (2, 3, 4, 5, 6))))
         return pa.Table.from_batches([_batch([(table.column(0)[0].as_py(), *finish(c, joined_parts(c, rows)))], arrow)])
 
@@ -353,4 +353,4 @@ def _finish_checked(c: TreeCoder, ids: bytes) -> tuple:
 
 def encode_with_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_tokens and the SHA-256 of the decoded text, of rows without an id too."""
-    return encode_documents(docs, path, _finish_checked, "ids array<int>, n_tokens long, decoded_sha256 string", nameless=True)
+    return encode_documents(docs, path, _finish_checked, "ids array<int>, n_tokens long, decoded_sha256 string", nameless=True, kept=FEWER_WORDS)
