@@ -40,11 +40,10 @@ def families(seed, count, copies, words, edits, vocabulary=3000):
     return out
 
 
-@pytest.mark.parametrize("tiles", [{}, {"tile_sets": 3}, {"tile_shingles": 400}])
+@pytest.mark.parametrize("tiles", [{}, {"tile_sets": 3, "tile_shingles": 400}])
 def test_groups(spark, tiles):
-    same_as_brute(spark, corpus(8), **tiles)
     # many pairs near the similarity on either side
-    same_as_brute(spark, families(11, 3, 25, 150, [0, 2, 3, 4, 5]), **tiles)
+    same_as_brute(spark, corpus(8) + [(100_000 + d, t) for d, t in families(11, 3, 25, 150, [0, 2, 3, 4, 5])], **tiles)
 
 
 def test_small_sets_and_common_passages(spark):
@@ -61,8 +60,7 @@ def test_small_sets_and_common_passages(spark):
     for k in range(0, 60, 2):
         base = [f"v{rng.randrange(9000)}" for _ in range(9)]
         given += [(5000 + k, " ".join(base)), (5001 + k, " ".join(base[:8]))]
-    for tiles in ({}, {"tile_sets": 4}):
-        same_as_brute(spark, given, **tiles)
+    same_as_brute(spark, given, tile_sets=4)
 
 
 def test_repeated_passages_count_once(spark):
