@@ -54,7 +54,7 @@ SHARDS, EPOCHS, RATE, FEATURES = 8, 1, 0.7, 4
 FLUSH, CHUNK, BLOCKS, BATCH = 500_000, 50_000, 8, 1024
 #: Bytes and texts (whose numbers take a byte) of a chunk; tokens of a bucket of trigrams,
 #: on average.
-CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 256, 1 << 19
+CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 256, 1 << 20
 #: Four weights of this size and a bias stay within what an exponent can take.
 LARGEST = 15.0
 #: Tables of tasks that are added at once.
@@ -473,14 +473,14 @@ def trigram_gains(src: DataFrame, head: Head, own: np.ndarray, shares: tuple[np.
                             end += len(p)
                     s, e = at[chunk]
                     each = np.repeat(gains[s:e], unpacked(counts, e - s))
-                    rows.append((chunk, words, np.bincount(np.frombuffer(texts, np.uint8), each).astype("<f8").tobytes()))
+                    rows.append((chunk, words, np.bincount(np.frombuffer(texts, np.uint8), each).astype("<f4").tobytes()))
                 if rows:
                     yield _batch(rows, answer)
 
     def summed(table: pa.Table) -> pa.Table:
         ids, total = np.zeros((2, 0), "<i8"), np.zeros(0)
         for _, held, gains in zip(*(table.column(i).to_pylist() for i in range(3))):
-            gains = np.frombuffer(gains, "<f8")
+            gains = np.frombuffer(gains, "<f4")
             total = np.pad(total, (0, max(0, len(gains) - len(total))))
             total[: len(gains)] += gains
             if held:
