@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, decontaminate, maxent, merkle, ranker, sharding, simhash, substring, token_store
+from loam.llm import alignment, bpe, chat, decontaminate, maxent, merkle, phrases, pieces, ranker, sharding, simhash, substring, token_store
 from loam.llm.common import new_path, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
@@ -95,6 +96,23 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~ranker.training_row(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= ranker.CUT).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
+
+
+def _piece_digests(c: pieces.PieceCoder, ids: np.ndarray) -> tuple:
+    decimal = ",".join(map(str, ids.tolist()))
+    return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), _piece_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_store": op2_token_store,
@@ -106,6 +124,9 @@ QUERIES = {
     "op8_maxent_scores": op8_maxent_scores,
     "op9_winnowing": op9_winnowing,
     "op10_pairwise_quality": op10_pairwise_quality,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_piece_round_trip": op13_piece_round_trip,
 }
 _TREE = """sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s:
     sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
@@ -158,4 +179,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""".replace("\\\\", "\\"),
+    "op12_collocations": r"""
+        WITH p AS (SELECT r, lang, generate_subscripts(x, 1) AS j, unnest(x) AS piece
+                   FROM (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS x FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f
+              FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m) WHERE len(w) >= m) GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, g, f AS a FROM g WHERE m > 1 AND f >= 10),
+        k AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+              FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+              JOIN g x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN g y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+        b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        d AS (SELECT DISTINCT s.lang, s.g FROM c s JOIN (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE m = 3) t
+              ON s.lang = t.lang AND s.g = t.g WHERE 100 * t.a >= 50 * s.a)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+              FROM (SELECT *, array_to_string(g, ' ') AS phrase FROM b ANTI JOIN d USING (lang, g))) JOIN n USING (lang) WHERE rank <= 2000""",
 }
