@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, text
-from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, structured
+from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured
 from loam.operators.retrieval import RetrievalConfig
 from loam.plans import ingest
 from loam.sources import loaders, manifest, sinks
@@ -737,10 +737,43 @@ def structured_pdf(spark, sf_dir):
     return structured.chunk_pdf(d, 512)
 
 
+def _outline_items(spark, sf_dir):
+    """The lines of documents as items of a word processor; headings by line number, and
+    none of level 1 in every fifth document."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("item_idx", "text"))
+    n = F.col("item_idx") % 8
+    level = F.when((n == 0) & (F.col("doc_id") % 5 != 0), 1).when(n == 2, 2).when(n == 5, (F.col("doc_id") % 3 + 2).cast("int")).when(n == 3, 3)
+    return lines.withColumn("heading_level", level).withColumn("section_heading", F.when(level.isNotNull(), F.substring("text", 1, 60)))
+
+
+_OUTLINE = r"""
+    WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+    h AS (SELECT *, regexp_replace(line[1:60], '^\s+|\s+$', '', 'g') AS title,
+                 CASE WHEN regexp_full_match(line[1:60], '\s*') THEN NULL WHEN i % 8 = 0 AND doc_id % 5 <> 0 THEN 1 WHEN i % 8 = 2 THEN 2 WHEN i % 8 = 5 THEN doc_id % 3 + 2 WHEN i % 8 = 3 THEN 3 END AS level FROM l),
+    p AS (SELECT *, count(*) FILTER (level = 1) OVER (PARTITION BY doc_id ORDER BY i) AS proc, coalesce(bool_or(level = 1) OVER (PARTITION BY doc_id), FALSE) AS styled FROM h),
+    s AS (SELECT *, proc > 0 AND level > 1 AND level <= coalesce(min(CASE WHEN level > 1 THEN level END) OVER (PARTITION BY doc_id, proc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 99) AS starts FROM p),
+    n AS (SELECT *, CASE WHEN bool_or(starts) OVER (PARTITION BY doc_id, proc) THEN greatest(count(*) FILTER (starts) OVER (PARTITION BY doc_id, proc ORDER BY i), 1) ELSE 0 END AS sec,
+                 min(title) FILTER (level = 1) OVER (PARTITION BY doc_id, proc) AS procedure_title FROM s),
+    g AS (SELECT doc_id, proc, sec, any_value(styled) AS styled, any_value(procedure_title) AS procedure_title, min(title) FILTER (starts) AS own,
+                 regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> '' AND NOT coalesce(starts, FALSE) AND level IS DISTINCT FROM 1), ''), '\s+$', '') AS body FROM n GROUP BY doc_id, proc, sec),
+    t AS (SELECT *, coalesce(own, procedure_title) AS section_title, CASE WHEN own IS NULL THEN '' ELSE ' | ' || own END AS below,
+                 nullif(regexp_extract(procedure_title, '^\s*(\d+)(?:\b|[.)-])', 1), '') AS procedure_number FROM g),
+    x AS (SELECT *, CASE WHEN proc = 0 THEN regexp_replace(body, '^\s+', '') ELSE 'Procedure' || coalesce(' ' || procedure_number, '') || ': ' || section_title || chr(10) || 'Section: ' || section_title || chr(10)
+                 || 'Path: ' || procedure_title || below || CASE WHEN body = '' THEN '' ELSE chr(10) || body END END AS text FROM t)
+    SELECT doc_id, proc, CAST(sec AS BIGINT) AS sec, CASE WHEN styled THEN 'NUM_PREFIX_MAJOR' ELSE 'HEADING1' END AS strategy, procedure_title, procedure_number,
+           CASE WHEN proc > 0 THEN section_title END AS section_title, procedure_title || below AS path, sha256(text) AS text_sha256
+    FROM x WHERE len(list_filter(string_split(text, chr(10)), lambda v: NOT regexp_full_match(v, '\s*'))) > 1"""
+
+
+@query(_OUTLINE)
+def section_outline(spark, sf_dir):
+    found = sections.outlined(_outline_items(spark, sf_dir))
+    return found.select("doc_id", "proc", F.col("sec").cast("long").alias("sec"), "strategy", "procedure_title", "procedure_number", "section_title", F.array_join("heading_path", " | ").alias("path"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query()
 def section_chunks(spark, sf_dir):
-    d = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("item_idx"), "text", F.initcap("role").alias("section_heading"), F.array(F.lit("Dialogue"), F.initcap("role")).alias("heading_path"), F.when(F.col("turn") == 0, 1).otherwise(2).alias("heading_level"))
-    return structured.chunk_sections(d, 512)
+    return sections.chunk_sections(_outline_items(spark, sf_dir), 512)
 
 
 @query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g').replace('&nbsp;', ' ').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', chr(34)).replace('&#39;', chr(39)).replace('&amp;', '&'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))) AS visible FROM pages".replace("\\\\", "\\"))
