@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import current_heading, is_toc_like, strip_ws
+from loam.operators import packing
 
 CHUNK = "doc_id {id}, chunk_seq int, text string, section string, section_range string, title_first string, title_last string, page_start int, page_end int, is_split boolean, split_part int, split_reason string, unit_type string"
 FIELDS = [x.split(" ")[0] for x in CHUNK.split(", ")]
@@ -44,7 +45,8 @@ def is_major_heading(c: Column) -> Column:
 def is_title_like(c: Column, most_words: int = 10) -> Column:
     """Few words, all begun by capitals, or all capitals; or numbered; no list item."""
     words = F.size(F.split(strip_ws(c), r"(?U)\s+"))
-    title = c.rlike(r"^(?:[^\p{L}]*\p{Lu}\p{Ll}*)+[^\p{L}]*$")
+    # a capital begins each run of cased letters and stands nowhere else
+    title = c.rlike(r"^[^\p{Lu}\p{Ll}\p{Lt}]*(?:[\p{Lu}\p{Lt}]\p{Ll}*(?:[^\p{Lu}\p{Ll}\p{Lt}]+|$))+$")
     upper = c.rlike(r"\p{Lu}") & ~c.rlike(r"\p{Ll}")
     return (c != "") & (F.char_length(c) <= 120) & ~is_list_item(c) & (c.rlike(r"^\s*[0-9]+(\.[0-9]+)*\b") | ((words <= most_words) & (title | upper)))
 
@@ -115,7 +117,8 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
 
     Units of one section fill a chunk up to the budget; the section's line leads each
     chunk, once. A unit over the budget is split, its section and title lead each
-    part. A last part under ``least_tail`` tokens joins the one before it.
+    part. A last part under ``least_tail`` tokens joins the one before it. Units of type
+    ``block`` are packed as ``packing`` does, without leading lines.
     """
     kind = units.schema["doc_id"].dataType.simpleString()
 
@@ -148,8 +151,22 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
                 emit(held, lead(held[0]["section"], None, "\n".join(r["text"] for r in held)), part > 1, part, "max_tokens" if part > 1 else None)
                 held.clear()
 
+        def pack(rows: list[dict]) -> None:
+            """A section without titles: its blocks fill chunks, one-line chunks go forward."""
+            parts = packing.merged_forward(packing.filled([(r["text"], bool(r["alone"])) for r in rows], max_tokens, overlap_words))
+            for c in parts:
+                emit(rows, c["text"], c["is_split"], c["split_part"], c["split_reason"])
+
+        blocks: list[dict] = []
         for row in group.sort_values("unit", kind="stable").to_dict("records"):
             row = {k: None if k != "page" and not isinstance(v, str) and pd.isna(v) else v for k, v in row.items()}
+            if blocks and (row["unit_type"] != "block" or blocks[0]["section"] != row["section"]):
+                pack(blocks)
+                blocks = []
+            if row["unit_type"] == "block":
+                flush()
+                blocks.append(row)
+                continue
             if held and held[0]["section"] != row["section"]:
                 flush()
             whole = lead(row["section"], None, "\n".join([*(r["text"] for r in held), row["text"]]))
@@ -169,12 +186,15 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
                     body = " ".join(parts[n - 2].split()[-overlap_words:]) + "\n" + body
                 emit([row], lead(row["section"], row["title"], body), True, n, "oversize")
         flush()
+        if blocks:
+            pack(blocks)
         frame = pd.DataFrame(out, columns=[f for f in FIELDS if f != "chunk_seq"])
         frame.insert(1, "chunk_seq", range(1, len(frame) + 1))
         return frame.astype({"page_start": "Int32", "page_end": "Int32", "chunk_seq": "int32", "split_part": "int32"})
 
     wanted = ["doc_id", "unit", "section", "title", "number", "page", "unit_type", "text"]
-    return units.select(*wanted).groupBy("doc_id").applyInPandas(run, CHUNK.format(id=kind))
+    alone = F.col("alone") if "alone" in units.columns else F.lit(False)
+    return units.select(*wanted, alone.alias("alone")).groupBy("doc_id").applyInPandas(run, CHUNK.format(id=kind))
 
 
 # the chunkers
@@ -195,8 +215,13 @@ def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc:
         lines = lines.where(~F.col("line").rlike(r"\.{3,}\s*\d+$|\t+\s*\d+$"))
     title = is_procedure_title(F.col("line"))
     changed = ~F.col("section").eqNullSafe(F.lag("section").over(order))
-    lines = lines.withColumn("starts", title | changed).withColumn("title", F.when(title, strip_ws(F.col("line")))).withColumn("number", section_number(F.col("line")))
-    units = joined_units(lines, F.col("starts"), ["section", "title", "number", "page"]).withColumn("unit_type", F.lit("procedure"))
+    titled = F.bool_or(title).over(Window.partitionBy("doc_id", "section"))
+    alone = is_title_like(F.col("line")) | is_numbered_heading(F.col("line")) | is_list_item(F.col("line"))
+    lines = lines.withColumn("alone", alone).withColumn("titled", titled)
+    block = F.col("alone") | F.coalesce(F.lag(F.col("alone") | (strip_ws(F.col("line")) == "")).over(order), F.lit(False))
+    lines = lines.withColumn("starts", F.when(F.col("titled"), title).otherwise(block) | changed)
+    lines = lines.withColumn("title", F.when(title, strip_ws(F.col("line")))).withColumn("number", section_number(F.col("line"))).withColumn("unit_type", F.when(F.col("titled"), "procedure").otherwise("block"))
+    units = joined_units(lines, F.col("starts"), ["section", "title", "number", "page", "unit_type", "alone"])
     return fill(units, max_tokens, min_tokens)
 
 
