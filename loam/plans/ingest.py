@@ -2,22 +2,23 @@
 
 items (doc_id, item_idx, text, content_type, source) are cleaned, sanitised and
 cut into chunks, embedded, and stripped of chunks whose hash occurred before.
-Everything is one plan; chunks stream through the embedder partition by partition.
+Chunks stream through the embedder partition by partition.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, text
-from loam.operators import chunking, dedup
+from loam.operators import chunking, dedup, sections, structured
+from loam.plans import models
+from loam.sources import tables
 from loam.sources.manifest import content_bucket, split_valid
 
 Embedder = Callable[[list[str]], list[list[float] | None]]
@@ -26,7 +27,10 @@ Embedder = Callable[[list[str]], list[list[float] | None]]
 @dataclass(frozen=True)
 class Profile:
     name: str = "standard"
-    chunker: str = "char"  # char or tokens
+    chunker: str = "char"  # char, tokens, none, or one of models.STRUCTURED
+    structured: bool = True
+    inline_figures: bool = False
+    figure_chunks: bool = False
     size: int = 2000
     overlap: float = 100
     max_tokens: int = 512
@@ -54,49 +58,76 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embed(chunks: DataFrame, embedder: Embedder, batch: int = 32, retries: int = 2) -> DataFrame:
+def embed(chunks: DataFrame, embedder: Embedder, batch: int = 32, retries: int = 2, max_tokens: int = 512) -> DataFrame:
     """Adds ``embedding``; null where the embedder skipped a text or a batch failed
-    after ``retries`` further tries."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema) + ", embedding array<double>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, vectors = frame["text"].tolist(), []
-            for k in range(0, len(texts), batch):
-                part = texts[k : k + batch]
-                for _ in range(retries + 1):
-                    try:
-                        vectors += embedder(part)
-                        break
-                    except Exception:  # noqa: BLE001  whatever a service raises is retried
-                        continue
-                else:
-                    vectors += [None] * len(part)
-            yield frame.assign(embedding=vectors)
-
-    return chunks.mapInPandas(run, schema)
+    after ``retries`` further tries. Limits, waits and halving are those of ``models.called``."""
+    return models.embed_texts(chunks, embedder, max_tokens=max_tokens, batch=batch, retries=retries).drop("n_parts", "failed_batches")
 
 
-def chunk_items(items: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """doc_id, chunk_id, chunk_seq, text, content_type, source and hash_norm."""
+def prepared(items: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """The valid items, cleaned and sanitised, with ``route``, the chunker that each goes to."""
     good, _ = split_valid(items)
     safe = sanitize.sanitize(text.nonempty(good, text.cleaned(F.col("text"))), mode=profile.sanitize_mode)
-    body = F.col("sanitized")
-    cut = chunking.chunk_chars(body, profile.size, int(profile.overlap)) if profile.chunker == "char" else chunking.chunk_tokens(body, profile.max_tokens, profile.overlap)
-    parts = F.flatten(F.transform(cut, lambda c: chunking.apply_limit(c, profile.max_tokens, profile.policy)))
-    # the outer form keeps the optimizer from adding the generator's input to a filter
-    rows = safe.select("doc_id", "item_idx", "content_type", "source", F.posexplode_outer(parts).alias("part", "text")).where("text <> ''")
-    # one document's chunks are numbered by item and part; an aggregate a document, no global order
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_idx", "part", "content_type", "source", "text"))).alias("c"))
-    flat = per.select("doc_id", F.posexplode("c").alias("pos", "c")).select("doc_id", (F.col("pos") + 1).alias("chunk_seq"), "c.content_type", "c.source", "c.text")
-    named = flat.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), "chunk_seq"))
+    return models.routed(safe.withColumn("text", F.col("sanitized")).drop("sanitized", "redactions"), profile.chunker, profile.structured)
+
+
+def plain_chunks(items: DataFrame, profile: Profile) -> DataFrame:
+    """doc_id, content_type, source, seq, text: items cut as the profile's plain chunker does, or
+    by characters. A document's chunks are numbered by running sums of its items' counts."""
+    name = profile.chunker if profile.chunker in models.CHUNKERS else "char"
+    cut = models.chunker_of(name, size=profile.size, overlap=profile.overlap, max_tokens=profile.max_tokens)(F.col("text"))
+    parts = F.filter(F.flatten(F.transform(cut, lambda c: chunking.apply_limit(c, profile.max_tokens, profile.policy))), lambda t: t != "")
+    rows = items.select("doc_id", "item_idx", "content_type", "source", parts.alias("parts"))
+    before = Window.partitionBy("doc_id").orderBy("item_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
+    flat = rows.select("doc_id", "content_type", "source", "before", F.posexplode_outer("parts").alias("part", "text")).where("text is not null")
+    return flat.select("doc_id", "content_type", "source", (F.col("before") + F.col("part") + 1).cast("int").alias("seq"), "text")
+
+
+def structured_chunks(items: DataFrame, profile: Profile) -> DataFrame:
+    """As ``plain_chunks``, by the profile's chunker of structured files. The chunks of a document
+    have its first source; a first line that they all share stays with the first alone."""
+    if profile.chunker == "toc_section_docx":
+        cut = sections.chunk_sections(items, profile.max_tokens, inline=profile.inline_figures, figure_chunks=profile.figure_chunks)
+    elif profile.chunker == "structured_docx":
+        cut = structured.chunk_docx(items, profile.max_tokens)
+    else:
+        cut = structured.chunk_pdf(items, profile.max_tokens)
+    cut = cut.select("doc_id", "chunk_seq", "text")
+    if "docx" in profile.chunker:
+        cut = chunking.strip_title(cut)
+    of = items.groupBy("doc_id").agg(F.min_by(F.struct("content_type", "source"), "item_idx").alias("of"))
+    return cut.where(F.trim("text") != "").join(of, "doc_id").select("doc_id", "of.content_type", "of.source", F.col("chunk_seq").cast("int").alias("seq"), "text")
+
+
+def named_chunks(chunks: DataFrame, profile: Profile) -> DataFrame:
+    """Chunks (doc_id, content_type, source, text, chunk_seq) with id, hash and the index they are for."""
+    named = chunks.select("doc_id", "chunk_seq", "content_type", "source", "text", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), "chunk_seq").alias("chunk_id"))
     return named.withColumn("hash_norm", text.hash_norm(F.col("text"))).withColumn("profile", F.lit(profile.name)).withColumn("index_name", F.lit(profile.index_name)).withColumn("distance_metric", F.lit(profile.distance_metric))
 
 
+def chunk_items(items: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """doc_id, chunk_id, chunk_seq, text, content_type, source and hash_norm.
+
+    Under a structured chunker the items of its content types go to it and the others to
+    characters: items are read, cleaned and sanitised once, into a table by route, and each
+    branch reads its own folder. In a document structured chunks are numbered first.
+    """
+    ready = prepared(items, profile)
+    if profile.chunker not in models.STRUCTURED or not profile.structured:
+        return named_chunks(plain_chunks(ready, profile).withColumnRenamed("seq", "chunk_seq"), profile)
+    ready = tables.written(ready, "ingest-items", "route")
+    first = structured_chunks(ready.where(F.col("route") == profile.chunker), profile)
+    rest = plain_chunks(ready.where(F.col("route") != profile.chunker), profile)
+    both = first.withColumn("branch", F.lit(0)).unionByName(rest.withColumn("branch", F.lit(1)))
+    order = Window.partitionBy("doc_id").orderBy("branch", "seq")
+    return named_chunks(both.withColumn("chunk_seq", F.row_number().over(order)), profile)
+
+
 def ingest(items: DataFrame, profile: Profile = Profile(), embedder: Embedder | None = None) -> DataFrame:
     """Vector rows, the first chunk of each hash; chunks without a vector go."""
     fresh = dedup.first_of_each(chunk_items(items, profile), "hash_norm", ["doc_id", "chunk_seq"])
-    return embed(fresh, embedder or hashing_embedder(), profile.batch).where("embedding is not null")
+    return embed(fresh, embedder or hashing_embedder(), profile.batch, max_tokens=profile.max_tokens).where("embedding is not null")
 
 
 def summary(items: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loam.functions import sanitize, text
 from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured
 from loam.operators.retrieval import RetrievalConfig
-from loam.plans import ingest
+from loam.plans import ingest, models
 from loam.sources import loaders, manifest, sinks
 
 CFG = RetrievalConfig()
@@ -559,9 +559,47 @@ def ingest_summary(spark, sf_dir):
     return ingest.summary(items, chunks, dedup.first_of_each(chunks, "hash_norm", ["doc_id", "chunk_seq"]))
 
 
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+ROUTED = ingest.Profile(chunker="toc_section_docx", max_tokens=512)
+
+
+def _mixed_items(spark, sf_dir):
+    """Documents as text files, pages as web files, conversations as files of a word
+    processor: their user turns are headings."""
+    d = _items(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("document-"), "doc_id"))
+    p = read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("doc_id"), F.lit(0).alias("item_idx"), loaders.html_text(F.col("html")).alias("text"), F.lit("text/html").alias("content_type"), F.col("url").alias("source"))
+    asks = F.col("role") == "user"
+    c = read(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conversation-"), "conv_id").alias("doc_id"),
+        F.col("turn").cast("int").alias("item_idx"),
+        F.when(asks, F.concat(F.lit("Question number "), "turn", F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"),
+        F.lit(DOCX).alias("content_type"),
+        F.lit("conversations").alias("source"),
+        F.when(asks, F.concat(F.lit("Question number "), "turn")).alias("section_heading"),
+        F.when(asks, F.when(F.col("turn") <= 1, 1).otherwise(2)).alias("heading_level"),
+    )
+    return d.unionByName(p).unionByName(c, allowMissingColumns=True)
+
+
+@query(
+    f"""SELECT route, content_type, count(*) AS items, count(DISTINCT doc_id) AS docs FROM (
+        SELECT 'char' AS route, 'text/plain' AS content_type, doc_id FROM documents WHERE coalesce(source, '') <> ''
+        UNION ALL SELECT 'char', 'text/html', page_id FROM pages WHERE coalesce(url, '') <> ''
+        UNION ALL SELECT 'toc_section_docx', '{DOCX}', conv_id FROM conversations) GROUP BY ALL"""
+)
+def ingest_routes(spark, sf_dir):
+    good, _ = manifest.split_valid(_mixed_items(spark, sf_dir))
+    return models.routed(good, ROUTED.chunker).groupBy("route", "content_type").agg(F.count("*").alias("items"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query()
+def ingest_routed(spark, sf_dir):
+    return ingest.chunk_items(_mixed_items(spark, sf_dir), ROUTED)
+
+
 @query()
 def chunks_by_type(spark, sf_dir):
-    return ingest.chunks_by_type(ingest.chunk_items(_items(spark, sf_dir)))
+    return ingest.chunks_by_type(ingest.chunk_items(_mixed_items(spark, sf_dir), ROUTED))
 
 
 # scalar functions and small operators, each over a whole table
