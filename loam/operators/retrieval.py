@@ -55,6 +55,8 @@ class RetrievalConfig:
 
 #: Queries that travel to the corpus at once: 4096 of 1,000 dimensions are 32 MB.
 QUERY_BLOCK = 4096
+#: Rows of the corpus that a task multiplies with a block at a time.
+SLICE = 512
 
 
 def distance(a: Column, b: Column, kind: str = "dot_product") -> Column:
@@ -111,30 +113,29 @@ def _closest(corpus: DataFrame, queries: DataFrame, k: int, kind: str, id_col: s
         best_i = np.empty((len(ids), 0), object)
         qn = np.linalg.norm(queries, axis=1)
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(ids) or not batch.num_rows:
-                continue
-            x = flat.reshape(batch.num_rows, dims)
-            dot = queries @ x.T
-            if "dot" in kind:
-                d = -dot
-            elif "cos" in kind:
-                d = 1 - dot / np.maximum(np.outer(qn, np.linalg.norm(x, axis=1)), 1e-300)
-            else:
-                d = np.sqrt(np.maximum(qn[:, None] ** 2 + (x**2).sum(axis=1)[None] - 2 * dot, 0))
-            names = np.array(batch.column(0).to_pylist(), object)
-            best_d = np.concatenate([best_d, d], axis=1)
-            best_i = np.concatenate([best_i, np.broadcast_to(names, d.shape)], axis=1)
-            if best_d.shape[1] > k:
-                order = np.argsort(best_d, axis=1, kind="stable")
-                cut = np.take_along_axis(best_d, order[:, k - 1 : k], 1)
-                # ties at the k-th distance: the smaller ids
-                for q in np.flatnonzero((best_d <= cut).sum(axis=1) > k):
-                    near = np.flatnonzero(best_d[q] <= cut[q])
-                    order[q, : len(near)] = sorted(near, key=lambda i: (best_d[q, i], best_i[q, i]))
-                order = order[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+            # some hundred rows at a time: what a slice needs is bounded, whatever the batch
+            for at in range(0, batch.num_rows if len(ids) else 0, SLICE):
+                part = batch.slice(at, SLICE)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dims)
+                dot = queries @ x.T
+                if "dot" in kind:
+                    d = -dot
+                elif "cos" in kind:
+                    d = 1 - dot / np.maximum(np.outer(qn, np.linalg.norm(x, axis=1)), 1e-300)
+                else:
+                    d = np.sqrt(np.maximum(qn[:, None] ** 2 + (x**2).sum(axis=1)[None] - 2 * dot, 0))
+                names = np.array(part.column(0).to_pylist(), object)
+                best_d = np.concatenate([best_d, d], axis=1)
+                best_i = np.concatenate([best_i, np.broadcast_to(names, d.shape)], axis=1)
+                if best_d.shape[1] > k:
+                    order = np.argsort(best_d, axis=1, kind="stable")
+                    cut = np.take_along_axis(best_d, order[:, k - 1 : k], 1)
+                    # ties at the k-th distance: the smaller ids
+                    for q in np.flatnonzero((best_d <= cut).sum(axis=1) > k):
+                        near = np.flatnonzero(best_d[q] <= cut[q])
+                        order[q, : len(near)] = sorted(near, key=lambda i: (best_d[q, i], best_i[q, i]))
+                    order = order[:, :k]
+                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
         rows = [(ids[q], i, d) for q in range(len(ids)) for i, d in zip(best_i[q], best_d[q]) if np.isfinite(d)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)

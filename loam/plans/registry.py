@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, text
-from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured
+from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured, vector_index
 from loam.operators.retrieval import RetrievalConfig
 from loam.plans import ingest, models
 from loam.sources import loaders, manifest, sinks
@@ -535,6 +535,30 @@ def parsed_tags(spark, sf_dir):
     return e.select("event_type", F.array_sort("tags").alias("tags"))
 
 
+# the index of vectors, beside the exact search
+
+
+def _indexed(spark, sf_dir, k: int = 25, sample: int = 256):
+    """The index over all rows, and as many probes as find 95 % of the exact rows of a bounded
+    sample of the questions."""
+    corpus, q = read(spark, sf_dir, "embeddings"), _questions(spark, sf_dir)
+    index = vector_index.build(corpus)
+    some = q.orderBy(F.xxhash64("query_id")).limit(sample)
+    return index, q, vector_index.probes_needed(index, some, retrieval.top_k(corpus, some, k), 0.95)
+
+
+@query()
+def ivf_topk(spark, sf_dir):
+    index, q, probes = _indexed(spark, sf_dir)
+    return vector_index.search(index, q, 25, probes)
+
+
+@query()
+def ivf_recall(spark, sf_dir):
+    index, q, probes = _indexed(spark, sf_dir)
+    return vector_index.recall(vector_index.search(index, q, 25, probes), retrieval.top_k(read(spark, sf_dir, "embeddings"), q, 25))
+
+
 # the ingest job
 
 
