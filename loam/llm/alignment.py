@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same text, and how often their tokens are linked.
 
 A is a byte-level BPE, B a SentencePiece BPE. Both part a text before a space or a line end
-that follows a character that is no white space, so the text falls into units that either
-encodes alone. The B tokens of all new units of a chunk, end to end, are a static interval
+that follows a character that is no white space, and between a letter and most signs, so the
+text falls into units that either encodes alone. The B tokens of all new units of a chunk, end to end, are a static interval
 index: each A token is a stabbing query that bisects their ends and beginnings for the B
 tokens it overlaps. What a query spans is marked on the gaps between B tokens by differences
 and a running sum; gaps that none spans are the borders of groups.
@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from loam.llm.common import freed, materialize, release
 from loam.llm.pieces import SPACE, PieceCoder
 
 #: Characters of a chunk; of a slice of a long text; units kept for each worker.
-CHUNK, SLICE, KEPT_UNITS = 1 << 23, 1 << 20, 300_000
+CHUNK, SLICE, KEPT_UNITS = 1 << 22, 1 << 20, 300_000
 #: White space as the byte-level tokenizers' pattern has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -67,13 +68,19 @@ class Units:
         self.length_a = np.array([len(b) for b in self.bytes_a])
         self.b = PieceCoder(path_b)
         self.length_b = np.array([len(b) for b in self.b.raw])
+        self.decimal = list(map(str, range(max(size, self.b.size))))
         white = re.compile(f"[{WHITE}]").fullmatch
         inside = {y for t in self.b.texts for x, y in zip(t, t[1:]) if x != SPACE and not white(x)}
         if SPACE in inside or "\n" in inside:
             raise ValueError("B has pieces that go on over a space or a line end")
         stuck = "".join(y for y in inside if white(y))
         more = f"(?:[{stuck}][{WHITE}]*)?" if stuck else ""
-        self.units_of = re.compile(f"[{WHITE}]*(?:[^{WHITE}]+{more})+|[{WHITE}]+").findall
+        # a run of letters also ends before an ASCII sign that no piece holds after a letter
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        after = {y for t in self.b.texts for x, y in zip(t, t[1:]) if letter(x)}
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+        word = f"[{WHITE}]*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        self.units_of = re.compile(f"{word}[{WHITE}]*(?:[^{WHITE}]+{more})+|[{WHITE}]+").findall
         self.slice_end = re.compile(f"(?<=[^{WHITE}])[ \n]").search
         self.clear()
 
@@ -82,41 +89,75 @@ class Units:
         self.groups: list[str] = []
         self.n = np.zeros((4, 0), np.int64)  # A tokens, B tokens, groups, whether bytes differ
         self.begin, self.key, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the units met most, half of the table at most."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > KEPT_UNITS // 2:
+            keep = np.sort(keep[np.argpartition(-self.hits[keep], KEPT_UNITS // 2)[: KEPT_UNITS // 2]])
+        names, groups = list(self.known), self.groups  # in the order of their numbers
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.groups = [groups[i] for i in keep.tolist()]
+        at = self._pairs_of(keep)
+        self.begin = np.concatenate([[0], np.cumsum(self.begin[keep + 1] - self.begin[keep])])
+        self.key, self.times = self.key[at], self.times[at]
+        self.n, self.hits = self.n[:, keep], self.hits[keep] // 2
+
+    def _pairs_of(self, flat: np.ndarray) -> np.ndarray:
+        """Where the id pairs of some units are, one unit after the other."""
+        sizes = self.begin[flat + 1] - self.begin[flat]
+        return np.repeat(self.begin[flat] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > KEPT_UNITS and self.known:
-            self.clear()
-            new = list(units)
+            self.shrink()
+            new = [u for u in units if u not in self.known]
         if not new:
             return
         ids_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        flat_b, begin_b = self.b.encode_words([u.replace(" ", SPACE) for u in new])
-        ids_b = [flat_b[x:y].tolist() for x, y in zip(begin_b, begin_b[1:])]
-        same = [b"".join(map(self.bytes_a.__getitem__, x)) == u == b"".join(map(self.b.raw.__getitem__, y)) for u, x, y in zip([u.encode() for u in new], ids_a, ids_b)]
-        ids_a, ids_b = [x if s else [] for x, s in zip(ids_a, same)], [y if s else [] for y, s in zip(ids_b, same)]
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(new)) for ids in (ids_a, ids_b))
+        b, begin_b = self.b.encode_words([u.replace(" ", SPACE) for u in new])
+        n_a, n_b = np.fromiter(map(len, ids_a), np.int64, len(new)), np.diff(begin_b)
+        flat_a = list(chain.from_iterable(ids_a))
+        a, b = np.array(flat_a, np.int64), b.astype(np.int64)
+        raw = [u.encode() for u in new]
+        size = np.fromiter(map(len, raw), np.int64, len(new))
+        same = (_sums(self.length_a[a], n_a) == size) & (_sums(self.length_b[b], n_b) == size)
+        whole = b"".join(raw)
+        if not same.all() or b"".join(map(self.bytes_a.__getitem__, flat_a)) != whole or b"".join(map(self.b.raw.__getitem__, b.tolist())) != whole:
+            ids_b = np.split(b, begin_b[1:-1])
+            same = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == u == b"".join(map(self.b.raw.__getitem__, y.tolist())) for u, x, y in zip(raw, ids_a, ids_b)], bool)
+            a, b, n_a, n_b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)], n_a * same, n_b * same
         group_a, group_b = aligned(self.length_a[a], self.length_b[b])
         unit_a = np.repeat(np.arange(len(new)), n_a)
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
         unit = np.zeros(n_groups, np.int64)
         unit[group_a] = unit_a
         per_unit = np.bincount(unit, minlength=len(new))
-        text = _group_texts(a, group_a, b, group_b, n_groups)
-        k = 0
-        for u, m in zip(new, per_unit.tolist()):
-            self.known[u] = len(self.groups)
-            self.groups.append(";".join(text[k : k + m]))
-            k += m
+        text = self._group_texts(a, group_a, b, group_b, n_groups)
+        ends = np.cumsum(per_unit)
+        self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.groups += [text[y - 1] if m == 1 else ";".join(text[y - m : y]) for y, m in zip(ends.tolist(), per_unit.tolist())]
         key, times, of = linked(a, group_a, b, group_b, n_groups)
         of = unit[of]
         order = np.lexsort((key, of))
         of, key, times = _summed(of[order], key[order], times[order])
-        self.n = np.concatenate([self.n, [n_a, n_b, per_unit, ~np.array(same)]], axis=1)
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.n = np.concatenate([self.n, [n_a, n_b, per_unit, ~same]], axis=1)
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(of, minlength=len(new)))])
         self.key, self.times = np.concatenate([self.key, key]), np.concatenate([self.times, times])
 
+    def _group_texts(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, n_groups: int) -> list[str]:
+        end_a, end_b = (np.searchsorted(g, np.arange(n_groups), side="right").tolist() for g in (group_a, group_b))
+        a, b = list(map(self.decimal.__getitem__, a.tolist())), list(map(self.decimal.__getitem__, b.tolist()))
+        out = []
+        i = j = 0
+        for x, y in zip(end_a, end_b):
+            out.append(f"{a[i] if x - i == 1 else ','.join(a[i:x])}|{b[j] if y - j == 1 else ','.join(b[j:y])}")
+            i, j = x, y
+        return out
+
     def slices(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > SLICE and (cut := self.slice_end(text, at + SLICE)):
@@ -128,16 +169,16 @@ class Units:
         """For each stretch of text the row of four numbers (see ``n``) and its groups; then
         stretch, key and times of all distinct id pairs."""
         split = [self.units_of(t) for t in texts]
-        self.learn({u for s in split for u in s})
-        known, groups = self.known, self.groups
-        index = [[known[u] for u in s] for s in split]
-        text = [";".join([groups[i] for i in s]) for s in index]
-        flat = np.fromiter((i for s in index for i in s), np.int64)
+        self.learn(set().union(*split))
+        known, groups = self.known.__getitem__, self.groups.__getitem__
+        index = [list(map(known, s)) for s in split]
+        text = [";".join(map(groups, s)) for s in index]
+        flat = np.fromiter(chain.from_iterable(index), np.int64)
+        self.hits += np.bincount(flat, minlength=len(self.hits))
         row = np.repeat(np.arange(len(texts)), [len(s) for s in index])
         n = np.stack([np.bincount(row, self.n[k][flat], len(texts)).astype(np.int64) for k in range(4)])
-        sizes = self.begin[flat + 1] - self.begin[flat]
-        at = np.repeat(self.begin[flat] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        row = np.repeat(row, sizes)
+        at = self._pairs_of(flat)
+        row = np.repeat(row, self.begin[flat + 1] - self.begin[flat])
         key, times = self.key[at], self.times[at]
         order = np.lexsort((key, row))
         return n, text, *_summed(row[order], key[order], times[order])
@@ -168,6 +209,13 @@ def _summed(row: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.nda
     return row[at], key[at], np.add.reduceat(times, at)
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``sizes`` values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    end = np.cumsum(sizes)
+    return total[end] - total[end - sizes]
+
+
 def _counted(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, group))
     return _summed(group[order], ids[order], np.ones(len(ids), np.int64))
@@ -185,17 +233,6 @@ def linked(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarra
     return id_a[left] << 32 | id_b[right], n_a[left] * n_b[right], g_a[left]
 
 
-def _group_texts(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, n_groups: int) -> list[str]:
-    out = []
-    ends = [np.searchsorted(g, np.arange(n_groups), side="right").tolist() for g in (group_a, group_b)]
-    decimal_a, decimal_b = (list(map(str, x.tolist())) for x in (a, b))
-    i = j = 0
-    for x, y in zip(*ends):
-        out.append(",".join(decimal_a[i:x]) + "|" + ",".join(decimal_b[j:y]))
-        i, j = x, y
-    return out
-
-
 _units: dict[tuple[str, str], Units] = {}
 
 
