@@ -46,7 +46,7 @@ def folded_words(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     offsets = np.concatenate([[0], np.cumsum(end - start)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside])])
-    return words, np.cumsum(border)[start]
+    return words, np.searchsorted(np.flatnonzero(border), start)
 
 
 def _cut(text: bytes, size: int, overlap: int) -> Iterator[tuple[bytes, int]]:
@@ -78,11 +78,15 @@ class _Filter:
         self.bits = np.frombuffer(bits, np.uint8)
         self.mask = len(bits) * 8 - 1
 
-    def holds(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
+    def holds(self, lang: bytes, phrases: pa.Array) -> np.ndarray:
         digest = functools.partial(xxhash.xxh64_intdigest, seed=42)
         prefix = lang + b"\x00"
-        at = np.fromiter((digest(prefix + p) & self.mask for p in phrases), np.int64, len(phrases))
-        return (self.bits[at >> 3] >> (at & 7)) & 1 == 1
+        out = np.zeros(len(phrases), bool)
+        for k in range(0, len(phrases), 1 << 16):
+            part = phrases.slice(k, 1 << 16).to_pylist()
+            at = np.fromiter((digest(prefix + p) & self.mask for p in part), np.int64, len(part))
+            out[k : k + len(part)] = (self.bits[at >> 3] >> (at & 7)) & 1
+        return out
 
 
 def _place(bits: int) -> Column:
@@ -104,16 +108,20 @@ def bitmap(level: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def chunk_counts(lang: bytes, texts: list[bytes], counted: int, length: int, below: _Filter | None) -> tuple[list[bytes], np.ndarray]:
+def _joined(left: pa.Array, right: pa.Array, key: np.ndarray, base: int) -> pa.Array:
+    """Spellings of pairs: key // base numbers the left one, key % base the right one."""
+    return pc.binary_join_element_wise(left.take(pa.array(key // base)), right.take(pa.array(key % base)), pa.scalar(b" ", pa.large_binary()))
+
+
+def chunk_counts(lang: bytes, texts: list[bytes], counted: int, length: int, below: _Filter | None) -> tuple[pa.Array, np.ndarray]:
     """The distinct phrases of ``length`` words of some texts that the filter lets through, and
     their counts; phrases that end within the first ``counted`` words are another part's."""
     words, piece = folded_words(texts)
     held = words.dictionary_encode()
-    code = held.indices.to_numpy().astype(np.int64)
-    names = held.dictionary.to_pylist()
+    code, names = held.indices.to_numpy().astype(np.int64), held.dictionary
     if length == 1:
         n = np.bincount(code[counted:], minlength=len(names))
-        return [w for w, c in zip(names, n) if c], n[n > 0]
+        return names.filter(pa.array(n > 0)), n[n > 0]
     base = max(len(names), 1)
     together = piece[:-1] == piece[1:]
     # numbers and spellings of the phrases of one word less, by the word they begin with
@@ -121,14 +129,14 @@ def chunk_counts(lang: bytes, texts: list[bytes], counted: int, length: int, bel
     for m in range(2, length):
         ok = (number[:-1] >= 0) & together[m - 2 :]
         key, place = np.unique(number[:-1][ok] * base + code[m - 1 :][ok], return_inverse=True)
-        spelled = [spelled[k // base] + b" " + names[k % base] for k in key.tolist()]
+        spelled = _joined(spelled, names, key, base)
         number = np.full(len(ok), -1)
         number[ok] = place
     good = np.append(below.holds(lang, spelled), False)[number]
     ok = good[:-1] & good[1:] & together[length - 2 :]
     ok[: max(counted - length + 1, 0)] = False
     key, n = np.unique(number[:-1][ok] * base + code[length - 1 :][ok], return_counts=True)
-    return [spelled[k // base] + b" " + names[k % base] for k in key.tolist()], n
+    return _joined(spelled, names, key, base), n
 
 
 def phrase_counts(texts: DataFrame, length: int, below: Broadcast | None, chunk: int) -> DataFrame:
@@ -143,12 +151,12 @@ def phrase_counts(texts: DataFrame, length: int, below: Broadcast | None, chunk:
 
         def rows(lang: str, parts: list[bytes], counted: int = 0) -> Iterator[pa.RecordBatch]:
             phrases, n = chunk_counts(lang.encode(), parts, counted, length, passes)
-            names, counts = pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())
+            counts = pa.array(n, pa.int64())
+            for k in range(0, len(phrases), 1 << 16):
+                names = phrases.slice(k, 1 << 16).cast(pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), names, counts.slice(k, 1 << 16)], schema=schema)
             if length == 1 and len(n):
-                names, counts = pa.concat_arrays([names, pa.nulls(1, pa.string())]), pa.concat_arrays([counts, pa.array([int(n.sum())], pa.int64())])
-            for k in range(0, len(names), 1 << 16):
-                m = min(1 << 16, len(names) - k)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), names.slice(k, m), counts.slice(k, m)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.array([int(n.sum())], pa.int64())], schema=schema)
 
         size = 0
         for batch in batches:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -219,6 +220,6 @@ def test_empty_documents_have_no_phrases(spark):
 def test_filter_finds_what_spark_set(spark):
     level = spark.createDataFrame([("en", "new york"), ("und", "é")], "lang string, phrase string")
     held = phrases._Filter(phrases.bitmap(level))
-    assert held.holds(b"en", [b"new york"]).all() and held.holds(b"und", ["é".encode()]).all()
-    assert not held.holds(b"de", [b"new york"]).any()
+    assert held.holds(b"en", pa.array([b"new york"])).all() and held.holds(b"und", pa.array(["é".encode()])).all()
+    assert not held.holds(b"de", pa.array([b"new york"])).any()
     assert level.select(F.count("*")).first()[0] == 2
