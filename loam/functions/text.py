@@ -31,8 +31,8 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC. Texts of ASCII alone are in that form and skip the hop's work."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _composed(c)).otherwise(c)
+    """Unicode NFC. Texts of ASCII alone are in that form: nulls cross to Python in their place."""
+    return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def strip_invisible(c: Column) -> Column:

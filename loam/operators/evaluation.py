@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loam.functions.text import bound
 
 
+#: Short phrases that are broadcast, after a count; more of them are joined without.
+SHORT = 10_000
+
+
 def hits(golden: DataFrame, results: DataFrame, default_k: int = 10) -> DataFrame:
     """query_id, eligible, first_rank: the first rank of a wanted document.
 
@@ -42,18 +46,19 @@ def phrases_in(phrases: DataFrame, texts: DataFrame, words: int = 3) -> DataFram
 
     The words of a phrase but its first and last are whole words of a text that holds it,
     so the two share the hash of the first few of these; only pairs that do are tested. Phrases
-    with fewer words are held against every text.
+    with fewer words are held against every text. Equal texts are held against them once.
     """
     split = lambda c: F.split(F.trim(F.regexp_replace(c, r"[\x00-\x20]+", " ")), " ")
     p = phrases.where("phrase is not null").select("query_id", F.lower("phrase").alias("phrase"))
     p = p.withColumn("inner", F.slice(split(F.col("phrase")), F.lit(2), F.greatest(F.size(split(F.col("phrase"))) - 2, F.lit(0))))
-    t = texts.where("text is not null").select(F.lower("text").alias("text"))
+    t = texts.where("text is not null").select(F.lower("text").alias("text")).groupBy(F.sha2("text", 256).alias("of")).agg(F.first("text").alias("text"))
     grams = bound(split(F.col("text")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words))))
     long = p.where(F.size("inner") >= words).withColumn("gram", F.xxhash64(F.slice("inner", 1, words)))
     keyed = t.withColumn("gram", F.explode(F.array_distinct(grams)))
-    met = keyed.select("gram", F.xxhash64("text").alias("of")).join(long.select("gram").distinct(), "gram", "left_semi")
-    near = t.withColumn("of", F.xxhash64("text")).join(met, "of").join(long, "gram").where(F.col("text").contains(F.col("phrase"))).select("query_id")
+    met = keyed.select("gram", "of").join(long.select("gram").distinct(), "gram", "left_semi")
+    near = t.join(met, "of").join(long, "gram").where(F.col("text").contains(F.col("phrase"))).select("query_id")
     short = p.where(F.size("inner") < words)
-    hits = near.union(t.join(F.broadcast(short), F.col("text").contains(F.col("phrase"))).select("query_id"))
+    short = F.broadcast(short) if short.limit(SHORT + 1).count() <= SHORT else short
+    hits = near.union(t.join(short, F.col("text").contains(F.col("phrase"))).select("query_id"))
     found = hits.distinct().withColumn("phrase_hit", F.lit(True))
     return phrases.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("phrase_hit", F.lit(False)).alias("phrase_hit"))

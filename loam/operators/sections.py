@@ -6,7 +6,8 @@ document; one aggregation puts each section together. Python only cuts the text
 section that is over the budget at its lines.
 
 items: doc_id, item_idx, text and, where there are some, section_heading, heading_text,
-heading_level, outline_level, block_type, figure_id, image_ref.
+heading_level, outline_level, block_type (image; other kinds but heading are no headings),
+figure_id, image_ref.
 
 Which headings open procedures is voted on in each document:
 
@@ -77,7 +78,9 @@ def placed_items(items: DataFrame, numbers: str = "heading", inline: bool = Fals
     title = styled
     if numbers == "text":
         title = F.when(numeric_prefix(line).isNotNull() & F.lower(line).endswith(F.lower(styled)), line).otherwise(styled)
-    level = F.when(~image & (title != ""), F.coalesce(F.col("heading_level"), F.col("outline_level") + 1).cast("int"))
+    # items of a loader tell headings from what stands below them
+    heading = F.coalesce(F.col("block_type") == "heading", F.lit(True))
+    level = F.when(heading & (title != ""), F.coalesce(F.col("heading_level"), F.col("outline_level") + 1).cast("int"))
     rows = rows.withColumns({"image": image, "title": title, "level": level})
     # the vote: the level of procedures
     sop = F.col("level").isNotNull() & sop_heading(F.col("title")).isNotNull()

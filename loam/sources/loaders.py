@@ -7,13 +7,16 @@ from an extractor that the caller gives, a function from bytes to pages.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 from itertools import accumulate
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from loam.functions.text import cleaned, collapse_ws, nonempty, strip_ws
 from loam.sources.manifest import loader_of
 
-ITEM = "path string, item_idx int, text string, content_type string, section_path string, slide_number int, has_notes boolean, sheet_name string, n_rows int, n_cols int, page int, has_ocr boolean, block_type string, section_heading string, heading_path array<string>, heading_level int"
+ITEM = "path string, item_idx int, text string, content_type string, section_path string, slide_number int, has_notes boolean, sheet_name string, n_rows int, n_cols int, page int, has_ocr boolean, block_type string, section_heading string, heading_path array<string>, heading_level int, figure_no int, figure_id string, image_ref string, image_sha256 string, image binary"
 FIELDS = [f.strip().split(" ")[0] for f in ITEM.split(", ")]
 Parser = Callable[[bytes], Iterator[dict]]
 
@@ -128,9 +131,64 @@ def _style_level(style: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def parse_docx(raw: bytes) -> Iterator[dict]:
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+V = "{urn:schemas-microsoft-com:vml}"
+
+
+def image_parts(z: zipfile.ZipFile, part: str = "word/document.xml") -> dict[str, str]:
+    """Relationship id to member name of the images that a part of a package refers to.
+
+    Targets are relative to the part's folder, or absolute in the package, percent-encoded;
+    external ones and those outside the package have no member.
+    """
+    folder, name = posixpath.split(part)
+    rels = posixpath.join(folder, "_rels", f"{name}.rels")
+    members = set(z.namelist())
+    if rels not in members:
+        return {}
+    found = {}
+    for r in ElementTree.fromstring(z.read(rels)):
+        if (r.get("Type") or "").endswith("/image") and r.get("TargetMode") != "External":
+            target = unquote(r.get("Target") or "")
+            path = posixpath.normpath(target.lstrip("/") if target.startswith("/") else posixpath.join(folder, target))
+            if path in members:
+                found[r.get("Id") or ""] = path
+    return found
+
+
+def _fragments(p: ElementTree.Element) -> list[tuple[str, str]]:
+    """A paragraph's stretches of text and its images' relationship ids, in order."""
+    out: list[tuple[str, str]] = []
+    text = ""
+    for t in p.iter():
+        if t.tag == f"{W}t":
+            text += t.text or ""
+        elif t.tag == f"{W}tab":
+            text += "\t"
+        rid = t.get(f"{R}embed") if t.tag == f"{A}blip" else t.get(f"{R}id") if t.tag == f"{V}imagedata" else None
+        if rid:
+            out += [("text", text), ("image", rid)]
+            text = ""
+    return [(kind, x.strip()) for kind, x in [*out, ("text", text)] if x.strip()]
+
+
+def _paragraphs(parent: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Paragraphs in body order, those of tables' cells too, none within another."""
+    for child in parent:
+        if child.tag == f"{W}p":
+            yield child
+        elif child.tag != f"{W}sectPr":
+            yield from _paragraphs(child)
+
+
+def parse_docx(raw: bytes, images: bool = False) -> Iterator[dict]:
     """Paragraphs in body order, tables' cells too, with block types and the path of
-    headings that are open; lines of a table of contents are left out."""
+    headings that are open; lines of a table of contents are left out.
+
+    ``images``: a picture is an item where it stands, with its bytes; text of its paragraph
+    before and after it are items too, of which the first alone is a heading. A picture whose
+    part is missing or outside the file is left out.
+    """
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
         styles: dict[str, str] = {}
@@ -138,37 +196,55 @@ def parse_docx(raw: bytes) -> Iterator[dict]:
             for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{W}style"):
                 name = s.find(f"{W}name")
                 styles[s.get(f"{W}styleId") or ""] = (name.get(f"{W}val") or "") if name is not None else ""
-    stack: list[tuple[int, str]] = []
-    counters: dict[str, list[int]] = {}
-    for p in body.iter(f"{W}p") if body is not None else ():
-        text = "".join((t.text or "") if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "" for t in p.iter()).strip()
-        if not text:
-            continue
-        style = p.find(f"{W}pPr/{W}pStyle")
-        sid = style.get(f"{W}val") if style is not None else ""
-        name = styles.get(sid, "") or sid
-        if name.lower().startswith("toc"):
-            continue
-        level = _style_level(name)
-        numbering = p.find(f"{W}pPr/{W}numPr")
-        prefix = ""
-        if numbering is not None:
-            num = numbering.find(f"{W}numId")
-            depth = numbering.find(f"{W}ilvl")
-            key = num.get(f"{W}val") if num is not None else ""
-            at = int(depth.get(f"{W}val")) if depth is not None else 0
-            held = counters.setdefault(key, [])
-            held[:] = (held + [0] * (at + 1 - len(held)))[: at + 1]
-            held[at] += 1
-            prefix = ".".join(map(str, held))
-        if level is not None:
-            title = f"{prefix} {text}".strip() if prefix else text
-            stack = [x for x in stack if x[0] < level] + [(level, title)]
-            kind, text = "heading", title
-        else:
-            kind = "list" if numbering is not None or "list" in name.lower() else "paragraph"
-        path = [t for n, t in stack if n >= 1]
-        yield {"text": text, "content_type": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "block_type": kind, "section_heading": path[-1] if path else None, "heading_path": path, "heading_level": stack[-1][0] if stack else None}
+        members = image_parts(z) if images else {}
+        stack: list[tuple[int, str]] = []
+        counters: dict[str, list[int]] = {}
+        figures = 0
+
+        def item(text: str, kind: str, **more) -> dict:
+            path = [t for n, t in stack if n >= 1]
+            return {"text": text, "content_type": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "block_type": kind, "section_heading": path[-1] if path else None, "heading_path": path, "heading_level": stack[-1][0] if stack else None} | more
+
+        for p in _paragraphs(body) if body is not None else ():
+            parts = _fragments(p) if images else []
+            if not any(kind == "image" for kind, _ in parts):
+                text = "".join((t.text or "") if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "" for t in p.iter()).strip()
+                parts = [("text", text)] if text else []
+            style = p.find(f"{W}pPr/{W}pStyle")
+            sid = style.get(f"{W}val") if style is not None else ""
+            name = styles.get(sid, "") or sid
+            if not parts or name.lower().startswith("toc"):
+                continue
+            level = _style_level(name)
+            numbering = p.find(f"{W}pPr/{W}numPr")
+            prefix = ""
+            if numbering is not None:
+                num = numbering.find(f"{W}numId")
+                depth = numbering.find(f"{W}ilvl")
+                key = num.get(f"{W}val") if num is not None else ""
+                at = int(depth.get(f"{W}val")) if depth is not None else 0
+                held = counters.setdefault(key, [])
+                held[:] = (held + [0] * (at + 1 - len(held)))[: at + 1]
+                held[at] += 1
+                prefix = ".".join(map(str, held))
+            kind = "heading" if level is not None else "list" if numbering is not None or "list" in name.lower() else "paragraph"
+            for what, x in parts:
+                if what == "image":
+                    if x in members:
+                        figures += 1
+                        content = z.read(members[x])
+                        yield item("", "image", figure_no=figures, extension=posixpath.splitext(members[x])[1].lower() or ".img", image=content, image_sha256=hashlib.sha256(content).hexdigest())
+                elif kind == "heading":
+                    title = f"{prefix} {x}".strip() if prefix else x
+                    stack = [s for s in stack if s[0] < level] + [(level, title)]
+                    yield item(title, kind)
+                    kind = "paragraph"
+                else:
+                    yield item(x, kind)
+
+
+def parse_docx_with_images(raw: bytes) -> Iterator[dict]:
+    return parse_docx(raw, images=True)
 
 
 PARSERS: dict[str, Parser] = {"html": parse_html, "pptx": parse_pptx, "xlsx": parse_xlsx, "docx": parse_docx}
@@ -186,6 +262,22 @@ def pdf_parser(pages: Callable[[bytes], list[str]], ocr: Callable[[bytes, int],
     return parse
 
 
+def _named_figure(path: str, item: dict) -> dict:
+    """A figure's id, which is its text, and its path below the folder of figures."""
+    n = item.get("figure_no")
+    if n is None:
+        return item
+    stem = posixpath.splitext(posixpath.basename(path))[0]
+    return item | {"text": f"{stem}_img_{n:03d}", "figure_id": f"{stem}_img_{n:03d}", "image_ref": f"{stem}/img_{n:03d}{item['extension']}"}
+
+
+def figures_of(items: DataFrame) -> DataFrame:
+    """doc_id (the file's name), n, extension, content of the images among parsed items, for
+    ``sinks.figure_files``."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    return items.where("block_type = 'image'").select(name.alias("doc_id"), F.col("figure_no").alias("n"), F.regexp_extract("image_ref", r"\.([^./]+)$", 1).alias("extension"), F.col("image").alias("content"))
+
+
 def parsed_items(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
     """Raw items of files (path, content, loader) that have a parser; a file that
     fails gives a row with the error as its only field."""
@@ -195,11 +287,11 @@ def parsed_items(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
             rows = []
             for path, content, loader in zip(frame["path"], frame["content"], frame["loader"]):
                 try:
-                    rows += [{"path": path, "item_idx": k, "error": None} | item for k, item in enumerate(parsers[loader](bytes(content)))]
+                    rows += [{"path": path, "item_idx": k, "error": None} | _named_figure(path, item) for k, item in enumerate(parsers[loader](bytes(content)))]
                 except Exception as e:  # noqa: BLE001  any broken file is that file's error
                     rows.append({"path": path, "item_idx": 0, "error": f"{path}: {e}"})
             out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*FIELDS, "error"]})
-            for c, kind in (("slide_number", "Int32"), ("n_rows", "Int32"), ("n_cols", "Int32"), ("page", "Int32"), ("heading_level", "Int32"), ("item_idx", "Int32"), ("has_notes", "boolean"), ("has_ocr", "boolean")):
+            for c, kind in (("slide_number", "Int32"), ("n_rows", "Int32"), ("n_cols", "Int32"), ("page", "Int32"), ("heading_level", "Int32"), ("figure_no", "Int32"), ("item_idx", "Int32"), ("has_notes", "boolean"), ("has_ocr", "boolean")):
                 out[c] = out[c].astype(kind)
             yield out
 
@@ -219,14 +311,17 @@ def collapse_lines(p):
     return strip_ws(F.regexp_replace(p, r"(?<![ \t])[ \t]*+\n[ \t]*+", " "))
 
 
-def load_files(spark: SparkSession, paths: list[str], pdf: Parser | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cleaned items of all files, and the errors. Each kind of file is one branch of
+def load_files(spark: SparkSession, paths: list[str], pdf: Parser | None = None, images: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cleaned items of all files, and the errors. ``images``: pictures of documents are items too. Each kind of file is one branch of
     the same scan; branches are put together by name."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content").withColumn("loader", loader_of(F.col("path")))
-    parsers = PARSERS | ({"pdf": pdf} if pdf else {})
+    parsers = PARSERS | ({"pdf": pdf} if pdf else {}) | ({"docx": parse_docx_with_images} if images else {})
     parsed = parsed_items(files, parsers)
     tables = F.col("content_type").contains("spreadsheet")
-    good = nonempty(parsed.where("error is null").drop("error"), cleaned(F.col("text"), tables))
+    figure = F.col("block_type").eqNullSafe("image")
+    good = nonempty(parsed.where(F.col("error").isNull() & ~figure).drop("error"), cleaned(F.col("text"), tables))
+    if images:
+        good = good.unionByName(parsed.where(F.col("error").isNull() & figure).drop("error"))
     items = good.unionByName(text_items(files), allowMissingColumns=True)
     return items, parsed.where("error is not null").select("path", "error")
 
