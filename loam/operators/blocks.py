@@ -5,22 +5,31 @@ blocks: doc_id, pos, page, block_type, text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import bound, strip_ws, toc_step
+from loam.functions.text import is_heading_line, is_toc_anchor, is_toc_like, strip_ws
 from loam.operators.chunking import repeated_page_lines
 
 
-def toc_flags(lines: Column) -> Column:
-    """For each line of an array, whether it lies in a table of contents: an ordered
-    fold from an anchor to the next line that looks like a heading."""
-    start = F.struct(F.array().cast("array<boolean>").alias("flags"), F.lit(False).alias("inside"))
+def toc_flags(lines: DataFrame, by: list[str], order: list[str], line: str = "line") -> DataFrame:
+    """``lines`` with ``toc``, whether a line lies in a table of contents: from an anchor to the
+    next line that looks like a heading.
 
-    def step(s: Column, line: Column) -> Column:
-        return bound(toc_step(s["inside"], line), lambda t: F.struct(F.concat(s["flags"], F.array(t["drop"])).alias("flags"), t["inside"].alias("inside")))
-
-    return F.aggregate(lines, start, step, lambda s: s["flags"])
+    An anchor that is no heading opens, a heading that is no anchor shuts, a line that is both
+    does the other of what is; so the state is what the last of the first two left, turned as
+    often as one of the third kind followed. Running values, linear in the lines.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    c = F.col(line)
+    rows = lines.withColumns({"_a": F.coalesce(is_toc_anchor(c), F.lit(False)), "_h": F.coalesce(is_heading_line(c), F.lit(False))})
+    sets, turns = F.col("_a") != F.col("_h"), F.col("_a") & F.col("_h")
+    rows = rows.withColumn("_turns", F.count_if(turns).over(w))
+    base = F.last(F.when(sets, F.struct(F.col("_a").cast("int").alias("open"), F.col("_turns").alias("n"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("_state", (F.coalesce(base["open"], F.lit(0)) + F.col("_turns") - F.coalesce(base["n"], F.lit(0))) % 2 == 1)
+    before = F.lag("_state", 1, False).over(w)
+    toc = is_toc_like(c) | (strip_ws(c).rlike(r"\d{1,4}\s*\z") & ~F.col("_h"))
+    return rows.withColumn("toc", F.when(before, ~F.col("_h") & toc).otherwise(F.col("_a"))).drop("_a", "_h", "_turns", "_state")
 
 
 def clean_blocks(blocks: DataFrame, mode: str, compat: bool = False) -> DataFrame:
@@ -29,8 +38,7 @@ def clean_blocks(blocks: DataFrame, mode: str, compat: bool = False) -> DataFram
     theirs, unless ``compat``). Images pass as they are; empty blocks go."""
     image = F.coalesce(F.col("block_type") == "image", F.lit(False))
     lines = blocks.where(~image).select("doc_id", "pos", "page", F.posexplode(F.split("text", r"\r\n?|\n")).alias("n", "line"))
-    per = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "page", "line"))).alias("l"))
-    flagged = per.select("doc_id", F.explode(F.arrays_zip("l", toc_flags(F.transform("l", lambda x: x["line"])).alias("toc"))).alias("z")).select("doc_id", "z.l.*", "z.toc")
+    flagged = toc_flags(lines, ["doc_id"], ["pos", "n"])
     kept = flagged.where(~F.col("toc") & (strip_ws(F.col("line")) != ""))
     if mode == "pdf":
         repeated = repeated_page_lines(kept, least_pages=1 if compat else 2).withColumnRenamed("line", "_norm")
@@ -40,20 +48,16 @@ def clean_blocks(blocks: DataFrame, mode: str, compat: bool = False) -> DataFram
     return cleaned.select(blocks.columns).unionByName(blocks.where(image))
 
 
-def numbered_levels(items: DataFrame) -> DataFrame:
+def numbered_levels(items: DataFrame, deepest: int = 8) -> DataFrame:
     """items (doc_id, pos, num_id, level from 0) with ``prefix``: a counter for each
-    level of each num_id in its document; deeper levels start anew."""
-    per = items.groupBy("doc_id", "num_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level"))).alias("x"))
-    start = F.struct(F.array().cast("array<int>").alias("now"), F.array().cast("array<struct<pos:int,prefix:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        missing = F.greatest(x["level"] + 1 - F.size(s["now"]), F.lit(0))
-        padded = F.slice(F.concat(s["now"], F.array_repeat(F.lit(0), missing)), F.lit(1), x["level"] + 1)
-        now = F.transform(padded, lambda v, i: F.when(i == x["level"], v + 1).otherwise(v))
-        return F.struct(now.alias("now"), F.concat(s["out"], F.array(F.struct(x["pos"].cast("int").alias("pos"), F.array_join(F.transform(now, lambda v: v.cast("string")), ".").alias("prefix")))).alias("out"))
-
-    folded = per.select("doc_id", "num_id", F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("o"))
-    return items.join(folded.select("doc_id", "num_id", F.col("o.pos").alias("pos"), F.col("o.prefix").alias("prefix")), ["doc_id", "num_id", "pos"])
+    level of each num_id in its document; deeper levels start anew. What a counter had at the
+    last shallower item is taken from its running count."""
+    w = Window.partitionBy("doc_id", "num_id").orderBy("pos")
+    level = F.col("level")
+    rows = items.withColumns({f"_c{n}": F.count_if(level == n).over(w) for n in range(deepest + 1)})
+    now = [F.col(f"_c{n}") - F.coalesce(F.last(F.when(level < n, F.col(f"_c{n}")), ignorenulls=True).over(w), F.lit(0)) for n in range(deepest + 1)]
+    parts = F.array(*(F.when(level >= n, x.cast("string")) for n, x in enumerate(now)))
+    return rows.withColumn("prefix", F.array_join(parts, ".")).drop(*(f"_c{n}" for n in range(deepest + 1)))
 
 
 def placeholders(chunks: DataFrame, figures: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import SPACE, bound, strip_ws
 
+#: The deepest heading level that a path follows.
+DEEPEST = 9
+
 
 def chunk_chars(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` characters that start ``size - overlap`` apart, stripped,
@@ -102,22 +105,26 @@ def strip_title(chunks: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(same & (F.col("chunk_seq") > 1), rest).otherwise(F.col("text"))).drop("_n", "_low", "_high")
 
 
-def heading_paths(blocks: DataFrame) -> DataFrame:
+def open_headings(level: Column, title: Column, pos: Column, window, deepest: int = DEEPEST) -> Column:
+    """The titles of the headings that are open at a row, outermost first.
+
+    For each level the last heading up to the row counts, unless a shallower one came after it:
+    running values only, whatever the number of headings.
+    """
+    found = []
+    for n in range(1, deepest + 1):
+        last = F.last(F.when(level == n, F.struct(pos.alias("pos"), title.alias("title"))), ignorenulls=True).over(window)
+        shut = F.max(F.when(level < n, pos)).over(window)
+        found.append(F.when(shut.isNull() | (last["pos"] > shut), last["title"]))
+    return F.filter(F.array(*found), lambda t: t.isNotNull())
+
+
+def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """blocks (doc_id, pos, level, title; level null for body) with ``heading_path``:
-    the headings that are open at each block, outermost first. An ordered fold
-    within a document."""
-    state = "array<struct<level:int,title:string>>"
-    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("b"))
-    start = F.struct(F.array().cast(state).alias("stack"), F.array().cast("array<struct<pos:int,path:array<string>>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cut = F.filter(s["stack"], lambda h: h["level"] < x["level"])
-        stack = F.when(x["level"].isNull(), s["stack"]).otherwise(F.concat(cut, F.array(F.struct(x["level"].cast("int").alias("level"), x["title"].alias("title")))))
-        path = F.transform(F.filter(stack, lambda h: h["level"] >= 1), lambda h: h["title"])
-        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(F.struct(x["pos"].cast("int").alias("pos"), path.alias("path")))).alias("out"))
-
-    folded = rows.select("doc_id", F.explode(F.aggregate("b", start, step, lambda s: s["out"])).alias("o"))
-    return blocks.join(folded.select("doc_id", F.col("o.pos").alias("pos"), F.col("o.path").alias("heading_path")), ["doc_id", "pos"])
+    the headings that are open at each block, outermost first. Running values within a
+    document; a level below 1 shuts all headings and is in no path."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    return blocks.withColumn("heading_path", open_headings(F.col("level"), F.col("title"), F.col("pos"), order, deepest))
 
 
 def admin_sections(items: DataFrame, heading: str, patterns: list[str], stops: list[str]) -> DataFrame:

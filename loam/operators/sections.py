@@ -32,27 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import integer_major, numeric_prefix, sop_heading, strip_ws
-from loam.operators.chunking import estimated_tokens
+from loam.operators.chunking import estimated_tokens, open_headings
 
-#: The deepest heading level that a path follows.
-DEEPEST = 9
 COLUMNS = {"section_heading": "string", "heading_text": "string", "heading_level": "int", "outline_level": "int", "block_type": "string", "figure_id": "string", "image_ref": "string"}
 
 
-def open_headings(level: Column, title: Column, pos: Column, window, deepest: int = DEEPEST) -> Column:
-    """The titles of the headings that are open at a row, outermost first.
-
-    For each level the last heading up to the row counts, unless a shallower one came after it:
-    running values only, whatever the number of headings.
-    """
-    found = []
-    for n in range(1, deepest + 1):
-        last = F.last(F.when(level == n, F.struct(pos.alias("pos"), title.alias("title"))), ignorenulls=True).over(window)
-        shut = F.max(F.when(level < n, pos)).over(window)
-        found.append(F.when(last["pos"] > F.coalesce(shut, F.lit(-1)), last["title"]))
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
-
-
 def _first_line(c: Column) -> Column:
     return strip_ws(F.split(F.coalesce(c, F.lit("")), r"\r\n?|\n", 2)[0])
 

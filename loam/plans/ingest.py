@@ -12,14 +12,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, text
 from loam.operators import chunking, dedup, sections, structured
 from loam.plans import models
 from loam.sources import tables
-from loam.sources.manifest import content_bucket, split_valid
+from loam.sources.manifest import content_bucket, item_error, split_valid
 
 Embedder = Callable[[list[str]], list[list[float] | None]]
 
@@ -130,6 +131,51 @@ def ingest(items: DataFrame, profile: Profile = Profile(), embedder: Embedder |
     return embed(fresh, embedder or hashing_embedder(), profile.batch, max_tokens=profile.max_tokens).where("embedding is not null")
 
 
+def _kinds() -> dict:
+    """Chunks of each kind of file, as expressions that a write can carry."""
+    kind = F.coalesce(content_bucket(F.col("content_type")), F.lit("other"))
+    return {k: F.count_if(kind == k).alias(k) for k in ("pdf", "pptx", "xlsx", "html", "docx", "txt", "other")}
+
+
+def _metrics(observed: Observation) -> dict:
+    """What was observed; of a table that is known to be empty nothing was."""
+    try:
+        return observed.get
+    except Py4JJavaError:
+        return {}
+
+
+@dataclass(frozen=True)
+class Job:
+    """What a run of the ingest job left: the table of vector rows, and one row of counters."""
+
+    rows: DataFrame
+    counters: DataFrame
+
+
+def run_job(items: DataFrame, profile: Profile = Profile(), embedder: Embedder | None = None) -> Job:
+    """The ingest job, each step evaluated once: items are counted as they are read, chunks as
+    they are written, vector rows as they are written. The counters ride on the writes.
+
+    counters: items, errors, documents (that have a chunk), chunks, their numbers by kind of
+    file, inserted, skipped (chunks of a hash that occurred before, and those without a vector).
+    """
+    read, cut, kept = Observation("items"), Observation("chunks"), Observation("vectors")
+    seen = items.observe(read, F.count(F.lit(1)).alias("items"), F.count(item_error(items.columns)).alias("errors"))
+    named = chunk_items(seen, profile)
+    counted = named.observe(cut, F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("chunk_seq") == 1).alias("documents"), *_kinds().values())
+    chunks = tables.written(counted, "ingest-chunks")
+    fresh = dedup.first_of_each(chunks, "hash_norm", ["doc_id", "chunk_seq"])
+    vectors = embed(fresh, embedder or hashing_embedder(), profile.batch, max_tokens=profile.max_tokens).where("embedding is not null")
+    rows = tables.written(vectors.observe(kept, F.count(F.lit(1)).alias("inserted")), "ingest-vectors")
+    tables.dropped(chunks)
+    found = {k: int(v) for o in (read, cut, kept) for k, v in _metrics(o).items()}
+    found = {k: found.get(k, 0) for k in ("items", "errors", "documents", "chunks", *_kinds(), "inserted")}
+    found["skipped"] = found["chunks"] - found["inserted"]
+    order = ["items", "errors", "documents", "chunks", *_kinds(), "inserted", "skipped"]
+    return Job(rows, items.sparkSession.createDataFrame([tuple(found[k] for k in order)], ", ".join(f"{k} long" for k in order)))
+
+
 def summary(items: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
     """docs, errors, chunks, inserted, skipped."""
     _, errors = split_valid(items)

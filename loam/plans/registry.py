@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.functions import sanitize, text
+from loam.functions import sanitize, table_functions, text
 from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured, vector_index
 from loam.operators.retrieval import RetrievalConfig
 from loam.plans import ingest, models
-from loam.sources import loaders, manifest, sinks
+from loam.sources import loaders, manifest, sinks, tables
 
 CFG = RetrievalConfig()
 QUERIES: dict = {}
@@ -276,6 +276,27 @@ def chunk_char(spark, sf_dir):
     return rows.select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.sha2("text", 256).alias("chunk_hash"))
 
 
+@query(ORACLE_SQL["chunk_char"])
+def chunk_char_sql(spark, sf_dir):
+    """The same chunks, asked for in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, CAST(c.chunk_seq AS BIGINT) AS chunk_seq, sha2(c.text, 256) AS chunk_hash FROM {docs} d, LATERAL chunk_text(d.text, 2000, 100) c", docs=read(spark, sf_dir, "documents"))
+
+
+@query(
+    """WITH d AS (SELECT source AS doc_id, doc_id AS item_idx, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, item_idx, i, regexp_replace(substring(text, 1 + i * 3900, 4000), '^\\s+|\\s+$', '', 'g') AS chunk
+          FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((n - 4000) / 3900.0)) AS BIGINT))) AS i))
+    SELECT doc_id, item_idx, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx, i) AS chunk_seq, sha256(chunk) AS chunk_hash FROM w WHERE chunk <> ''""".replace("\\\\", "\\")
+)
+def chunk_sources_sql(spark, sf_dir):
+    """Documents as items of their sources, numbered through in SQL."""
+    table_functions.register(spark)
+    items = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("item_idx"), "text")
+    found = spark.sql("SELECT * FROM chunk_documents(TABLE({items}) PARTITION BY doc_id ORDER BY (item_idx), 4000, 100)", items=items)
+    return found.select("doc_id", "item_idx", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.sha2("text", 256).alias("chunk_hash"))
+
+
 @query(
     r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, i, list_slice(w, i * 90 + 1, i * 90 + 100) AS p FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - 100) / 90.0)) AS BIGINT))) AS i))
@@ -576,10 +597,15 @@ def ingest_vectors(spark, sf_dir):
     return ingest.ingest(_items(spark, sf_dir))
 
 
+@query()
+def ingest_job(spark, sf_dir):
+    return ingest.run_job(_mixed_items(spark, sf_dir), ROUTED).counters
+
+
 @query()
 def ingest_summary(spark, sf_dir):
     items = _items(spark, sf_dir)
-    chunks = ingest.chunk_items(items)
+    chunks = tables.written(ingest.chunk_items(items), "ingest-chunks")
     return ingest.summary(items, chunks, dedup.first_of_each(chunks, "hash_norm", ["doc_id", "chunk_seq"]))
 
 

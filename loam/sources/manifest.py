@@ -129,13 +129,18 @@ def loader_of(path: Column) -> Column:
 REQUIRED = {"pdf": ["page"], "pptx": ["slide_number"], "xlsx": ["sheet_name", "n_rows", "n_cols"], "html": ["section_path"]}
 
 
-def split_valid(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with a source and the fields of their kind, and the others with ``error``."""
+def item_error(columns: list[str]) -> Column:
+    """What is wrong with an item, or null."""
     bucket = content_bucket(F.col("content_type"))
     error = F.when(F.coalesce("source", F.lit("")) == "", "missing source").when(bucket.isNull(), "unknown content type")
     for kind, fields in REQUIRED.items():
         for f in fields:
-            if f in items.columns:
+            if f in columns:
                 error = error.when((bucket == kind) & F.col(f).isNull(), f"missing {f}")
-    marked = items.withColumn("error", error)
+    return error
+
+
+def split_valid(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with a source and the fields of their kind, and the others with ``error``."""
+    marked = items.withColumn("error", item_error(items.columns))
     return marked.where("error is null").drop("error"), marked.where("error is not null")

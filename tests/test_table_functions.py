@@ -1,0 +1,157 @@
+"""Chunkers in SQL, counters of jobs and streams, folds as running values."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loam.functions import table_functions
+from loam.functions.text import is_heading_line, is_toc_anchor, is_toc_like, strip_ws
+from loam.operators import blocks, chunking
+from loam.plans import ingest, registry
+from loam.streaming.counters import Counters
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_sql_chunkers_cut_as_the_expressions(spark):
+    r = random.Random(1)
+    texts = [None, "", "   ", " x　", "short"] + ["".join(r.choice("ab \n ") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table_functions.register(spark)
+    docs.createOrReplaceTempView("udtf_docs")
+    for size, overlap in ((10, 3), (7, 0), (5, 9), (200, 10)):
+        got = spark.sql(f"SELECT d.doc_id, c.chunk_seq, c.text FROM udtf_docs d, LATERAL chunk_text(d.text, {size}, {overlap}) c")
+        want = chunking.chunk_rows(docs, chunking.chunk_chars(F.col("text"), size, overlap)).select("doc_id", "chunk_seq", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for size, overlap in ((3, 0.5), (4, 0.0), (2, 0.9)):
+        got = spark.sql(f"SELECT d.doc_id, c.chunk_seq, c.text FROM udtf_docs d, LATERAL chunk_tokens(d.text, {size}, {overlap}D) c")
+        want = chunking.chunk_rows(docs, chunking.chunk_tokens(F.col("text"), size, overlap)).select("doc_id", "chunk_seq", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="positive"):
+        spark.sql("SELECT * FROM udtf_docs d, LATERAL chunk_text(d.text, 0, 0) c").collect()
+
+
+def test_documents_are_numbered_through_their_items(spark):
+    rows = [("a", k, "w" * (10 * (k % 4))) for k in range(50)] + [("b", 1, "xy"), ("b", 0, None), (None, 0, "zz")]
+    spark.createDataFrame(rows, "doc_id string, item_idx int, text string").repartition(4).createOrReplaceTempView("udtf_items")
+    table_functions.register(spark)
+    got = spark.sql("SELECT * FROM chunk_documents(TABLE(udtf_items) PARTITION BY doc_id ORDER BY (item_idx), 8, 0)").collect()
+    for doc in ("a", "b", None):
+        want = [(k, c) for d, k, t in sorted((r for r in rows if r[0] == doc), key=lambda r: r[1]) for c in table_functions.char_windows(t, 8, 0)]
+        assert [(r.item_idx, r.text) for r in sorted((r for r in got if r.doc_id == doc), key=lambda r: r.chunk_seq)] == want
+        assert sorted(r.chunk_seq for r in got if r.doc_id == doc) == list(range(1, len(want) + 1))
+    with pytest.raises(Exception, match="needs doc_id"):
+        spark.sql("SELECT * FROM chunk_documents(TABLE(SELECT 1 AS doc_id), 8, 0)").collect()
+
+
+def test_counters_ride_on_the_writes(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embedder(texts, folder=str(calls)):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return [[float(len(t))] if "skip" not in t else None for t in texts]
+
+    rows = [("a", 0, "one text of the first file", "text/plain", "s"), ("a", 1, "one text of the first file", "text/html", "s"), ("b", 0, "please skip this one here", "text/plain", "s"), ("c", 0, "no source here at all", "text/plain", None), ("d", 0, "", "text/plain", "s")]
+    items = spark.createDataFrame(rows, "doc_id string, item_idx int, text string, content_type string, source string")
+    job = ingest.run_job(items, ingest.Profile(), embedder)
+    got = job.counters.first().asDict()
+    assert got == {"items": 5, "errors": 1, "documents": 2, "chunks": 3, "pdf": 0, "pptx": 0, "xlsx": 0, "html": 1, "docx": 0, "txt": 2, "other": 0, "inserted": 1, "skipped": 2}
+    assert [r.doc_id for r in job.rows.collect()] == ["a"]
+    assert sum(int(p.read_text()) for p in calls.iterdir()) == 2  # each text was embedded once
+    empty = ingest.run_job(items.limit(0), ingest.Profile(), embedder).counters.first()
+    assert empty.chunks == 0 and empty.items == 0
+
+
+def test_job_over_tables(spark):
+    got = registry.QUERIES["ingest_job"](spark, SF).first()
+    kinds = {r.content_type: r.chunks for r in registry.QUERIES["chunks_by_type"](spark, SF).collect()}
+    assert (got.txt, got.html, got.docx) == (kinds["txt"], kinds["html"], kinds["docx"]) and got.chunks == sum(kinds.values())
+    assert got.inserted + got.skipped == got.chunks
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(3):
+        (src / f"{k}.json").write_text("\n".join('{"v": %d}' % v for v in range(k + 1)))
+    listener = Counters(["counted"])
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("v int").option("maxFilesPerTrigger", 1).json(str(src)).observe("rows", F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+        q = stream.writeStream.queryName("counted").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        import time
+
+        until = time.monotonic() + 20
+        while len(listener.held) < 3 and time.monotonic() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = listener.batches(spark).orderBy("batch").collect()
+    assert [r.batch for r in rows] == [0, 1, 2] and sum(r.counters["rows.n"] for r in rows) == 6 and sum(r.counters["rows.total"] for r in rows) == 4
+
+
+def plain_toc(lines, heading, anchor, like):
+    """One walk over the lines: which are dropped."""
+    inside, out = False, []
+    for k in range(len(lines)):
+        if not inside:
+            inside = anchor[k]
+            out.append(anchor[k])
+        elif heading[k]:
+            inside = False
+            out.append(False)
+        else:
+            out.append(like[k])
+    return out
+
+
+def test_tables_of_contents_as_running_values(spark):
+    r = random.Random(3)
+    kinds = ["Contents", "Table of contents 1", "table of contents .... 9", "Intro .... 3", "A Heading", "body 12", "some text, with 9 signs: #1!", "", "2 Part two 7"]
+    docs = {d: [r.choice(kinds) for _ in range(r.randint(1, 40))] for d in range(25)}
+    rows = spark.createDataFrame([(d, k, x) for d, ls in docs.items() for k, x in enumerate(ls)], "doc_id int, pos int, line string")
+    c = F.col("line")
+    flagged = blocks.toc_flags(rows.repartition(3), ["doc_id"], ["pos"])
+    got = flagged.select("doc_id", "pos", "toc", is_heading_line(c).alias("h"), is_toc_anchor(c).alias("a"), (is_toc_like(c) | (strip_ws(c).rlike(r"\d{1,4}\s*\z") & ~is_heading_line(c))).alias("l")).orderBy("doc_id", "pos").collect()
+    for d, lines in docs.items():
+        own = [x for x in got if x.doc_id == d]
+        assert [x.toc for x in own] == plain_toc(lines, [x.h for x in own], [x.a for x in own], [x.l for x in own])
+
+
+def test_numbers_and_paths_as_running_values(spark):
+    r = random.Random(4)
+    rows = [(d, k, r.choice("xy"), r.randint(0, 4)) for d in range(6) for k in range(60)]
+    got = {(x.doc_id, x.pos): x.prefix for x in blocks.numbered_levels(spark.createDataFrame(rows, "doc_id int, pos int, num_id string, level int").repartition(3)).collect()}
+    held = {}
+    for d, k, n, level in rows:
+        now = held.get((d, n), [])
+        now = (now + [0] * (level + 1 - len(now)))[: level + 1]
+        now[level] += 1
+        held[d, n] = now
+        assert got[d, k] == ".".join(map(str, now))
+    rows = [(d, k, r.choice([None, None, 0, 1, 2, 3, 6]), f"t{k}") for d in range(6) for k in range(60)]
+    got = {(x.doc_id, x.pos): x.heading_path for x in chunking.heading_paths(spark.createDataFrame(rows, "doc_id int, pos int, level int, title string").repartition(3)).collect()}
+    stack, at = [], None
+    for d, k, level, title in rows:
+        stack = stack if d == at else []
+        at = d
+        if level is not None:
+            stack = [s for s in stack if s[0] < level] + [(level, title)]
+        assert got[d, k] == [t for n, t in stack if n >= 1]
+
+
+def test_200_000_lines_of_one_document_in_linear_time(spark):
+    import time
+
+    lines = spark.range(200_000).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("pos"), F.lit(1).alias("page"), F.lit("paragraph").alias("block_type"), F.concat(F.lit("line of words number "), "id").alias("text"))
+    began = time.perf_counter()
+    assert blocks.clean_blocks(lines, "docx").count() == 200_000
+    levels = lines.select("doc_id", "pos", F.lit("n").alias("num_id"), (F.col("pos") % 4).alias("level"))
+    assert blocks.numbered_levels(levels).where("pos = 199999").first().prefix == "50000.1.1.1"
+    assert time.perf_counter() - began < 90
