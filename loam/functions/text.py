@@ -167,6 +167,32 @@ def is_toc_like(c: Column) -> Column:
     return out
 
 
+# fixed values: lines of tables of contents, and entries within a line
+TOC_LEADER, TOC_TAB, TOC_NUMBERED = r"\.{3,}\s*\d+$", r"\t+\s*\d+$", r"^\s*\d+(\.\d+)*\s+.+\s+\d{1,4}$"
+TOC_ENTRY = r"\b\d+(?:\.\d+)*\s*[A-Za-z][^0-9]{0,80}?\s*\d{1,4}\b"
+TOC_SHORTEST, TOC_LONGEST = 4, 160
+
+
+def is_toc_line(c: Column) -> Column:
+    """Dotted leaders and a page number at the end."""
+    return c.rlike(TOC_LEADER)
+
+
+def is_toc_strict(c: Column) -> Column:
+    """Leaders, a tab, or a numbered heading, before a page number at the end."""
+    return (F.char_length(c) >= TOC_SHORTEST) & (c.rlike(TOC_LEADER) | c.rlike(TOC_TAB) | c.rlike(TOC_NUMBERED))
+
+
+def is_toc_candidate(c: Column) -> Column:
+    """A line of some length that looks like one of a table of contents."""
+    return (F.char_length(c) <= TOC_LONGEST) & is_toc_like(c)
+
+
+def toc_entries(c: Column) -> Column:
+    """How many entries a line holds, where several were run together."""
+    return F.size(F.regexp_extract_all(c, F.lit(TOC_ENTRY), F.lit(0)))
+
+
 def is_heading_line(c: Column) -> Column:
     """Up to 80 characters, no digit last, 70 % letters and space."""
     # fixed values: the length, and the share

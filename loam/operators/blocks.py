@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import is_heading_line, is_toc_anchor, is_toc_like, strip_ws
+from loam.functions.text import is_heading_line, is_toc_anchor, is_toc_candidate, is_toc_like, is_toc_line, is_toc_strict, strip_ws, toc_entries
 from loam.operators.chunking import repeated_page_lines
 
 
@@ -32,6 +32,24 @@ def toc_flags(lines: DataFrame, by: list[str], order: list[str], line: str = "li
     return rows.withColumn("toc", F.when(before, ~F.col("_h") & toc).otherwise(F.col("_a"))).drop("_a", "_h", "_turns", "_state")
 
 
+def without_toc(lines: DataFrame, by: list[str], order: list[str], mode: str = "auto", entries: int = 3, line: str = "line") -> DataFrame:
+    """Lines without those of tables of contents.
+
+    ``auto``: the region that an anchor opens goes, and lines that look like an entry anywhere,
+    also those in which ``entries`` or more were run together; ``strict``: lines with leaders, a
+    tab or a number before a page number; ``off``: none goes.
+    """
+    c = F.col(line)
+    if mode == "off":
+        return lines
+    if mode == "strict":
+        return lines.where(~F.coalesce(is_toc_strict(c), F.lit(False)))
+    if mode != "auto":
+        raise ValueError(f"unknown mode {mode}")
+    alone = is_toc_line(c) | is_toc_candidate(c) | (toc_entries(c) >= entries)
+    return toc_flags(lines, by, order, line).where(~F.col("toc") & ~F.coalesce(alone, F.lit(False))).drop("toc")
+
+
 def clean_blocks(blocks: DataFrame, mode: str, compat: bool = False) -> DataFrame:
     """Blocks without lines of tables of contents, without blank lines and, for
     ``mode`` pdf, without lines that repeat over pages (documents of one page keep

@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import current_heading, is_toc_like, strip_ws
+from loam.functions.text import TOC_LEADER, TOC_TAB, current_heading, is_toc_like, strip_ws
 from loam.operators import packing
+from loam.operators.blocks import without_toc
 
 CHUNK = "doc_id {id}, chunk_seq int, text string, section string, section_range string, title_first string, title_last string, page_start int, page_end int, is_split boolean, split_part int, split_reason string, unit_type string"
 FIELDS = [x.split(" ")[0] for x in CHUNK.split(", ")]
@@ -200,9 +201,12 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
 # the chunkers
 
 
-def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc: bool = True) -> DataFrame:
+def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc: bool = True, toc_mode: str | None = None) -> DataFrame:
     """Chunks by major section (the first heading of the path, or a line that looks
-    like one where no item of the document has a path), procedures within."""
+    like one where no item of the document has a path), procedures within.
+
+    ``drop_toc``: lines that end in leaders or tabs and a page number go; ``toc_mode`` is
+    ``blocks.without_toc``'s, in its place."""
     lines = lines_of(items)
     doc = Window.partitionBy("doc_id")
     order = doc.orderBy("pos")
@@ -211,8 +215,10 @@ def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc:
     lines = lines.withColumn("section", F.when(pathless, inferred).otherwise(F.try_element_at("heading_path", F.lit(1))))
     repeats = F.count("*").over(Window.partitionBy("doc_id", F.rtrim("line")))
     lines = lines.withColumn("_n", repeats).where(~((F.col("_n") > 1) & is_boilerplate(F.col("line"))))
-    if drop_toc:
-        lines = lines.where(~F.col("line").rlike(r"\.{3,}\s*\d+$|\t+\s*\d+$"))
+    if toc_mode is not None:
+        lines = without_toc(lines, ["doc_id"], ["pos"], toc_mode)
+    elif drop_toc:
+        lines = lines.where(~F.col("line").rlike(rf"{TOC_LEADER}|{TOC_TAB}"))
     title = is_procedure_title(F.col("line"))
     changed = ~F.col("section").eqNullSafe(F.lag("section").over(order))
     titled = F.bool_or(title).over(Window.partitionBy("doc_id", "section"))

@@ -284,16 +284,17 @@ def chunk_char_sql(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT source AS doc_id, doc_id AS item_idx, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
-    w AS (SELECT doc_id, item_idx, i, regexp_replace(substring(text, 1 + i * 3900, 4000), '^\\s+|\\s+$', '', 'g') AS chunk
-          FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((n - 4000) / 3900.0)) AS BIGINT))) AS i))
-    SELECT doc_id, item_idx, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx, i) AS chunk_seq, sha256(chunk) AS chunk_hash FROM w WHERE chunk <> ''""".replace("\\\\", "\\")
-)
-def chunk_sources_sql(spark, sf_dir):
-    """Documents as items of their sources, numbered through in SQL."""
+    """WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS item_idx, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+    d AS (SELECT *, length(text) AS n FROM l),
+    w AS (SELECT doc_id, item_idx, i, regexp_replace(substring(text, 1 + i * 180, 200), '^\\s+|\\s+$', '', 'g') AS chunk
+          FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((n - 200) / 180.0)) AS BIGINT))) AS i))
+    SELECT doc_id, CAST(item_idx AS INTEGER) AS item_idx, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx, i) AS chunk_seq, sha256(chunk) AS chunk_hash FROM w WHERE chunk <> ''""".replace("\\\\", "\\")
+)
+def chunk_lines_sql(spark, sf_dir):
+    """Lines as items of their documents, numbered through in SQL."""
     table_functions.register(spark)
-    items = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("item_idx"), "text")
-    found = spark.sql("SELECT * FROM chunk_documents(TABLE({items}) PARTITION BY doc_id ORDER BY (item_idx), 4000, 100)", items=items)
+    items = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item_idx", "text"))
+    found = spark.sql("SELECT * FROM chunk_documents(TABLE({items}) PARTITION BY doc_id ORDER BY (item_idx), 200, 20)", items=items)
     return found.select("doc_id", "item_idx", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.sha2("text", 256).alias("chunk_hash"))
 
 
@@ -556,6 +557,40 @@ def parsed_tags(spark, sf_dir):
     return e.select("event_type", F.array_sort("tags").alias("tags"))
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT doc_id, line || CASE WHEN length(line) % 7 = 0 THEN ' ..... ' || length(line) WHEN length(line) % 7 = 1 THEN chr(9) || (length(line) % 100) ELSE '' END AS line FROM l),
+    f AS (SELECT doc_id, regexp_matches(line, '\.{3,}\s*\d+$') AS leader, regexp_matches(line, '\t+\s*\d+$') AS tab, regexp_matches(line, '^\s*\d+(\.\d+)*\s+.+\s+\d{1,4}$') AS numbered, length(line) AS n,
+                 len(regexp_extract_all(line, '\b\d+(?:\.\d+)*\s*[A-Za-z][^0-9]{0,80}?\s*\d{1,4}\b')) AS entries FROM n)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (leader) AS loose, count(*) FILTER (n >= 4 AND (leader OR tab OR numbered)) AS strict, CAST(sum(entries) AS BIGINT) AS entries FROM f GROUP BY doc_id""".replace("\\\\", "\\")
+)
+def toc_line_kinds(spark, sf_dir):
+    """Lines of documents, some with a page number set after them as in a table of contents."""
+    lines = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    n = F.char_length("line")
+    marked = lines.withColumn("line", F.concat("line", F.when(n % 7 == 0, F.concat(F.lit(" ..... "), n)).when(n % 7 == 1, F.concat(F.lit("\t"), n % 100)).otherwise("")))
+    c = F.col("line")
+    return marked.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(text.is_toc_line(c)).alias("loose"), F.count_if(text.is_toc_strict(c)).alias("strict"), F.sum(text.toc_entries(c)).cast("long").alias("entries"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS id, source AS path, CASE doc_id % 4 WHEN 0 THEN 'TEXT/Markdown' WHEN 1 THEN 'Html' WHEN 2 THEN 'other' END AS kind, lang FROM documents
+        UNION ALL SELECT page_id, url || '/x.PDF', NULL, '' FROM pages),
+    t AS (SELECT *, CASE kind WHEN 'TEXT/Markdown' THEN 'txt' WHEN 'Html' THEN 'html' ELSE CASE WHEN lower(path) LIKE '%.pdf' THEN 'pdf' WHEN lower(path) LIKE '%.html' OR lower(path) LIKE '%.htm' THEN 'html' ELSE 'txt' END END AS content_type FROM s)
+    SELECT id, CASE WHEN path IS NULL OR content_type IN ('pdf', 'html') THEN NULL WHEN path LIKE '%://%' THEN path ELSE '/files/' || path END AS source, content_type, nullif(lang, '') AS lang,
+           CASE WHEN path IS NULL THEN 'source is required' WHEN content_type = 'pdf' THEN 'page is required' WHEN content_type = 'html' THEN 'section_path is required' END AS error FROM t"""
+)
+def normalized_items(spark, sf_dir):
+    """Documents and pages under odd content types; those whose type needs a field that they lack
+    are errors."""
+    k = F.col("doc_id") % 4
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.when(k == 0, "TEXT/Markdown").when(k == 1, "Html").when(k == 2, "other").alias("content_type"), "lang")
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat("url", F.lit("/x.PDF")).alias("source"), F.lit(None).cast("string").alias("content_type"), F.lit("").alias("lang"))
+    good, bad = manifest.normalized(d.unionByName(p), "/files")
+    fields = ["id", "source", "content_type", "lang"]
+    return good.select(*fields, F.lit(None).cast("string").alias("error")).unionByName(bad.withColumn("source", F.lit(None).cast("string")).select(*fields, "error"))
+
+
 # the index of vectors, beside the exact search
 
 

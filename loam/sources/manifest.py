@@ -144,3 +144,58 @@ def split_valid(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items with a source and the fields of their kind, and the others with ``error``."""
     marked = items.withColumn("error", item_error(items.columns))
     return marked.where("error is null").drop("error"), marked.where("error is not null")
+
+
+# Media types and their short names.
+TYPES = {"pdf", "docx", "pptx", "xlsx", "html", "txt"}
+SHORT = {
+    "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "text/html": "html",
+    "text/plain": "txt",
+    "text/markdown": "txt",
+}
+
+
+def type_token(content_type: Column, source: Column) -> Column:
+    """The short name of a media type or short name, else that of the source's extension."""
+    low = F.lower(content_type)
+    names = F.create_map(*(F.lit(x) for pair in SHORT.items() for x in pair))
+    named = F.coalesce(F.try_element_at(names, low), F.when(low.isin(*sorted(TYPES)), low))
+    return F.coalesce(named, loader_of(source))
+
+
+def absolute(source: Column, root: str) -> Column:
+    """A path or address as it stands if it is absolute, else below ``root``; without the steps
+    ``.`` and ``..``."""
+    whole = F.when(source.startswith("/"), source).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), source))
+    steps = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda held, x: F.when(x != "..", F.concat(held, F.array(x))).otherwise(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))))
+    return F.when(source.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), source).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def normalized(items: DataFrame, root: str = "/") -> tuple[DataFrame, DataFrame]:
+    """Items with an absolute source, the short name of their type, and defaults (``chunk_id`` and
+    ``lang`` null, ``has_ocr`` and ``has_notes`` false); and those with ``error`` that lack a
+    source or a field that their type needs."""
+    rows = items
+    for name, kind in {"source": "string", "content_type": "string", "lang": "string", "chunk_id": "string", "has_ocr": "boolean", "has_notes": "boolean", "page": "int", "slide_number": "int", "sheet_name": "string", "n_rows": "int", "n_cols": "int", "section_path": "string"}.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    token = type_token(F.col("content_type"), F.coalesce("source", F.lit("")))
+    error = F.when(F.col("source").isNull(), "source is required")
+    for kind, fields in REQUIRED.items():
+        for f in fields:
+            error = error.when((token == kind) & F.col(f).isNull(), f"{f} is required")
+    marked = rows.withColumns(
+        {
+            "error": error,
+            "content_type": token,
+            "lang": F.nullif("lang", F.lit("")),
+            "has_ocr": F.when(token == "pdf", F.coalesce("has_ocr", F.lit(False))).otherwise(F.col("has_ocr")),
+            "has_notes": F.when(token == "pptx", F.coalesce("has_notes", F.lit(False))).otherwise(F.col("has_notes")),
+        }
+    )
+    return marked.where("error is null").drop("error").withColumn("source", absolute(F.col("source"), root)), marked.where("error is not null")
