@@ -105,7 +105,9 @@ def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "text", max_tok
     Texts over the limit are embedded in parts whose vectors are averaged; empty texts
     are not sent. ``per_minute``: calls that all tasks together may make.
     """
-    share = per_minute / max(1, rows.rdd.getNumPartitions()) if per_minute else 0
+    # as many tasks call at once as there are cores, or partitions where those are fewer
+    at_once = min(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()) if per_minute else 1
+    share = per_minute / max(1, at_once)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", embedding array<double>, n_parts int, failed_batches int"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

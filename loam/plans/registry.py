@@ -322,12 +322,28 @@ def token_policy_counts(spark, sf_dir):
     return chunking.limit_counts(read(spark, sf_dir, "documents"), "text", 256)
 
 
-@query()
+@query(
+    rf"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, list_filter(flatten(list_transform(string_split(regexp_replace({_stripped("text")}, '([.!?])(?:{_WS}|\n)+', '\1' || chr(1), 'g'), chr(1)),
+          lambda x: CASE WHEN length(x) <= 1024 THEN [x] ELSE regexp_split_to_array(x, '(?:{_WS}|\n)+') END)), lambda x: x <> '') AS p FROM d WHERE n > 1024),
+    f AS (SELECT doc_id, p, list_reduce(list_transform(p, lambda x: {{'h': length(x), 'c': [1]}}), lambda a, x: CASE WHEN a.h + 1 + x.h <= 1024
+          THEN {{'h': a.h + 1 + x.h, 'c': list_append(a.c, a.c[-1])}} ELSE {{'h': x.h, 'c': list_append(a.c, a.c[-1] + 1)}} END) AS a FROM s WHERE len(p) > 0),
+    u AS (SELECT doc_id, unnest(p) AS piece, unnest(a.c) AS chunk_seq, generate_subscripts(p, 1) AS k FROM f),
+    g AS (SELECT doc_id, 1 AS chunk_seq, text FROM d WHERE n <= 1024 UNION ALL SELECT doc_id, chunk_seq, string_agg(piece, ' ' ORDER BY k) FROM u GROUP BY 1, 2)
+    SELECT doc_id, chunk_seq, text, doc_id || '_chunk_' || chunk_seq AS chunk_id FROM g"""
+)
 def split_to_limit(spark, sf_dir):
     return chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.apply_limit(F.col("text"), 256, "split"))
 
 
-@query()
+@query(
+    rf"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, i, {_stripped("substring(text, 1 + i * 1900, 2000)")} AS text FROM d, LATERAL (SELECT unnest(range(0, 1 + CAST(greatest(0, ceil((n - 2000) / 1900.0)) AS BIGINT))) AS i)),
+    c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_seq, text, string_split(text, chr(10))[1] AS first FROM w WHERE text <> ''),
+    t AS (SELECT *, count(*) OVER p >= 2 AND min(first) OVER p = max(first) OVER p AS same FROM c WINDOW p AS (PARTITION BY doc_id))
+    SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, CASE WHEN same AND chunk_seq > 1 THEN {_stripped("substring(text, length(first) + 2)")} ELSE text END AS text,
+           doc_id || '_chunk_' || chunk_seq AS chunk_id, CASE WHEN same THEN first END AS doc_title FROM t"""
+)
 def title_stripped_chunks(spark, sf_dir):
     return chunking.strip_title(chunking.chunk_rows(read(spark, sf_dir, "documents"), chunking.chunk_chars(F.col("text"), 2000, 100)))
 

@@ -43,6 +43,20 @@ def expand(entries: list[dict], base: str) -> list[dict]:
     return out
 
 
+def expand_in_store(spark: SparkSession, entries: list[dict], base: str) -> list[dict]:
+    """As ``expand``, in whatever store the paths name: wild cards are the store's own, which do
+    not reach into deeper folders."""
+    sc, out = spark.sparkContext, []
+    for e in entries:
+        if not isinstance(e, dict) or not e.get("path"):
+            raise ValueError("a manifest entry needs a path")
+        path = e["path"] if "://" in e["path"] or e["path"].startswith("/") else f"{base.rstrip('/')}/{e['path']}"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        found = target.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(target) or []
+        out += [e | {"path": p} for p in sorted({f.getPath().toString() for f in found if f.isFile()})]
+    return out
+
+
 def parse_manifest(text: str) -> list[dict]:
     out = []
     for n, line in enumerate(text.splitlines(), 1):
@@ -82,6 +96,10 @@ def read_json_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where(F.col(key).isNotNull())
 
 
+#: Bytes at the end of a zip file in which its directory is looked for.
+DIRECTORY = 1 << 16
+
+
 def sniffed_type(content: Column, path: Column) -> Column:
     """The media type by first bytes, then by extension. Zip files tell their kind by
     the member names in their directory."""
@@ -89,13 +107,14 @@ def sniffed_type(content: Column, path: Column) -> Column:
 
     head = F.substring(content, 1, 4096).cast("string")
     start = F.substring(content, 1, 4)
-    whole = F.decode(content, "ISO-8859-1")
+    # the directory stands at the end; one of more than this many bytes is told by extension
+    tail = F.decode(F.substring(content, -DIRECTORY, DIRECTORY), "ISO-8859-1")
     low = F.lower(head)
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     by_name = F.try_element_at(F.create_map(*(F.lit(x) for p in MEDIA_TYPES.items() for x in p)), extension)
     # an entry of the directory has its member's name 46 bytes after its mark
-    member = lambda folder: whole.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}/")
-    office = F.when(member("word"), MEDIA_TYPES["docx"]).when(member("ppt"), MEDIA_TYPES["pptx"]).when(member("xl"), MEDIA_TYPES["xlsx"]).otherwise("application/zip")
+    member = lambda folder: tail.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}/")
+    office = F.when(member("word"), MEDIA_TYPES["docx"]).when(member("ppt"), MEDIA_TYPES["pptx"]).when(member("xl"), MEDIA_TYPES["xlsx"]).when((F.length(content) > DIRECTORY) & by_name.isNotNull(), by_name).otherwise("application/zip")
     printable = F.substring(content, 1, 128).cast("string").rlike(r"\A[\t\n\r\x20-\x7E]+\z")
     return (
         F.when(start == F.lit(b"%PDF"), MEDIA_TYPES["pdf"])

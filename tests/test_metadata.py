@@ -76,3 +76,23 @@ def test_lines_without_tables_of_contents(spark):
     items = spark.createDataFrame([("d", 0, "\n".join(lines))], "doc_id string, item_idx int, text string")
     everything = "\n".join(r.text for r in structured.chunk_docx(items, 200, toc_mode="auto").collect())
     assert "Real Heading" in everything and "Late entry" not in everything and "Middle" not in everything
+
+
+def test_entries_of_a_store(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.md"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "sub").mkdir()
+    entries = [{"path": "*.txt", "lang": "en"}, {"path": "c.md"}, {"path": "gone.txt"}, {"path": "sub"}]
+    got = manifest.expand_in_store(spark, entries, f"file://{tmp_path}")
+    assert [(e["path"].rsplit("/", 1)[1], e.get("lang")) for e in got] == [("a.txt", "en"), ("b.txt", "en"), ("c.md", None)]
+    with pytest.raises(ValueError):
+        manifest.expand_in_store(spark, [{}], str(tmp_path))
+
+
+def test_type_of_a_zip_with_a_long_tail(spark):
+    entry = b"PK\x01\x02" + b"\x00" * 42 + b"word/document.xml"
+    head = b"PK\x03\x04" + b"\x00" * 100_000
+    rows = [("a.bin", bytearray(head + entry)), ("b.xlsx", bytearray(head + entry + b"\x00" * 70_000)), ("c.zip", bytearray(b"PK\x03\x04 short"))]
+    frame = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r.t for r in frame.select("path", manifest.sniffed_type(F.col("content"), F.col("path")).alias("t")).collect()}
+    assert got["a.bin"].endswith("wordprocessingml.document") and got["b.xlsx"].endswith("spreadsheetml.sheet") and got["c.zip"] == "application/zip"

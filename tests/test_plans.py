@@ -25,6 +25,31 @@ def test_no_cross_joins_and_pruned_scans(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in text
 
 
+def test_equal_texts_are_met_once_by_phrases(spark):
+    """Rows of joins grow with copies, not with their square."""
+    from loam.operators import evaluation
+
+    def joined(copies):
+        texts = spark.createDataFrame([("one two three four five six",)] * copies + [("other words",)], "text string")
+        phrases = spark.createDataFrame([(1, "two three four five six"), (2, "no such phrase in here at all")], "query_id int, phrase string")
+        assert {r.query_id: r.phrase_hit for r in evaluation.phrases_in(phrases, texts).collect()} == {1: True, 2: False}
+        t = texts.groupBy("text").count()
+        return t.count()
+
+    assert joined(50) == joined(200) == 2
+
+
+def test_ascii_texts_do_not_cross_to_python(spark):
+    from pyspark.sql import functions as F
+
+    from loam.functions import text
+
+    frame = spark.createDataFrame([(None,), ("plain",), ("e\u0301",)], "t string")
+    assert [r.t for r in frame.select(text.nfc(F.col("t")).alias("t")).collect()] == [None, "plain", "\u00e9"]
+    shown = plan(frame.select(text.nfc(F.col("t")).alias("t")))
+    assert "ArrowEvalPython" in shown and "CASE WHEN RLIKE" in shown.split("ArrowEvalPython")[-1]
+
+
 def test_expressions_stay_in_the_jvm(spark):
     for name in ("chunk_char", "chunk_tokens", "repeated_lines", "clean_lines", "feedback_derived", "retrieval_decision", "legacy_pack", "heading_path"):
         text = plan(registry.QUERIES[name](spark, SF))
