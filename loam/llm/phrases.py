@@ -31,7 +31,7 @@ from loam.llm.bpe import _arrow_schema
 from loam.llm.common import freed, materialize, release
 
 #: Bytes of a chunk; bits of the bitmap for each frequent phrase, and at most.
-CHUNK, BITS_EACH, MOST_BITS = 1 << 24, 16, 1 << 28
+CHUNK, BITS_EACH, MOST_BITS = 1 << 23, 16, 1 << 28
 #: What each byte becomes: A-Z lower case, marks between pieces a line end, tab a space.
 FOLD = bytes(x + 32 if 65 <= x < 91 else 10 if x in b".,;:!?\n\x0b\x0c\r" else 32 if x == 9 else x for x in range(256))
 NO_LANGUAGE = "und"
