@@ -3,8 +3,9 @@
 The words of a chunk of texts that were not met before are one flat array of symbols. A
 round finds the least rank of a pair in each word (a segmented minimum), merges all its
 leftmost pairs that do not overlap at once, and closes the gaps; words without a pair that
-merges leave. A word ends before a space and around a line end, which no piece of the model
-spans; a stretch also ends between two characters that no piece holds side by side.
+merges leave. A word ends before a space, around a line end and between a letter and most
+signs, which no piece of the model spans; a stretch also ends between any two characters that
+no piece holds side by side.
 
 Merging all pairs of one rank at once is what merging them from the left is, unless a merge
 makes a pair of a better rank. The pieces for which the vocabulary allows that are known
@@ -34,8 +35,8 @@ SPACE = "▁"
 #: Characters of texts encoded together; of a slice of a long text; of a word that is kept;
 #: of a word in which neighbours that no piece covers part a stretch in every round.
 CHUNK, SLICE, KEPT_LENGTH, LONG = 1 << 21, 1 << 20, 64, 64
-#: Words kept for each worker; beyond these the table starts anew.
-KEPT_WORDS = 400_000
+#: Words of a table; beyond these a new one begins, and the last one is asked first.
+KEPT_WORDS = 200_000
 NEVER = np.int32(2**31 - 1)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -86,7 +87,12 @@ class PieceCoder:
         self._covered: np.ndarray | None = None
         spaced = any(b == SPACE != a for t in self.texts for a, b in zip(t, t[1:]))
         lined = any("\n" in t and len(t) > 1 for t in self.texts)
-        self.words_of = (lambda t: [t] if t else []) if spaced or lined else re.compile("\n|▁+[^▁\n]*|[^▁\n]+").findall
+        # a run of letters also ends before an ASCII sign that no piece holds after a letter
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        after = {b for t in self.texts for a, b in zip(t, t[1:]) if letter(a)}
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+        word = f"▁*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        self.words_of = (lambda t: [t] if t else []) if spaced or lined else re.compile(f"\n|{word}▁+[^▁\n]*|[^▁\n]+").findall
         self.slice_end = None if spaced or lined else re.compile("(?<=[^▁\n])▁").search
         self.byte = np.zeros(256, np.int32)
         self.raw = [b""] * self.size
@@ -98,9 +104,11 @@ class PieceCoder:
                 self.raw[i] = t.replace(SPACE, " ").encode()
             elif kind[i] == _UNKNOWN:
                 self.raw[i] = model.trainer_spec.unk_surface.encode()
-        self.is_byte, self.is_control = (kind == _BYTE).tolist(), (kind == _CONTROL).tolist()
+        self.is_byte, self.control = (kind == _BYTE).tolist(), kind == _CONTROL
+        self.decimal = list(map(str, range(self.size)))
         self.opens = [kind[i] == _NORMAL and t.startswith(SPACE) for i, t in enumerate(text)]
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def _refuse_other_kinds(model) -> None:
@@ -206,7 +214,10 @@ class PieceCoder:
             new = np.cumsum(keep)[hit] - 1
             symbol, at, last, rank, to = (x[keep] for x in (symbol, at, last, rank, to))
             n = len(symbol)
-            touched = np.union1d(new, new[new > 0] - 1)
+            beside = np.zeros(n, bool)
+            beside[new] = True
+            beside[np.maximum(new, 1) - 1] = True
+            touched = np.flatnonzero(beside)
             inner = touched[~last[touched]]
             key = symbol[inner] * self.base + symbol[inner + 1]
             rank[touched] = NEVER
@@ -269,8 +280,11 @@ class PieceCoder:
         """Encodes the words that are not in the table; those too long to be kept are returned."""
         missing = [w for w in words if w not in self.words]
         if len(self.words) + len(missing) > self.kept:
-            self.words.clear()
+            self.before, self.words = self.words, {}
             missing = list(words)
+        if self.before:
+            self.words.update((w, self.before[w]) for w in missing if w in self.before)
+            missing = [w for w in missing if w not in self.words]
         ids, begins = self.encode_words(missing)
         raw = ids.tobytes()
         own = {}
@@ -310,11 +324,14 @@ class PieceCoder:
         """As the library: pieces with spaces for U+2581, runs of byte ids as UTF-8 with
         U+FFFD for each byte that is none, control ids as nothing, and no first space of the
         first piece."""
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        first = next((i for i in ids if not self.is_control[i]), None)
+        held = np.asarray(ids, np.int64)
+        control = self.control[held]
+        apart = bool(control.any())  # those part runs of bytes
+        ids = held.tolist()
+        first = next((i for i in ids if not self.control[i]), None)
         skip = 1 if first is not None and self.opens[first] else 0
         raw = b"".join(map(self.raw.__getitem__, ids))
-        if first is None or not any(map(self.is_control.__getitem__, ids)):  # those part runs of bytes
+        if not apart:
             try:
                 return raw.decode()[skip:]
             except UnicodeDecodeError:

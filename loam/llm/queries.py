@@ -105,7 +105,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _piece_digests(c: pieces.PieceCoder, ids: np.ndarray) -> tuple:
-    decimal = ",".join(map(str, ids.tolist()))
+    decimal = ",".join(map(c.decimal.__getitem__, ids.tolist()))
     return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
 
