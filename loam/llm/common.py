@@ -39,15 +39,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder, in folders by the columns of
-    ``partition`` (the last ones), and read it back.
+    ``partition`` (the last ones), and read it back. ``compression``: the session's by default.
 
     This cuts the lineage at a table that outlives any executor. Whoever has written
     what follows from it may ``release`` it.
     """
     path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition).parquet(path)
+    df.write.partitionBy(*partition).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loam_path = path
     return out

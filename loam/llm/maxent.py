@@ -54,7 +54,7 @@ SHARDS, EPOCHS, RATE, FEATURES = 8, 1, 0.7, 4
 FLUSH, CHUNK, BLOCKS, BATCH = 500_000, 50_000, 8, 1024
 #: Bytes and texts (whose numbers take a byte) of a chunk; tokens of a bucket of trigrams,
 #: on average.
-CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 256, 1 << 20
+CHUNK_BYTES, CHUNK_TEXTS, BUCKET = 500_000, 256, 5 << 17
 #: Four weights of this size and a bias stay within what an exponent can take.
 LARGEST = 15.0
 #: Tables of tasks that are added at once.
@@ -507,7 +507,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     of_id = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     shard = F.when(F.col("held"), SHARDS).otherwise(of_id % (FOLDS * SHARDS) / FOLDS).cast("int")
     rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text_hash", "held", shard.alias("shard"), "text")
-    tokens = materialize(to_symbols(rows, head), "symbols", "shard")
+    tokens = materialize(to_symbols(rows, head), "symbols", "shard", compression="zstd")
     training = tokens.where(F.col("shard") < SHARDS)
 
     own = classes_of(neighbour_counts(training))
