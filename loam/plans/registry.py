@@ -374,6 +374,27 @@ def luhn_flags(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", sanitize.luhn_valid((100000 + F.col("c_custkey") * 7919).cast("string")).alias("valid"))
 
 
+@query(
+    r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{2,}')) AS s FROM documents),
+    v AS (SELECT doc_id, list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN (len(s) - i) % 2 = 0 THEN CAST(s[i] AS INT) ELSE CAST(s[i] AS INT) * 2 - 9 * (CAST(s[i] AS INT) > 4)::INT END)) % 10 = 0 AS valid FROM r)
+    SELECT doc_id, count(*) AS runs, count(*) FILTER (valid) AS valid FROM v GROUP BY doc_id"""
+)
+def luhn_runs(spark, sf_dir):
+    """Runs of digits in all texts, and how many have a valid check digit."""
+    runs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{2,}"), F.lit(0))).alias("s"))
+    return runs.groupBy("doc_id").agg(F.count("*").alias("runs"), F.count_if(sanitize.luhn_valid(F.col("s"))).alias("valid"))
+
+
+@query(
+    r"""SELECT doc_id, list_filter(list_transform(string_split(string_split(text, chr(10))[1], ','), lambda t: trim(t)), lambda t: t <> '') AS tags
+    FROM documents WHERE text IS NOT NULL AND NOT starts_with(trim(text), '[')"""
+)
+def first_line_tags(spark, sf_dir):
+    """The first line of each text, read as a list of tags."""
+    d = read(spark, sf_dir, "documents").where("text is not null and not startswith(trim(text), '[')")
+    return d.select("doc_id", sinks.parse_tags(F.split("text", "\n", 2)[0]).alias("tags"))
+
+
 # sources
 
 
