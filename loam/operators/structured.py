@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import TOC_LEADER, TOC_TAB, current_heading, is_toc_like, strip_ws
+from loam.functions.text import TOC_LEADER, TOC_TAB, current_heading, is_toc_line, strip_ws
 from loam.operators import packing
-from loam.operators.blocks import without_toc
+from loam.operators.blocks import toc_flags, without_toc
 
 CHUNK = "doc_id {id}, chunk_seq int, text string, section string, section_range string, title_first string, title_last string, page_start int, page_end int, is_split boolean, split_part int, split_reason string, unit_type string"
 FIELDS = [x.split(" ")[0] for x in CHUNK.split(", ")]
@@ -231,23 +231,29 @@ def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc:
     return fill(units, max_tokens, min_tokens)
 
 
+# Words of a heading, and the share of a page's lines beyond which headings are overused
+PDF_HEADING_WORDS, PDF_HEADING_SHARE = 12, 0.2
+
+
 def chunk_pdf(pages: DataFrame, max_tokens: int, min_tokens: int = 0, toc_pages: int = 5, overlap_words: int = 0, least_tail: int = 20) -> DataFrame:
     """Chunks of pages: lines that repeat over pages and tables of contents go, wrapped
-    lines join to paragraphs, headings part units unless a page has too many."""
-    lines = lines_of(pages).withColumn("line", strip_ws(F.col("line"))).where("line <> ''")
+    lines join to paragraphs, headings part units unless a page has too many.
+
+    A table of contents is the region that an anchor opens, on the first ``toc_pages`` pages, and
+    lines with leaders anywhere. Numbered lines are headings on any page."""
+    lines = toc_flags(lines_of(pages).withColumn("line", strip_ws(F.col("line"))).where("line <> ''"), ["doc_id", "item_idx"], ["line_no"])
     count = pages.groupBy("doc_id").agg(F.count("*").alias("_pages"))
     per = lines.where(F.char_length("line") <= 120).groupBy("doc_id", "line").agg(F.count("*").alias("_n"))
     repeated = per.join(count, "doc_id").where((F.col("_n") >= 2) & (F.col("_n") >= F.floor(F.col("_pages") * 0.6))).select("doc_id", "line")
     lines = lines.join(repeated, ["doc_id", "line"], "left_anti")
-    lines = lines.where(~F.col("line").rlike(r"\.{3,}\s*\d+$") & ~(is_toc_like(F.col("line")) & (F.coalesce("page", F.lit(0)) <= toc_pages)))
+    lines = lines.where(~is_toc_line(F.col("line")) & ~(F.col("toc") & (F.coalesce("page", F.lit(0)) <= toc_pages)))
     page = Window.partitionBy("doc_id", "item_idx")
-    headings = F.count_if(is_title_like(F.col("line"), 12)).over(page)
-    overused = (headings > 0) & (headings / F.count("*").over(page) > 0.25)
-    heading = is_numbered_heading(F.col("line")) | (is_title_like(F.col("line"), 12) & ~overused)
-    lines = lines.withColumn("heading", heading & ~is_list_item(F.col("line")))
+    titled = is_title_like(F.col("line"), PDF_HEADING_WORDS)
+    overused = F.count_if(titled).over(page) / F.count("*").over(page) > PDF_HEADING_SHARE
+    lines = lines.withColumn("heading", is_numbered_heading(F.col("line")) | (titled & ~overused & ~is_list_item(F.col("line"))))
     lines = lines.withColumn("section", F.coalesce(F.last(F.when(F.col("heading"), F.col("line")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos")), current_heading(F.col("section_heading"), F.col("heading_path"))))
     first = F.row_number().over(page.orderBy("pos")) == 1
-    lines = lines.withColumn("starts", F.col("heading") | first).withColumn("bullet", is_list_item(F.col("line")))
+    lines = lines.withColumn("starts", F.col("heading") | first).withColumn("bullet", is_list_item(F.col("line")) & ~F.col("heading"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     # a line that goes on from the one before is joined by a space, others by a line feed
     joined = F.when(F.col("starts") | F.col("bullet") | F.lag("heading").over(order) | F.lag("bullet").over(order), F.lit("\n")).otherwise(F.lit(" "))

@@ -104,3 +104,40 @@ def test_mixed_case_is_no_title(spark):
     rows = spark.createDataFrame([("McDonald ABc",), ("Two Words",), ("ALL CAPS 3",), ("O'Neil's Way",), ("O'Neil'S Way",), ("Über Öl",), ("漢字 Title",), ("lower Title",)], "t string")
     got = {r.t: r.y for r in rows.select("t", structured.is_title_like(F.col("t")).alias("y")).collect()}
     assert got == {t: bool(t.istitle() or t.isupper()) for t in got}
+
+
+def pdf(spark, pages, most, **more):
+    rows = [("d", k, t, k + 1, h) for k, (t, h) in enumerate(pages)]
+    items = spark.createDataFrame(rows, "doc_id string, item_idx int, text string, page int, section_heading string")
+    return sorted(structured.chunk_pdf(items, most, **more).collect(), key=lambda r: r.chunk_seq)
+
+
+def test_pdf_headers_go_and_wrapped_lines_join(spark):
+    pages = [("Internal - Acme Works\nPART ONE\nThis is a line\nthat goes on here\n- point a\nFoot 1", None), ("Internal - Acme Works\nPART TWO\nOn the second page\nit wraps around\nFoot 1", None)]
+    got = pdf(spark, pages, 64)
+    texts = "\n".join(r.text for r in got)
+    assert "Internal" not in texts and "Foot 1" not in texts
+    assert "This is a line that goes on here\n- point a" in texts and "On the second page it wraps around" in texts
+    assert min(r.page_start for r in got) == 1 and max(r.page_end for r in got) == 2
+
+
+def test_pdf_heading_leads_each_part(spark):
+    got = pdf(spark, [("TOP\nThe Working Steps\nThe first step is told here and it keeps on going.\nThe second step goes on with details for the test.", "The Working Steps")], 18)
+    assert len(got) > 1 and all(r.text.split("\n")[0] == "The Working Steps" and "\n" in r.text for r in got)
+
+
+def test_pdf_overused_headings_part_nothing(spark):
+    got = pdf(spark, [("Heading A\nline a1 goes\nHeading B\nline b1 goes\nHeading C\nline c1 goes", None)], 64)
+    assert len(got) <= 2 and all("Heading A" in r.text and "line a1" in r.text for r in got)
+
+
+def test_pdf_numbered_lines_begin_chunks(spark):
+    got = pdf(spark, [("7. OP2 - Start anew\nStep one for OP2\nStep two for OP2\n8. OP3 - Look over\nStep one for OP3\nStep two for OP3", None)], 24)
+    assert len(got) == 2 and [r.text.split("\n")[0][:2] for r in got] == ["7.", "8."]
+
+
+def test_pdf_tables_of_contents_go_on_the_first_pages_alone(spark):
+    toc = "Contents\nScope 4\nTerms 5\nA Real Heading\nbody words here, 1 of 2;"
+    got = pdf(spark, [(toc, None), ("Contents\nKept line 7\nmore of the body, and so on;", None)], 200, toc_pages=1)
+    texts = "\n".join(r.text for r in got)
+    assert "Scope 4" not in texts and "Terms 5" not in texts and "body words here" in texts and "Kept line 7" in texts
