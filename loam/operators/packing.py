@@ -69,16 +69,22 @@ def split_block(text: str, heading: bool, most: int, overlap: int = 0) -> list[s
 
 def filled(blocks: list[tuple[str, bool]], most: int, overlap: int = 0) -> list[dict]:
     """Blocks (text, whether it begins with a heading) in order, as many to a chunk as fit;
-    a block of the budget or more is split and stands alone."""
+    a block of the budget or more is split and stands alone, led in each part by the heading
+    right before it."""
     out: list[dict] = []
     held: list[str] = []
     size = 0
+    lead: str | None = None
 
     def emit(text: str, reason: str | None) -> None:
         out.append({"text": text, "is_split": bool(reason or out), "split_reason": reason or ("max_tokens" if out else None), "split_part": len(out) + 1})
 
     for text, heading in blocks:
         n = tokens(text)
+        if n >= most and lead is not None and "\n" not in lead:
+            held.pop()
+            text, heading = f"{lead}\n{text}", True
+        lead = text if heading and n < most else None
         if held and (n >= most or size + n > most):
             emit("\n".join(held), None)
             held, size = [], 0

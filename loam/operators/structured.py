@@ -227,6 +227,7 @@ def chunk_docx(items: DataFrame, max_tokens: int, min_tokens: int = 0, drop_toc:
     block = F.col("alone") | F.coalesce(F.lag(F.col("alone") | (strip_ws(F.col("line")) == "")).over(order), F.lit(False))
     lines = lines.withColumn("starts", F.when(F.col("titled"), title).otherwise(block) | changed)
     lines = lines.withColumn("title", F.when(title, strip_ws(F.col("line")))).withColumn("number", section_number(F.col("line"))).withColumn("unit_type", F.when(F.col("titled"), "procedure").otherwise("block"))
+    lines = lines.withColumn("alone", F.col("alone") & ~is_list_item(F.col("line")))
     units = joined_units(lines, F.col("starts"), ["section", "title", "number", "page", "unit_type", "alone"])
     return fill(units, max_tokens, min_tokens)
 

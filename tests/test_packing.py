@@ -141,3 +141,40 @@ def test_pdf_tables_of_contents_go_on_the_first_pages_alone(spark):
     got = pdf(spark, [(toc, None), ("Contents\nKept line 7\nmore of the body, and so on;", None)], 200, toc_pages=1)
     texts = "\n".join(r.text for r in got)
     assert "Scope 4" not in texts and "Terms 5" not in texts and "body words here" in texts and "Kept line 7" in texts
+
+
+def docx(spark, items, most, **more):
+    rows = [("d", k, t, p) for k, (t, p) in enumerate(items)]
+    frame = spark.createDataFrame(rows, "doc_id string, item_idx int, text string, heading_path array<string>")
+    return sorted(structured.chunk_docx(frame, most, **more).collect(), key=lambda r: r.chunk_seq)
+
+
+def test_docx_noise_goes_and_lists_stay_with_their_paragraph(spark):
+    one = "Confidential - Acme\nForeword\nThis is the first line.\nThis is the second line.\n- point one\n- point two\n\nTable of Contents\nPart A ..... 3"
+    got = docx(spark, [(one, ["Foreword"]), ("Confidential - Acme\nPart One\nWords of part one\nmore of its words\n- item a", ["Part One"])], 48)
+    texts = [r.text for r in got]
+    assert all("Confidential" not in t and "Part A" not in t for t in texts)
+    assert any("- point one" in t and "This is the second line." in t for t in texts)
+    assert got[0].section == "Foreword"
+
+
+def test_docx_heading_stays_with_its_body_and_leads_each_part(spark):
+    body = "Section Alpha\nThe first line of the body.\nThe second line goes on with it.\nA third line adds more so that it splits.\nThe fourth makes sure of that."
+    got = docx(spark, [(body, ["Section Alpha"])], 20)
+    assert len(got) > 1 and all(r.text.split("\n")[0] == "Section Alpha" and len(r.text.splitlines()) > 1 for r in got)
+    assert " ".join(x for r in got for x in r.text.splitlines()[1:]).split() == " ".join(body.splitlines()[1:]).split()
+
+
+def test_docx_many_headings_fill_one_chunk(spark):
+    got = docx(spark, [("Heading One\nfirst words here\nHeading Two\nsecond words here\nHeading Three\nthird words here", None)], 64)
+    assert len(got) == 1 and len(got[0].text.splitlines()) == 6
+
+
+def test_docx_numbered_lines_are_sections_that_lead_their_parts(spark):
+    got = docx(spark, [("7. OP2 - Start anew\nStep one for OP2\nStep two for OP2\n8. OP3 - Look over\nStep one for OP3\nStep two for OP3", None)], 24)
+    assert [r.text.split("\n")[0] for r in got] == ["7. OP2 - Start anew", "8. OP3 - Look over"]
+    text = "8. OP3 - New start of the pool keeper\n8.1 Overview\nThis part tells how it is done.\n8.2 Terms\nPK: the pool keeper itself.\n- Step one: read the logs.\n- Step two: start it anew.\n- Step three: see that it is well.\n9. OP4 - What follows\nWords that follow."
+    got = docx(spark, [(text, None)], 32)
+    eight = [r for r in got if r.text.startswith("8.")]
+    assert len(eight) > 1 and all(r.text.split("\n")[0].startswith("8. OP3") and len(r.text.splitlines()) > 1 for r in got if r in eight)
+    assert got[-1].text == "9. OP4 - What follows\nWords that follow."
