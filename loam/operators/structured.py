@@ -24,7 +24,7 @@ from loam.operators.blocks import toc_flags, without_toc
 CHUNK = "doc_id {id}, chunk_seq int, text string, section string, section_range string, title_first string, title_last string, page_start int, page_end int, is_split boolean, split_part int, split_reason string, unit_type string"
 FIELDS = [x.split(" ")[0] for x in CHUNK.split(", ")]
 
-# predicates over lines
+# predicates over lines; fixed values: their patterns and limits
 
 
 def is_list_item(c: Column) -> Column:
