@@ -83,7 +83,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, F.octet_length("text") + 8))
+    size = F.octet_length("text") + 8
+    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, size), size)
     held = sorted(r["range"] for r in src.select(range_of("doc_id", bounds).alias("range")).distinct().collect())
     ranged = src.withColumn("range", range_of("doc_id", bounds))
     # the rows of range r are followed by the first row of the next lower one

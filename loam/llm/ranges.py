@@ -13,10 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
-    """At most ``ranges - 1`` ascending bounds; the driver gets no more than these."""
+#: Cells of equal numbers of rows of which a range by bytes is made, on average.
+CELLS = 8
+
+
+def range_bounds(df: DataFrame, key: str, ranges: int, size: Column | None = None) -> list[int]:
+    """At most ``ranges - 1`` ascending bounds; the driver gets a few numbers for each.
+
+    Ranges have about as many rows; with ``size``, the bytes of a row, about as many bytes: the
+    bytes of cells of equal numbers of rows are summed, and cells are put together up to the mean.
+    So no range has more than the mean and one cell.
+    """
     if ranges < 2:
         return []
+    if size is not None:
+        cells = range_bounds(df, key, CELLS * ranges)
+        per = df.groupBy(range_of(key, cells).alias("cell")).agg(F.sum(size.cast("long")).alias("n")).collect()
+        held = {r["cell"]: r["n"] or 0 for r in per}
+        mean, now, bounds = sum(held.values()) / ranges, 0, []
+        for i, bound in enumerate(cells):
+            now += held.get(i, 0)
+            if now >= mean * (len(bounds) + 1) > 0 and len(bounds) < ranges - 1:
+                bounds.append(bound)
+        return bounds
     shares = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(key, shares, 10 * ranges).alias("b")).first()["b"]
     return sorted(set(found or []))

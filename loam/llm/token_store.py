@@ -107,7 +107,8 @@ class _Writer:
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, planes: str = "byte", ranges: int | None = None) -> None:
     """Encode every document and write the folder at ``path``."""
     src = ids_and_texts(docs)
-    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, F.coalesce(F.octet_length("text"), F.lit(0)) + 8))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    bounds = range_bounds(src, "doc_id", ranges or default_ranges(src, size), size)
     dealt = in_ranges(src, "doc_id", bounds).withColumnRenamed("range", "segment").drop("place").sortWithinPartitions("segment", "doc_id", "text")
     arrow = _arrow_schema(src, CHUNKS)
     close = array("I", [end_id]).tobytes()

@@ -19,6 +19,17 @@ def test_bounds(spark):
     assert ranges.range_bounds(spark.range(10).select(F.lit(7).alias("id")), "id", 4) == [7]
 
 
+def test_bounds_by_bytes(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") >= 900, 10_000).otherwise(1).alias("size"))
+    bounds = ranges.range_bounds(rows, "id", 8, F.col("size"))
+    per = [r.n for r in rows.groupBy(ranges.range_of("id", bounds).alias("r")).agg(F.sum("size").alias("n")).collect()]
+    assert len(bounds) <= 7 and max(per) <= 2 * 1_000_900 / 8
+    even = ranges.range_bounds(spark.range(1000), "id", 4, F.lit(5))
+    assert len(even) == 3 and all(abs(b - w) < 40 for b, w in zip(even, (250, 500, 750)))
+    assert ranges.range_bounds(spark.range(0), "id", 4, F.lit(1)) == []
+    assert ranges.range_bounds(spark.range(10).select(F.lit(7).alias("id")), "id", 4, F.lit(1)) == []
+
+
 def test_each_range_has_a_partition(spark):
     for n in (0, 1, 6, 40):
         bounds = [100 * k for k in range(1, n + 1)]
