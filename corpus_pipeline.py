@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import bpe, decontaminate, near_sets, ranker, substring
-from loam.llm.common import materialize, table
+from loam.llm.common import materialize, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return ranker.keep_good(docs, ranker.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id."""
+    small_batches(spark)
     return near_sets.one_of_each_group(docs, words=5, similarity=0.8)
 
 
@@ -31,6 +33,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id stay as they are.
     """
+    small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substring.remove_repeats(docs, window=50, keep=tuple(others))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
@@ -40,11 +43,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
+    small_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256; rows without an id too."""
+    small_batches(spark)
     return bpe.encode_with_digest(docs, public_tokenizers.path(TOKENIZER))
 
 

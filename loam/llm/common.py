@@ -83,6 +83,18 @@ def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return freeing
 
 
+#: Bytes of a batch that goes to a Python worker, and Spark's own bound.
+BATCH_BYTES, _SPARKS = 16 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what travels to Python workers at once, which executors hold outside their heap, for
+    the rest of the session; a bound that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, str(_SPARKS)).rstrip("b") in (str(_SPARKS), "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_hash(text: str = "text") -> Column:
     """With the id it tells rows apart; equal in all rows whose text is null."""
     return F.xxhash64(F.col(text).cast("string"))
