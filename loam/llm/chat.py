@@ -110,6 +110,10 @@ def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, assistant: np.nda
     return conv[first], np.bincount(part), formatted, loss
 
 
+#: Characters of a role and of a text by which turns of one number are ranged.
+BEGINNING = 32
+
+
 def format_conversations(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     """conv_id, part_task, part, n_turns, formatted, loss: the parts of every
     conversation; in order of part_task and part they are its formatted text.
@@ -131,7 +135,10 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, task, np.int32)), pa.array(np.arange(part, part + n, dtype=np.int32)), pa.array(turns, pa.int32()), formatted, loss.cast(arrow.field("loss").type)], schema=arrow)
                 part += n
 
-    return src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(freed(run), PARTS)
+    # the sampler of ranges sees ids and beginnings, no texts; what begins alike stays together
+    head = F.substring("role", 1, BEGINNING)
+    begins = F.when(F.char_length("role") <= BEGINNING, F.substring("text", 1, BEGINNING)).otherwise("")
+    return src.repartitionByRange("conv_id", "turn", head, begins).sortWithinPartitions(*order).mapInArrow(freed(run), PARTS)
 
 
 def turns_of(raw: bytes) -> Iterator[tuple[str, str]]:
