@@ -24,6 +24,12 @@ def json_map(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded half away from zero; what rounds to zero keeps its sign, as SQL's round of
+    doubles has it and Spark's, which goes through decimals, has not."""
+    return F.signum(c) * (F.round(F.abs(c) * 10.0**digits, 0) / 10.0**digits)
+
+
 def utc_seconds(at: Column) -> Column:
     """A time as ISO text in UTC, whole seconds."""
     return F.date_format(F.date_trunc("second", F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone())), "yyyy-MM-dd'T'HH:mm:ss'Z'")

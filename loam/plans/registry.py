@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, table_functions, text
+from loam.functions.scalars import rounded
 from loam.operators import analytics, chunking, dedup, display, evaluation, jobs, retrieval, sections, structured, vector_index
 from loam.operators.retrieval import RetrievalConfig
 from loam.plans import ingest, models
@@ -64,7 +65,7 @@ _TOPK = """
 @query(f"WITH {_TOPK} SELECT query_id, vec_id, round(raw_score, 6) AS raw_score, rank FROM t WHERE rank <= 25")
 def retrieval_topk(spark, sf_dir):
     found = retrieval.top_k(read(spark, sf_dir, "embeddings"), _questions(spark, sf_dir), CFG.top_k)
-    return found.select("query_id", "vec_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+    return found.select("query_id", "vec_id", rounded(F.col("raw_score"), 6).alias("raw_score"), "rank")
 
 
 @query(
@@ -500,7 +501,7 @@ def session_upsert(spark, sf_dir):
 )
 def latency_trend(spark, sf_dir):
     t = analytics.latency_trend(read(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id")
-    return t.select("event_id", F.round("change", 6).alias("change"), F.round("running_mean", 6).alias("running_mean"))
+    return t.select("event_id", *(rounded(F.col(c), 6).alias(c) for c in ("change", "running_mean")))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -585,7 +586,7 @@ def human_sizes(spark, sf_dir):
 @query("SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, round(avg(embedding[i]), 5) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1")
 def mean_pool(spark, sf_dir):
     e = dedup.mean_pool(read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding")), ["label"])
-    return e.select("label", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+    return e.select("label", F.transform("embedding", lambda x: rounded(x, 5)).alias("embedding"))
 
 
 @query("SELECT event_type, list_sort(list(DISTINCT trim(t))) AS tags FROM (SELECT event_type, unnest(string_split('b, a,' || event_type, ',')) AS t FROM events) GROUP BY 1")

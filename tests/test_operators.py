@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import config
 from loam.operators import analytics, dedup, display, jobs
-from loam.plans import ingest
+from loam.plans import ingest, registry
 from loam.sources import sinks
 
 
@@ -72,6 +72,17 @@ def test_dedup(spark):
     assert {r.k: r.embedding for r in dedup.mean_pool(v, ["k"]).collect()} == {1: [2.0, 3.0], 2: [5.0, 5.0]}
 
 
+def test_means_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, [-0.000004, 0.000004, 0.0, 0.000005, -0.25] + [1.5] * 59, 7), (2, [-0.000002, 0.000002, 0.0, 0.000005, -0.75] + [2.5] * 59, 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["mean_pool"](spark, str(tmp_path)).first().embedding
+    sql = registry.ORACLE_SQL["mean_pool"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = duckdb.connect().execute(sql).fetchone()[1]
+    assert repr(got) == repr(want) and repr(got[:3]) == "[-0.0, 0.0, 0.0]"
+
+
 def test_ingest(spark):
     items = spark.createDataFrame([("d1", 0, "Some text of enough letters. " * 200, "text/plain", "s"), ("d2", 0, "Some text of enough letters. " * 200, "text/plain", "s"), ("d3", 0, "x", "odd/kind", "s"), ("d4", 0, "A mail to a.b@ex.org goes here", "text/plain", "s")], "doc_id string, item_idx int, text string, content_type string, source string")
     chunks = ingest.chunk_items(items)
