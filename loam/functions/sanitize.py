@@ -17,10 +17,12 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.slices import column_of
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -131,12 +133,11 @@ def sanitize(df: DataFrame, text: str = "text", mode: str = "on", pack: Pack = P
     if mode == "off":
         return df.withColumn("sanitized", F.col(text)).withColumn("redactions", none)
 
-    @F.pandas_udf("struct<text:string,counts:map<string,int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [pack.apply(t) if t is not None else (None, {}) for t in texts]
-        return pd.DataFrame({"text": [d[0] for d in done], "counts": [d[1] for d in done]})
+    def applied(texts: list) -> list:
+        return [{"text": t, "counts": list(counts.items())} for t, counts in (pack.apply(t) if t is not None else (None, {}) for t in texts)]
 
-    done = run(F.col(text))
+    arrow = pa.struct([("text", pa.string()), ("counts", pa.map_(pa.string(), pa.int32()))])
+    done = column_of(applied, "struct<text:string,counts:map<string,int>>", arrow)(F.col(text))
     # the same call twice is one evaluation
     return df.withColumns({"sanitized": done["text"] if mode == "on" else F.col(text), "redactions": done["counts"]})
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from loam.functions.slices import column_of
 
 SPACE = r"(?U)\s"
 #: What that pattern matches, as Unicode has it.
@@ -25,9 +26,7 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+_composed = column_of(lambda texts: [None if t is None else unicodedata.normalize("NFC", t) for t in texts], "string", pa.string())
 
 
 def nfc(c: Column) -> Column:
