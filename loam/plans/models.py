@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.slices import given_back, sliced
 from loam.functions.text import strip_ws
 from loam.operators import chunking, retrieval
 
@@ -110,7 +112,9 @@ def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "text", max_tok
     share = per_minute / max(1, at_once)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", embedding array<double>, n_parts int, failed_batches int"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paced = embedder
         if share:
 
@@ -118,16 +122,18 @@ def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "text", max_tok
                 time.sleep(60 / share)
                 return embedder(texts)
 
-        for frame in frames:
-            parts = [parts_within(t, max_tokens) if isinstance(t, str) and t.strip() else [] for t in frame[text]]
+        for group in (part for batch in batches for part in sliced(batch)):
+            parts = [parts_within(t, max_tokens) if isinstance(t, str) and t.strip() else [] for t in group.column(at).to_pylist()]
             owner = [k for k, p in enumerate(parts) for _ in p]
             vectors, failed = called(paced, [x for p in parts for x in p], batch, retries)
             own: list[list] = [[] for _ in parts]
             for k, v in zip(owner, vectors):
                 own[k].append(v)
-            yield frame.assign(embedding=[pooled(v) for v in own], n_parts=[len(p) for p in parts], failed_batches=[failed if k == 0 else 0 for k in range(len(parts))])
+            found = [pa.array([pooled(v) for v in own], pa.list_(pa.float64())), pa.array([len(p) for p in parts], pa.int32()), pa.array([failed if k == 0 else 0 for k in range(len(parts))], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*group.columns, *found], names=[*group.schema.names, "embedding", "n_parts", "failed_batches"])
+        given_back()
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def embed_counters(rows: DataFrame) -> DataFrame:
