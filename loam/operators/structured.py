@@ -3,7 +3,7 @@
 Lines are rows: what a line is (heading, list item, entry of a table of contents,
 boilerplate) are Column expressions, where a unit begins is a running count in its
 document, and units are put together by aggregation. Only the greedy filling of
-chunks up to a token budget runs in Python, one document at a time.
+chunks up to a token budget runs in Python, on one document's units at a time.
 
 items: doc_id, item_idx, text, section_heading, heading_path, heading_level,
 block_type, figure_id, page (those that a chunker does not need may be absent).
@@ -13,16 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.slices import column_of
 from loam.functions.text import TOC_LEADER, TOC_TAB, current_heading, is_toc_line, strip_ws
 from loam.operators import packing
 from loam.operators.blocks import toc_flags, without_toc
 
-CHUNK = "doc_id {id}, chunk_seq int, text string, section string, section_range string, title_first string, title_last string, page_start int, page_end int, is_split boolean, split_part int, split_reason string, unit_type string"
-FIELDS = [x.split(" ")[0] for x in CHUNK.split(", ")]
+CHUNK_FIELDS = ["chunk_seq int", "text string", "section string", "section_range string", "title_first string", "title_last string", "page_start int", "page_end int", "is_split boolean", "split_part int", "split_reason string", "unit_type string"]
+ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 # predicates over lines; fixed values: their patterns and limits
 
@@ -121,9 +122,9 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
     part. A last part under ``least_tail`` tokens joins the one before it. Units of type
     ``block`` are packed as ``packing`` does, without leading lines.
     """
-    kind = units.schema["doc_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def chunks(units: list[dict]) -> list[dict]:
+        """The chunks of one document's units."""
         out: list[dict] = []
         held: list[dict] = []
 
@@ -139,9 +140,9 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
                 return
             numbers = list(dict.fromkeys(r["number"] for r in rows if r["number"]))
             titles = [r["title"] for r in rows if r["title"]]
-            pages = [int(r["page"]) for r in rows if pd.notna(r["page"])]
+            pages = [r["page"] for r in rows if r["page"] is not None]
             out.append({
-                "doc_id": rows[0]["doc_id"], "text": text, "section": rows[0]["section"], "section_range": "-".join(dict.fromkeys([numbers[0], numbers[-1]])) if numbers else None,
+                "chunk_seq": len(out) + 1, "text": text, "section": rows[0]["section"], "section_range": "-".join(dict.fromkeys([numbers[0], numbers[-1]])) if numbers else None,
                 "title_first": titles[0] if titles else None, "title_last": titles[-1] if titles else None, "page_start": min(pages, default=None), "page_end": max(pages, default=None),
                 "is_split": split, "split_part": part, "split_reason": reason, "unit_type": rows[0]["unit_type"],
             })
@@ -159,8 +160,7 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
                 emit(rows, c["text"], c["is_split"], c["split_part"], c["split_reason"])
 
         blocks: list[dict] = []
-        for row in group.sort_values("unit", kind="stable").to_dict("records"):
-            row = {k: None if k != "page" and not isinstance(v, str) and pd.isna(v) else v for k, v in row.items()}
+        for row in units:
             if blocks and (row["unit_type"] != "block" or blocks[0]["section"] != row["section"]):
                 pack(blocks)
                 blocks = []
@@ -189,13 +189,16 @@ def fill(units: DataFrame, max_tokens: int, min_tokens: int = 0, least_tail: int
         flush()
         if blocks:
             pack(blocks)
-        frame = pd.DataFrame(out, columns=[f for f in FIELDS if f != "chunk_seq"])
-        frame.insert(1, "chunk_seq", range(1, len(frame) + 1))
-        return frame.astype({"page_start": "Int32", "page_end": "Int32", "chunk_seq": "int32", "split_part": "int32"})
+        return out
 
-    wanted = ["doc_id", "unit", "section", "title", "number", "page", "unit_type", "text"]
+    wanted = ["unit", "section", "title", "number", "page", "unit_type", "text"]
     alone = F.col("alone") if "alone" in units.columns else F.lit(False)
-    return units.select(*wanted, alone.alias("alone")).groupBy("doc_id").applyInPandas(run, CHUNK.format(id=kind))
+    one = F.struct(*(F.col(c).cast("int").alias(c) if c == "page" else F.col(c) for c in wanted), alone.alias("alone"))
+    # a document is a row, so a task takes many without a group of its own for each
+    per = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("units"))
+    kind, arrow = f"array<struct<{', '.join(CHUNK_FIELDS)}>>", pa.list_(pa.struct([(f.split(" ")[0], ARROW[f.split(" ")[1]]) for f in CHUNK_FIELDS]))
+    cut = column_of(lambda documents: [chunks(d) for d in documents], kind, arrow)
+    return per.select("doc_id", F.explode(cut("units")).alias("c")).select("doc_id", "c.*")
 
 
 # the chunkers

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loam.functions import sanitize, slices, text
+from loam.operators import structured
 from loam.plans import models
 
 
@@ -32,3 +33,16 @@ def test_embedding_runs_on_slices(spark):
     assert first.count() == -(-1000 // slices.SLICE)
     ok = models.embed_texts(rows, lambda texts: [[float(len(t))] for t in texts]).collect()
     assert len(ok) == 1000 and all(r.embedding == [float(len(r.text))] and r.n_parts == 1 and r.failed_batches == 0 for r in ok)
+
+
+def test_documents_are_filled_many_to_a_task(spark):
+    rows = [(d, 0, f"Confident words of text {d}\nmore of them\n\n1.1 Part of {d}\nits words", 1) for d in range(600)]
+    items = spark.createDataFrame([*rows, (None, 0, "1. Without an id\nwords", 1)], "doc_id long, item_idx int, text string, page int")
+    for cut in (structured.chunk_docx(items, 64), structured.chunk_pdf(items, 64)):
+        assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
+        got = cut.collect()
+        by = {}
+        for r in sorted(got, key=lambda r: r.chunk_seq):
+            by.setdefault(r.doc_id, []).append(r)
+        assert set(by) - {None} == set(range(600)) and all([r.chunk_seq for r in x] == list(range(1, len(x) + 1)) for x in by.values())
+        assert all(f"of {d}" in " ".join(r.text for r in x) for d, x in by.items() if d is not None)
