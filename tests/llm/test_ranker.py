@@ -93,3 +93,21 @@ def test_repeats_of_an_id_count_once(spark):
     once = ranker.train(docs, labels)
     again = ranker.train(docs.union(docs).union(docs.where("doc_id % 2 = 0")), labels)
     assert np.array_equal(once.weights, again.weights) and once.threshold == again.threshold
+
+
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """9,000 and more documents of a label, over several blocks: as one fit of them all."""
+    docs = spark.range(12000).select(F.col("id").alias("doc_id"), F.when(F.hash("id") % 4 == 0, F.concat(F.lit("BAD!! "), F.hash("id"))).otherwise(F.concat(F.lit("some fine words here "), "id")).alias("text"))
+    labels = docs.select("doc_id", ((F.hash("doc_id") % 4 != 0) & (F.xxhash64("doc_id") % 10 != 0)).cast("int").alias("quality"))
+    model = ranker.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where(ranker.training_row(F.col("doc_id"))).orderBy("doc_id").collect()
+    x, y = np.stack([ranker.features(r.text) for r in rows]), np.array([r.quality for r in rows])
+    assert (y == 1).sum() > 6000 and np.allclose(model.centre, x[:, :-1].mean(axis=0), atol=1e-12)
+    whole = ranker.fit(x, y, (y == 0).mean())
+    assert np.allclose(model.weights, whole.weights, atol=1e-5) and abs(model.threshold - whole.threshold) < 1e-4
+    strength = np.sort(model.strength(x))
+    at = (y == 0).sum() - 1
+    assert abs(model.threshold - strength[at : at + 2].mean()) < 1e-12
+    monkeypatch.setattr(ranker, "BLOCK", 100)  # so many blocks that groups are joined first
+    again = ranker.train(docs, labels)
+    assert np.allclose(again.weights, model.weights, atol=1e-5)
