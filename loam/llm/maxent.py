@@ -388,7 +388,7 @@ def _trigrams(src: DataFrame, head: Head, own: np.ndarray, buckets: int) -> Data
                 inside = doc[k:] == doc[:-k]
                 back[k - 1][k:][inside] = words[:-k][inside]
             pair = mix(back[0] * np.uint64(3) + mix(back[1] + np.uint64(7)))
-            order = np.lexsort((doc, name, pair))
+            order = np.lexsort((name.astype(np.uint16), pair))  # stable, and the texts are in order
             pair, name, doc = pair[order], name[order], doc[order]
             if not len(pair):
                 continue
@@ -450,11 +450,12 @@ def trigram_gains(src: DataFrame, head: Head, own: np.ndarray, shares: tuple[np.
             pair, name, count = (np.concatenate(x) for x in list(zip(*pieces))[1:])
             both, place = np.unique(pair.astype(np.uint64) << np.uint64(20) | name, return_inverse=True)
             counts = np.bincount(place, count, len(both))
-            pairs, of_pair = np.unique(both >> np.uint64(20), return_inverse=True)
+            high = both >> np.uint64(20)  # in order
+            of_pair = np.cumsum(np.append(False, high[1:] != high[:-1]))
             word = (both & np.uint64((1 << 20) - 1)).astype(np.int64)
             known = word < frequent
             at = np.where(known, word, 0)
-            return discounted(counts, of_pair, np.where(known, word_share[at], 0.0), np.where(known, word_class[at], word - frequent), len(pairs))[place]
+            return discounted(counts, of_pair, np.where(known, word_share[at], 0.0), np.where(known, word_class[at], word - frequent), int(of_pair[-1]) + 1)[place]
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
